@@ -37,10 +37,136 @@ def q_radar_backfill(spark, sf):
     return radar.radar_backfill(_hist(spark, sf))
 
 
+
+
+# ------------------------------------------------------------------ offers family
+from pyspark.sql import functions as F  # noqa: E402
+
+from shelfscope.functions import rules  # noqa: E402
+from shelfscope.operators import selection as S  # noqa: E402
+from shelfscope.session import materialize  # noqa: E402
+
+
+def enriched_offers(spark, sf) -> DataFrame:
+    """F1 catalogue + J1 radar on part-keyed history + P14/P23 + P18 score."""
+    li, part = T.table(spark, sf, "lineitem"), T.table(spark, sf, "part")
+    cat = T.offers_catalog(part, li)
+    hist_part = radar.daily_compaction(T.price_observations(li, key="l_partkey"))
+    offers = cat.select("sku", "loja", "oferta_dia", "preco_atual")
+    flags = radar.radar_flags(radar.trailing_stats(offers, hist_part, offer_keys=()))
+    cat = cat.join(flags.select("sku", "queda_real_percent", "menor_preco_historico", "preco_medio_historico"),
+                   "sku", "left")
+    cat = S.add_niche_and_model(cat, off=rules.TEST_OFF_NICHE_TERMS, strong=rules.TEST_STRONG_NICHE_TERMS,
+                                cat_terms=rules.TEST_CATEGORY_NICHE_TERMS)
+    return materialize(S.add_score(cat))
+
+
+def q_offers_enriched(spark, sf):
+    return enriched_offers(spark, sf)
+
+
+def q_offers_dedup(spark, sf):
+    li = T.table(spark, sf, "lineitem")
+    listings = li.select(
+        T.sku_for("l_partkey").alias("sku"),
+        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+        .alias("source_rank"),
+        F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("idx"),
+        F.col("l_suppkey").alias("seller"))
+    return S.keep_first(listings, "sku", ["source_rank", "page", "idx"])
+
+
+def _events_now(ev):
+    return ev.select(F.max("ts")).scalar()
+
+
+def q_latest_posts(spark, sf):
+    ev = T.table(spark, sf, "events")
+    return S.latest_posts(T.posted_log(ev), _events_now(ev))
+
+
+def q_repeat_lock(spark, sf):
+    ev = T.table(spark, sf, "events")
+    recent = S.latest_posts(T.posted_log(ev), _events_now(ev))
+    return S.repeat_lock(T.user_offers(ev), recent)
+
+
+def q_store_quota(spark, sf):
+    return S.store_quota(enriched_offers(spark, sf))
+
+
+def balanced(spark, sf) -> DataFrame:
+    return materialize(S.balance_candidates(enriched_offers(spark, sf)))
+
+
+def q_candidate_balance(spark, sf):
+    return balanced(spark, sf).select("ord", "sku", "loja", "score_qualidade")
+
+
+def q_fallback_selection(spark, sf):
+    return S.fallback_selection(balanced(spark, sf))
+
+
+def q_channel_top(spark, sf):
+    return S.channel_top(enriched_offers(spark, sf))
+
+
+def q_catalog_compaction(spark, sf):
+    return S.compact_for_retry(balanced(spark, sf)).select("ord", "sku", "loja")
+
+
+def opportunities_from(cat: DataFrame) -> DataFrame:
+    """Model-response stand-in derived from the catalogue: some skus and URLs
+    altered or blank, radar fields absent, so every lookup tier is exercised."""
+    return cat.select(
+        F.when(F.col("ord") % 3 == 0, F.concat(F.lit("X"), F.col("sku"))).otherwise(F.col("sku"))
+        .alias("sku_selecionado"),
+        F.upper(F.col("nome_produto")).alias("nome_produto"),
+        F.when(F.col("ord") % 5 == 0, F.lit("")).otherwise(F.col("url_afiliado")).alias("url_afiliado"),
+        F.lit(None).cast("string").alias("imagem_url"),
+        F.lit(None).cast("double").alias("preco_antigo"),
+        F.when(F.col("ord") % 2 == 0, F.col("categoria")).alias("categoria"),
+        F.lit(None).cast("string").alias("loja"),
+        F.lit(None).cast("double").alias("comissao_percent"),
+        F.lit(None).cast("double").alias("lucro_estimado_reais"),
+        F.lit(False).alias("menor_preco_historico"),
+        F.lit(0.0).alias("queda_real_percent"),
+        F.lit(0.0).alias("preco_medio_historico"),
+    )
+
+
+def q_rehydration(spark, sf):
+    cat = enriched_offers(spark, sf)
+    return S.rehydrate(opportunities_from(cat), cat)
+
+
+def q_remaining_candidates(spark, sf):
+    cands = balanced(spark, sf)
+    picks = S.fallback_selection(cands)
+    return S.remaining_candidates(cands, picks).select("ord", "sku", "nome_produto")
+
+
+OFFERS_QUERIES = {
+    "offers_enriched": q_offers_enriched,
+    "offers_dedup": q_offers_dedup,
+    "latest_posts": q_latest_posts,
+    "repeat_lock": q_repeat_lock,
+    "store_quota": q_store_quota,
+    "candidate_balance": q_candidate_balance,
+    "fallback_selection": q_fallback_selection,
+    "channel_top": q_channel_top,
+    "catalog_compaction": q_catalog_compaction,
+    "rehydration": q_rehydration,
+    "remaining_candidates": q_remaining_candidates,
+}
+
+
 def build() -> dict[str, Query]:
-    return {
+    out = {
         "price_history_daily": q_price_history_daily,
         "price_radar": q_price_radar,
         "radar_counters": q_radar_counters,
         "radar_backfill": q_radar_backfill,
     }
+    out.update(OFFERS_QUERIES)
+    return out

@@ -76,7 +76,7 @@ def topic_sql(x: str) -> str:
 def sigtok_sql(topic: str) -> str:
     stop = "[" + ", ".join(q(w) for w in rules.TOPIC_STOPWORDS) + "]"
     return (f"list_sort(list_distinct(list_filter(string_split({topic}, ' '), "
-            f"t -> length(t) >= 3 AND NOT list_contains({stop}, t))))")
+            f"lambda t: length(t) >= 3 AND NOT list_contains({stop}, t))))")
 
 
 def urlkey_sql(u: str) -> str:
@@ -85,9 +85,9 @@ def urlkey_sql(u: str) -> str:
 
 
 # ---------------------------------------------------------------- CTE fragments
-def obs_cte(key: str = "l_suppkey") -> str:
+def obs_cte(key: str = "l_suppkey", name: str = "obs") -> str:
     sku = sku_sql(key)
-    return f"""obs AS (
+    return f"""{name} AS (
   SELECT {sku} AS sku, {store_sql(sku)} AS loja, CAST(l_shipdate AS DATE) AS data_coleta,
          {rn('l_extendedprice / l_quantity')} AS preco,
          CASE WHEN l_returnflag = 'N' THEN '' ELSE 'part ' || CAST(l_partkey AS VARCHAR) END AS titulo,
@@ -96,6 +96,10 @@ def obs_cte(key: str = "l_suppkey") -> str:
   FROM lineitem)"""
 
 
+def hist_cte(src: str = "obs", name: str = "hist") -> str:
+    return HIST_CTE.replace("FROM obs", f"FROM {src}").replace("hist AS (", f"{name} AS (", 1)
+
+
 HIST_CTE = """hist AS (
   SELECT sku, loja, data_coleta,
          min(preco) AS preco_min_dia,
@@ -126,14 +130,17 @@ stats AS (
    AND h.data_coleta >= o.oferta_dia - INTERVAL {days} DAY AND h.data_coleta <= o.oferta_dia
    AND h.data_coleta <> o.oferta_dia
   GROUP BY o.ref_date, o.sku, o.loja, o.oferta_dia, o.preco_atual),
-radar AS (
-  SELECT *,
+radar AS ({flags_select("stats")})"""
+
+
+def flags_select(src: str) -> str:
+    return f"""SELECT *,
     CASE WHEN preco_atual > 0 AND mediana_180d > 0 AND mediana_180d > preco_atual
          THEN {rn('(mediana_180d - preco_atual) / mediana_180d * 100.0', 1)} ELSE 0.0 END AS queda_real_percent,
     coalesce(preco_atual > 0 AND dias_observados >= {rules.WARMUP_DAYS} AND min_180d IS NOT NULL
              AND preco_atual < min_180d, false) AS menor_preco_historico,
     CASE WHEN preco_atual > 0 AND mediana_180d > 0 THEN mediana_180d ELSE 0.0 END AS preco_medio_historico
-  FROM stats)"""
+  FROM {src}"""
 
 
 CENTS = "CAST(floor(({}) * 100.0 + 0.5) AS BIGINT)"
@@ -171,4 +178,6 @@ SELECT *,
              AND preco_atual < min_180d, false) AS menor_preco_historico,
     CASE WHEN preco_atual > 0 AND mediana_180d > 0 THEN mediana_180d ELSE 0.0 END AS preco_medio_historico
 FROM w"""
+    from shelfscope.plans.oracle_offers import build_offers
+    s.update(build_offers())
     return s

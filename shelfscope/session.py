@@ -30,7 +30,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    mem = os.environ.get("SHELFSCOPE_DRIVER_MEMORY")
+    mem = os.environ.get("SHELFSCOPE_DRIVER_MEMORY") or ("8g" if (master or "").startswith("local") else None)
     if mem:
         builder = builder.config("spark.driver.memory", mem)
     spark = builder.getOrCreate()
@@ -53,3 +53,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut lineage at a run boundary with a reliable checkpoint written to the
+    shared ``spark.checkpoint.dir`` (survives executor loss; never local)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
