@@ -151,6 +151,10 @@ CATEGORY_TAG_GROUPS = [
     ("TECH", ["TECH", "CEL", "MOBILE", "AI", "IA"]),
 ]
 
+# Editorial footer prefix and highlight token pattern.
+SOURCE_FOOTER_PREFIX = "📰 Fonte: "
+HIGHLIGHT_TOKEN_PATTERN = "[a-z0-9à-ÿ]+"
+
 # Store names and SKU prefixes.
 STORE_A = "Magalu"
 STORE_B = "Mercado Livre"

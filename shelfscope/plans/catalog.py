@@ -161,6 +161,89 @@ OFFERS_QUERIES = {
 }
 
 
+# -------------------------------------------------------------------- news family
+from shelfscope.functions.text import clean_summary, headline, strip_urls, url_key  # noqa: E402
+from shelfscope.operators import news as N  # noqa: E402
+
+
+def _feed(spark, sf) -> DataFrame:
+    return T.feed_items(T.table(spark, sf, "documents"))
+
+
+def q_feed_items(spark, sf):
+    return _feed(spark, sf).withColumn("resumo", clean_summary("titulo")).select(
+        "doc_id", "fonte", "url", "publicado_em", "tema_normalizado", "url_hash", "resumo")
+
+
+def _recent(spark, sf) -> DataFrame:
+    f = _feed(spark, sf)
+    return N.recent_window(f, f.select(F.max("publicado_em")).scalar())
+
+
+def q_news_recent(spark, sf):
+    return _recent(spark, sf).select("doc_id", "fonte", "publicado_em", "tema_normalizado")
+
+
+def q_topic_dedup(spark, sf):
+    return N.topic_coverage(_feed(spark, sf).select("doc_id", "publicado_em", "url_hash", "tema_normalizado")
+                            ).select("doc_id", "ja_publicada", "tema_similar", "inedita")
+
+
+def q_news_round_robin(spark, sf):
+    return N.round_robin(_recent(spark, sf)).select("id_curto", "doc_id", "fonte", "publicado_em")
+
+
+def q_page_url_dedup(spark, sf):
+    pages = T.table(spark, sf, "pages").select("page_id", "url").withColumn("url_hash", url_key("url"))
+    return S.keep_first(pages, "url_hash", ["page_id"]).select("url_hash", "page_id", "url")
+
+
+def q_editorial_text(spark, sf):
+    f = _feed(spark, sf)
+    return N.editorial_columns(f).select("doc_id", "headline", "categoria_tag")
+
+
+def q_editorial_footer(spark, sf):
+    """P29 + P31 (no oracle: the URL patterns need look-behind, which DuckDB's
+    regex engine lacks; checked against Python re on fixtures in tests)."""
+    f = _feed(spark, sf)
+    return f.select("doc_id", N.with_footer(F.col("titulo"), F.col("fonte")).alias("texto_rodape"))
+
+
+def q_text_without_urls(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", strip_urls("text").alias("texto_limpo"))
+
+
+def q_highlight_marking(spark, sf):
+    f = _feed(spark, sf).withColumn("headline", headline("titulo")).withColumn(
+        "destaque", F.try_element_at(F.split(F.col("tema_normalizado"), " "), F.lit(3)))
+    marks = N.mark_highlight(F.col("headline"), F.col("destaque"))
+    return f.select(
+        "doc_id", N.validated_highlight(F.col("destaque"), F.col("headline")).alias("destaque_valido"),
+        F.array_join(F.transform(F.filter(marks, lambda m: m["destaque"]), lambda m: m["palavra"]), " ")
+        .alias("palavras_destacadas"))
+
+
+def q_published_today(spark, sf):
+    f = _feed(spark, sf)
+    now = f.select(F.max("publicado_em")).scalar()
+    return N.published_on_local_day(f, F.to_date(N.local_time_fixed(now)))
+
+
+NEWS_QUERIES = {
+    "feed_items": q_feed_items,
+    "news_recent": q_news_recent,
+    "topic_dedup": q_topic_dedup,
+    "news_round_robin": q_news_round_robin,
+    "page_url_dedup": q_page_url_dedup,
+    "editorial_text": q_editorial_text,
+    "editorial_footer": q_editorial_footer,
+    "text_without_urls": q_text_without_urls,
+    "highlight_marking": q_highlight_marking,
+    "published_today": q_published_today,
+}
+
+
 def build() -> dict[str, Query]:
     out = {
         "price_history_daily": q_price_history_daily,
@@ -169,4 +252,5 @@ def build() -> dict[str, Query]:
         "radar_backfill": q_radar_backfill,
     }
     out.update(OFFERS_QUERIES)
+    out.update(NEWS_QUERIES)
     return out

@@ -180,4 +180,6 @@ SELECT *,
 FROM w"""
     from shelfscope.plans.oracle_offers import build_offers
     s.update(build_offers())
+    from shelfscope.plans.oracle_news import build_news
+    s.update(build_news())
     return s
