@@ -244,6 +244,96 @@ NEWS_QUERIES = {
 }
 
 
+# ------------------------------------------------------------------ metrics family
+from shelfscope.operators import metrics as Mx  # noqa: E402
+
+
+def _runs(spark, sf) -> DataFrame:
+    return Mx.run_status(T.run_metrics(T.table(spark, sf, "events")))
+
+
+def q_run_status(spark, sf):
+    return _runs(spark, sf)
+
+
+def q_category_totals(spark, sf):
+    ev = T.table(spark, sf, "events")
+    counts = Mx.category_counts(ev.withColumn("run_date", F.to_date("ts")), "run_date", "event_type")
+    return Mx.category_totals(counts)
+
+
+def q_run_kpis(spark, sf):
+    return Mx.run_kpis(_runs(spark, sf))
+
+
+def q_audience_deltas(spark, sf):
+    return Mx.audience_deltas(_runs(spark, sf))
+
+
+def q_recent_runs(spark, sf):
+    return Mx.last_runs(_runs(spark, sf), 40).select("posicao", "run_date", "status", "custo_x_usd")
+
+
+def q_member_curve(spark, sf):
+    return Mx.member_curve_bounds(_runs(spark, sf))
+
+
+def _posts(spark, sf) -> DataFrame:
+    return Mx.post_engagement(T.social_posts(T.table(spark, sf, "events")))
+
+
+def q_post_engagement(spark, sf):
+    return _posts(spark, sf).select("user_id", "created_time", "likes", "comments", "shares", "score", "title")
+
+
+def q_top_posts(spark, sf):
+    return Mx.top_posts(_posts(spark, sf)).select("user_id", "created_time", "score", "title")
+
+
+def q_engagement_by_hour(spark, sf):
+    p = _posts(spark, sf)
+    return Mx.engagement_by_hour(p, F.hour(N.local_time_fixed(F.col("created_time"))))
+
+
+def q_mean_engagement(spark, sf):
+    return _posts(spark, sf).agg((F.sum("score").cast("double") / F.count(F.lit(1))).alias("media_engajamento"),
+                                 F.count(F.lit(1)).alias("posts"))
+
+
+def _ledger(spark, sf) -> DataFrame:
+    return T.sales_ledger(T.table(spark, sf, "orders"))
+
+
+def q_sales_kpis(spark, sf):
+    cost = Mx.run_kpis(_runs(spark, sf)).select("total_x_brl").scalar()
+    return Mx.sales_kpis(_ledger(spark, sf), cost)
+
+
+def q_sales_conversion(spark, sf):
+    return Mx.sales_conversion(_ledger(spark, sf))
+
+
+def q_commission_by_platform(spark, sf):
+    return Mx.commission_by_platform(_ledger(spark, sf))
+
+
+METRICS_QUERIES = {
+    "run_status": q_run_status,
+    "category_totals": q_category_totals,
+    "run_kpis": q_run_kpis,
+    "audience_deltas": q_audience_deltas,
+    "recent_runs": q_recent_runs,
+    "member_curve": q_member_curve,
+    "post_engagement": q_post_engagement,
+    "top_posts": q_top_posts,
+    "engagement_by_hour": q_engagement_by_hour,
+    "mean_engagement": q_mean_engagement,
+    "sales_kpis": q_sales_kpis,
+    "sales_conversion": q_sales_conversion,
+    "commission_by_platform": q_commission_by_platform,
+}
+
+
 def build() -> dict[str, Query]:
     out = {
         "price_history_daily": q_price_history_daily,
@@ -253,4 +343,5 @@ def build() -> dict[str, Query]:
     }
     out.update(OFFERS_QUERIES)
     out.update(NEWS_QUERIES)
+    out.update(METRICS_QUERIES)
     return out

@@ -141,8 +141,9 @@ def fallback_ctes(src: str = "bal") -> list[str]:
   UNION ALL
   SELECT {cols}, CASE WHEN {IS_A} THEN 'A' ELSE 'B' END AS st, 1 AS src, k AS p FROM fb_extra)""",
         "fb_seq AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY src, p) - 1 AS i FROM fb_all)",
-        """fb_fin AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN st = 'B' THEN floor(i / 3) ELSE i END,
-                                                  CASE WHEN st = 'B' THEN i % 3 ELSE 3 END) AS pos FROM fb_seq)""",
+        """fb_fin AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN st = 'B' THEN floor(i / 3) ELSE i END,
+                                                  CASE WHEN st = 'B' THEN i % 3 ELSE 3 END) AS INTEGER) AS pos
+            FROM fb_seq)""",
         f"""picks AS (
   SELECT pos, sku AS sku_selecionado, nome_produto, loja, categoria, preco_atual, preco_antigo,
          percentual_desconto, menor_preco_historico, queda_real_percent,
@@ -174,7 +175,7 @@ def channel_sql() -> str:
     return f""",
 cs AS ({' UNION ALL '.join(parts)}),
 plain AS (SELECT * FROM (SELECT canal, sku, nome_produto, score_canal,
-                 row_number() OVER (PARTITION BY canal ORDER BY -score_canal, ord) AS pos
+                 CAST(row_number() OVER (PARTITION BY canal ORDER BY -score_canal, ord) AS INTEGER) AS pos
           FROM cs WHERE canal <> 'telegram') WHERE pos <= {lim}),
 tg AS (SELECT * FROM cs WHERE canal = 'telegram'),
 tg_adh AS (SELECT sku, row_number() OVER (PARTITION BY modelo ORDER BY -score_canal, ord) AS r
@@ -182,7 +183,7 @@ tg_adh AS (SELECT sku, row_number() OVER (PARTITION BY modelo ORDER BY -score_ca
 tg_t AS (SELECT t.*, CASE WHEN t.bonus_nicho < 0 THEN 2 WHEN t.modelo = '' OR a.r = 1 THEN 0 ELSE 1 END AS tier
          FROM tg t LEFT JOIN tg_adh a ON a.sku = t.sku),
 tg_top AS (SELECT * FROM (SELECT canal, sku, nome_produto, score_canal,
-                  row_number() OVER (ORDER BY tier, -score_canal, ord) AS pos FROM tg_t) WHERE pos <= {max(tl, 1)})
+                  CAST(row_number() OVER (ORDER BY tier, -score_canal, ord) AS INTEGER) AS pos FROM tg_t) WHERE pos <= {max(tl, 1)})
 SELECT canal, pos, sku, nome_produto, score_canal FROM plain
 UNION ALL SELECT canal, pos, sku, nome_produto, score_canal FROM tg_top"""
 

@@ -57,10 +57,10 @@ def one_tier_sql(cat: str, name: str, table) -> str:
 
 def niche_sql(text: str, cat: str) -> str:
     off, strong, catb, none = rules.NICHE_SCORES
-    return (f"CASE WHEN {any_sub(text, rules.TEST_OFF_NICHE_TERMS)} THEN {off} "
+    return (f"CAST(CASE WHEN {any_sub(text, rules.TEST_OFF_NICHE_TERMS)} THEN {off} "
             f"WHEN {any_sub(text, rules.TEST_STRONG_NICHE_TERMS)} THEN {strong} "
             f"WHEN {any_sub(f'lower(coalesce({cat}, {q('')}))', rules.TEST_CATEGORY_NICHE_TERMS)} THEN {catb} "
-            f"ELSE {none} END")
+            f"ELSE {none} END AS DOUBLE)")
 
 
 def fold_sql(x: str) -> str:
@@ -182,4 +182,6 @@ FROM w"""
     s.update(build_offers())
     from shelfscope.plans.oracle_news import build_news
     s.update(build_news())
+    from shelfscope.plans.oracle_metrics import build_metrics
+    s.update(build_metrics())
     return s

@@ -150,15 +150,15 @@ def page_log(pages: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- F6
 def social_posts(events: DataFrame) -> DataFrame:
     """Posts: one per (user, hour); click -> likes, signup -> comments, purchase -> shares."""
-    hour = F.date_trunc("hour", F.col("ts"))
+    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
     return (events.groupBy("user_id", hour.alias("created_time"))
             .agg(F.count_if(F.col("event_type") == "click").alias("likes"),
                  F.count_if(F.col("event_type") == "signup").alias("comments"),
                  F.count_if(F.col("event_type") == "purchase").alias("shares"),
-                 F.count("*").alias("n_events"))
+                 F.array_join(F.array_sort(F.collect_list("event_type")), ", ").alias("_types"))
             .withColumn("message", F.concat(F.lit("post of user "), F.col("user_id").cast("string"),
-                                            F.lit("\nwith "), F.col("n_events").cast("string"),
-                                            F.lit(" events in this hour of the day"))))
+                                            F.lit("\nevents: "), F.col("_types")))
+            .drop("_types"))
 
 
 # --------------------------------------------------------------------------- F7
@@ -173,7 +173,8 @@ def run_metrics(events: DataFrame) -> DataFrame:
                  F.count_if(et == "error").alias("postados_facebook"),
                  F.count_if((et == "purchase") & (F.col("value") > 50)).alias("postados_x"),
                  F.count_distinct("user_id").alias("membros_telegram"),
-                 F.max(F.when(et == "signup", F.col("user_id"))).alias("seguidores_facebook")))
+                 F.max(F.when((et == "signup") & (F.col("value") > 90), F.col("user_id"))).alias("seguidores_facebook"),
+                 F.count_distinct(F.when(et == "view", F.col("user_id"))).alias("alcance_fb_28d")))
 
 
 # --------------------------------------------------------------------------- F8
