@@ -46,7 +46,9 @@ def daily_compaction(obs: DataFrame) -> DataFrame:
     [preco_min], titulo, categoria, ts, seq1, seq2.
     """
     pmin = F.col("preco_min") if "preco_min" in obs.columns else F.col("preco")
-    order = [F.col("ts"), F.col("seq1"), F.col("seq2")]
+    # an optional write-batch ordinal sorts first: a later upsert batch wins
+    # "last" regardless of its timestamps, as in an upsert-on-conflict table
+    order = ([F.col("batch")] if "batch" in obs.columns else []) + [F.col("ts"), F.col("seq1"), F.col("seq2")]
     t, c = F.coalesce(F.col("titulo"), F.lit("")), F.coalesce(F.col("categoria"), F.lit(""))
     return (obs.groupBy("sku", "loja", "data_coleta")
             .agg(F.min(pmin).alias("preco_min_dia"),
@@ -55,7 +57,7 @@ def daily_compaction(obs: DataFrame) -> DataFrame:
                             F.lit("")).alias("titulo"),
                  F.coalesce(F.max(F.when(c != "", F.struct(*order, c.alias("v")))).getField("v"),
                             F.lit("")).alias("categoria"),
-                 F.max("ts").alias("atualizado_em")))
+                 F.max(F.struct(*order)).getField("ts").alias("atualizado_em")))
 
 
 def offers_on_or_after(history: DataFrame, ref_dates: list[str]) -> DataFrame:

@@ -334,6 +334,86 @@ METRICS_QUERIES = {
 }
 
 
+# -------------------------------------------------------------- maintenance family
+from shelfscope.operators import maintenance as Mt  # noqa: E402
+
+UPSERT_LAG_DAYS = 30
+
+
+def _upsert_batches(spark, sf):
+    """Two write batches over the whole lineitem table: the second batch is the
+    'R' lines of the last 30 days (a late upsert on days already written)."""
+    li = T.table(spark, sf, "lineitem")
+    split = F.date_sub(li.select(F.max("l_shipdate")).scalar().cast("date"), UPSERT_LAG_DAYS)
+    late = (F.to_date("l_shipdate") >= split) & (F.col("l_returnflag") == "R")
+    return T.price_observations(li.filter(~late)), T.price_observations(li.filter(late))
+
+
+def q_price_upsert_merge(spark, sf):
+    first, second = _upsert_batches(spark, sf)
+    return Mt.merge_price_days(radar.daily_compaction(first), second)
+
+
+def q_history_row_count(spark, sf):
+    return _hist(spark, sf).agg(F.count(F.lit(1)).alias("linhas"))
+
+
+def _retention_inputs(spark, sf):
+    hist = _hist(spark, sf)
+    ev = T.table(spark, sf, "events")
+    feed = _feed(spark, sf)
+    ref_day = hist.select(F.max("data_coleta")).scalar()
+    ref_ev = ev.select(F.max("ts")).scalar()
+    ref_feed = feed.select(F.max("publicado_em")).scalar()
+    return {
+        "historico_precos": (hist, "data_coleta", F.date_sub(ref_day, rules.RETENTION_PRICE_DAYS)),
+        "historico_postados": (T.posted_log(ev), "postado_em",
+                               ref_ev - F.make_dt_interval(F.lit(rules.RETENTION_POSTED_DAYS))),
+        "pautas_rss": (feed, "publicado_em", ref_feed - F.make_dt_interval(F.lit(rules.RETENTION_TOPIC_DAYS))),
+    }
+
+
+def q_retention_purge(spark, sf):
+    return Mt.retention_counts(_retention_inputs(spark, sf))
+
+
+def q_row_loss_guard(spark, sf):
+    c = Mt.retention_counts({k: v for k, v in _retention_inputs(spark, sf).items() if k == "historico_precos"})
+    scen = c.select(F.lit("expurgo_justificado").alias("cenario"), (F.col("removidos") + F.col("restantes"))
+                    .alias("baseline"), F.col("restantes").alias("atuais"), F.col("removidos").alias("justificados"))
+    scen = scen.unionByName(c.select(F.lit("sem_justificativa").alias("cenario"),
+                                     (F.col("removidos") + F.col("restantes")).alias("baseline"),
+                                     F.col("restantes").alias("atuais"), F.lit(0).cast("bigint").alias("justificados")))
+    g = Mt.row_loss_guard(F.col("baseline"), F.col("atuais"), F.col("justificados"))
+    return scen.select("*", g.getField("ok").alias("ok"), g.getField("motivo").alias("motivo"),
+                       g.getField("queda_injustificada_pct").alias("queda_injustificada_pct"))
+
+
+def legacy_price_docs(spark, sf, buckets: int = 64) -> DataFrame:
+    """Legacy price JSON documents derived from the history: one document per
+    (day, sku bucket), so no document grows with the catalogue."""
+    h = _hist(spark, sf)
+    entry = F.struct(F.col("preco_min_dia").alias("min"), F.lit(None).cast("double").alias("avg"),
+                     F.lit(1).alias("count"), F.when(F.col("titulo") != "", F.col("preco_ultimo")).alias("last"),
+                     F.date_format("data_coleta", "yyyy-MM-dd").alias("updated"))
+    return (h.groupBy("data_coleta", F.pmod(F.xxhash64("sku"), F.lit(buckets)).alias("b"))
+            .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("sku", entry)))).alias("doc")))
+
+
+def q_legacy_price_migration(spark, sf):
+    obs = Mt.legacy_price_observations(legacy_price_docs(spark, sf), "doc", "2026-01-01")
+    return obs.select("sku", "loja", "data_coleta", "preco", "preco_min_inicial")
+
+
+MAINT_QUERIES = {
+    "price_upsert_merge": q_price_upsert_merge,
+    "history_row_count": q_history_row_count,
+    "retention_purge": q_retention_purge,
+    "row_loss_guard": q_row_loss_guard,
+    "legacy_price_migration": q_legacy_price_migration,
+}
+
+
 def build() -> dict[str, Query]:
     out = {
         "price_history_daily": q_price_history_daily,
@@ -344,4 +424,5 @@ def build() -> dict[str, Query]:
     out.update(OFFERS_QUERIES)
     out.update(NEWS_QUERIES)
     out.update(METRICS_QUERIES)
+    out.update(MAINT_QUERIES)
     return out

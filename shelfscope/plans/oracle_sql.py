@@ -184,4 +184,6 @@ FROM w"""
     s.update(build_news())
     from shelfscope.plans.oracle_metrics import build_metrics
     s.update(build_metrics())
+    from shelfscope.plans.oracle_maint import build_maint
+    s.update(build_maint())
     return s
