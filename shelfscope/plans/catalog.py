@@ -414,6 +414,54 @@ MAINT_QUERIES = {
 }
 
 
+# ------------------------------------------------------------------ ingest family
+from shelfscope.operators import ingest as I  # noqa: E402
+
+
+def _page_log(spark, sf) -> DataFrame:
+    return T.page_log(T.table(spark, sf, "pages"))
+
+
+def q_block_diagnosis(spark, sf):
+    return I.block_diagnosis(_page_log(spark, sf)).select(
+        "seq", "loja", "status_code", "suspeita_waf", "indicio", "title", "bytes")
+
+
+def q_breaker_prefix(spark, sf):
+    return I.breaker_prefix(I.block_diagnosis(_page_log(spark, sf))).select(
+        "loja", "seq", "url", "chamadas", "breaker_ativado")
+
+
+def q_page_prefix(spark, sf):
+    li = T.table(spark, sf, "lineitem")
+    listings = li.select(F.col("l_returnflag").alias("route"), F.col("l_linenumber").alias("page"),
+                         T.sku_for("l_partkey").alias("sku"))
+    return I.page_prefix(listings)
+
+
+def q_page_json_offers(spark, sf):
+    """S1 over the stored pages (pages without embedded listing JSON give no rows)."""
+    pages = _page_log(spark, sf).select("seq", "url", "body")
+    return I.page_json_offers(pages).select("seq", "idx", "sku", "nome_produto", "preco_atual", "preco_antigo",
+                                            "percentual_desconto", "comissao_percent", "lucro_estimado_reais")
+
+
+def q_page_card_offers(spark, sf):
+    """S2 over the stored pages (pages without listing cards give no rows)."""
+    pages = _page_log(spark, sf).select(F.col("seq").alias("page_key"), "body")
+    return I.html_card_offers(pages).select("page_key", "idx", "sku", "nome_produto", "preco_atual",
+                                            "preco_antigo", "percentual_desconto", "url_afiliado")
+
+
+INGEST_QUERIES = {
+    "block_diagnosis": q_block_diagnosis,
+    "breaker_prefix": q_breaker_prefix,
+    "page_prefix": q_page_prefix,
+    "page_json_offers": q_page_json_offers,
+    "page_card_offers": q_page_card_offers,
+}
+
+
 def build() -> dict[str, Query]:
     out = {
         "price_history_daily": q_price_history_daily,
@@ -425,4 +473,5 @@ def build() -> dict[str, Query]:
     out.update(NEWS_QUERIES)
     out.update(METRICS_QUERIES)
     out.update(MAINT_QUERIES)
+    out.update(INGEST_QUERIES)
     return out

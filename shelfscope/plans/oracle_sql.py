@@ -186,4 +186,6 @@ FROM w"""
     s.update(build_metrics())
     from shelfscope.plans.oracle_maint import build_maint
     s.update(build_maint())
+    from shelfscope.plans.oracle_ingest import build_ingest
+    s.update(build_ingest())
     return s
