@@ -462,6 +462,62 @@ INGEST_QUERIES = {
 }
 
 
+# ---------------------------------------------------------------- responses family
+from shelfscope.operators import responses as Rs  # noqa: E402
+
+RESPONSE_ITEMS = 20
+
+
+def derived_responses(spark, sf) -> DataFrame:
+    """Model-response payloads derived from the catalogue: one response per
+    block of 20 consecutive part keys (bounded size), in four shapes: keyed
+    object, fenced array, truncated text (MAX_TOKENS) and prose-wrapped object.
+    Callers checkpoint the extracted texts: they stand for a stored responses
+    table, and the generating expressions must not be re-inlined into every
+    parse step."""
+    part = T.table(spark, sf, "part")
+    item = F.struct(T.sku_for("p_partkey").alias("sku_selecionado"), F.col("p_name").alias("nome_produto"),
+                    F.when(F.col("p_partkey") % 4 == 0, F.lit(rules.STORE_A)).otherwise(F.lit(rules.STORE_B))
+                    .alias("loja"), F.col("p_retailprice").alias("preco_atual"),
+                    F.struct(F.col("p_brand").alias("titulo")).alias("copy_venda"))
+    g = (part.groupBy(F.floor(F.col("p_partkey") / RESPONSE_ITEMS).alias("resposta_id"))
+         .agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), item.alias("v")))).alias("xs")))
+    g = g.withColumn("_items", F.transform("xs", lambda x: x["v"]))
+    g = g.withColumn("_obj", F.to_json(F.struct(F.col("_items").alias("oportunidades"))))
+    shape = F.col("resposta_id") % 4
+    text = (F.when(shape == 0, F.col("_obj"))
+            .when(shape == 1, F.concat(F.lit("```json\n"), F.to_json("_items"), F.lit("\n```")))
+            .when(shape == 2, F.substring("_obj", 1, (F.length("_obj") * 0.7).cast("int")))
+            .otherwise(F.concat(F.lit("Segue a selecao: "), F.to_json(F.struct(F.col("_items").alias("ofertas"))),
+                                F.lit(" fim."))))
+    g = g.withColumn("_text", text)
+    reason = F.when(shape == 2, F.lit("MAX_TOKENS")).otherwise(F.lit("STOP"))
+    payload = F.to_json(F.struct(F.array(F.struct(reason.alias("finish_reason"), F.struct(F.array(
+        F.struct(F.col("_text").alias("text"))).alias("parts")).alias("content"))).alias("candidates")))
+    return g.select("resposta_id", payload.alias("payload"))
+
+
+def q_response_parse(spark, sf):
+    r = materialize(Rs.with_response_text(derived_responses(spark, sf)).select("resposta_id", "texto",
+                                                                              "finish_reason"))
+    p = Rs.parse_responses(r)
+    return p.select("resposta_id", "finish_reason", Rs.needs_retry("texto", "finish_reason").alias("precisa_retry"),
+                    "origem", F.size("itens").alias("n_itens"))
+
+
+def q_response_picks(spark, sf):
+    r = materialize(Rs.with_response_text(derived_responses(spark, sf)).select("resposta_id", "texto"))
+    p = Rs.parse_responses(r)
+    return Rs.explode_picks(p, ["resposta_id"]).select(
+        "resposta_id", "pos", "sku_selecionado", "nome_produto", "loja", "preco_atual", "copy_titulo")
+
+
+RESPONSE_QUERIES = {
+    "response_parse": q_response_parse,
+    "response_picks": q_response_picks,
+}
+
+
 def build() -> dict[str, Query]:
     out = {
         "price_history_daily": q_price_history_daily,
@@ -474,4 +530,5 @@ def build() -> dict[str, Query]:
     out.update(METRICS_QUERIES)
     out.update(MAINT_QUERIES)
     out.update(INGEST_QUERIES)
+    out.update(RESPONSE_QUERIES)
     return out
