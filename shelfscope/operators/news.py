@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions import rules
+from shelfscope.session import materialize
 from shelfscope.functions.text import (category_tag, col_, fold_accents, headline, py_strip,
                                        significant_tokens, strip_urls)
 
@@ -89,8 +90,11 @@ def similar_sets(items: DataFrame, toks: str = "toks") -> DataFrame:
     mn = F.least(F.size("ta"), F.size("tb"))
     ok = (((inter >= rules.TOPIC_MIN_SHARED) & (inter / mn >= rules.TOPIC_CONTAINMENT))
           | (inter / union >= rules.TOPIC_JACCARD))
-    sim = c.filter(ok).select("sa", "sb")
-    return sim.unionByName(sim.select(F.col("sb").alias("sa"), F.col("sa").alias("sb")))
+    # both directions from one pass (a union of two references would run the
+    # whole candidate pipeline twice)
+    both = F.explode(F.array(F.struct(F.col("sa").alias("x"), F.col("sb").alias("y")),
+                             F.struct(F.col("sb").alias("x"), F.col("sa").alias("y"))))
+    return c.filter(ok).select(both.alias("e")).select(F.col("e.x").alias("sa"), F.col("e.y").alias("sb"))
 
 
 def _covered_by(items: DataFrame, key: str, partners: DataFrame | None, days: int, flag: str,
@@ -125,8 +129,11 @@ def topic_coverage(items: DataFrame, days: int = rules.TOPIC_DEDUP_DAYS, ord_col
     Input: ord_col, publicado_em, url_hash, tema_normalizado.  Output adds
     ``ja_publicada`` (same URL key or same non-blank topic, J4),
     ``tema_similar`` (similar topic, J5) and ``inedita``."""
-    base = items.withColumn("toks", significant_tokens("tema_normalizado")).withColumn(
-        "set_key", F.array_join("toks", " "))
+    # the narrow item table feeds four branches (URL, topic, set, similar sets):
+    # checkpoint it once so the topic extraction over whole texts runs once
+    base = materialize(items.select(ord_col, "publicado_em", "url_hash", "tema_normalizado")
+                       .withColumn("toks", significant_tokens("tema_normalizado"))
+                       .withColumn("set_key", F.array_join("toks", " ")))
     by_url = _covered_by(base, "url_hash", None, days, "_u", ord_col=ord_col)
     by_topic = _covered_by(base, "tema_normalizado", None, days, "_t", ord_col=ord_col)
     by_set = _covered_by(base, "set_key", similar_sets(base), days, "_s", ord_col=ord_col)
