@@ -182,6 +182,9 @@ def fallback_selection(cands: DataFrame, qtd_b: int = rules.TARGET_B, qtd_a: int
     Output: one row per pick with its position ``pos``.
     """
     total = qtd_b + qtd_a
+    for c, t in (("url_afiliado", "string"), ("preco_medio_historico", "double")):
+        if c not in cands.columns:
+            cands = cands.withColumn(c, F.lit(None).cast(t))
     base = (cands.withColumn("_neg_score", -F.col("score_qualidade"))
             .withColumn("_store", F.when(F.lower("loja").contains("mercado"), F.lit("B"))
                         .when(F.lower("loja").contains("magalu"), F.lit("A")).otherwise(F.lit("X"))))
@@ -210,7 +213,8 @@ def fallback_selection(cands: DataFrame, qtd_b: int = rules.TARGET_B, qtd_a: int
     out = _copy_columns(out)
     return out.select("pos", F.col("sku").alias("sku_selecionado"), "nome_produto", "loja", "categoria",
                       "preco_atual", "preco_antigo", "percentual_desconto", "menor_preco_historico",
-                      "queda_real_percent", "economia", "copy_titulo", "copy_tipo", "cta_tipo")
+                      "queda_real_percent", "preco_medio_historico", "url_afiliado", "economia", "copy_titulo",
+                      "copy_tipo", "cta_tipo")
 
 
 # ------------------------------------------------------------------- P19 / K2

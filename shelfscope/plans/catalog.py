@@ -518,6 +518,57 @@ RESPONSE_QUERIES = {
 }
 
 
+# ----------------------------------------------------------------- payload family
+from shelfscope.operators import payloads as Pl  # noqa: E402
+
+
+def _picks(spark, sf) -> DataFrame:
+    return materialize(S.fallback_selection(balanced(spark, sf)))
+
+
+def q_caption_microblog(spark, sf):
+    p = _picks(spark, sf)
+    return p.select("pos", "sku_selecionado", Pl.microblog_caption(p).alias("legenda"))
+
+
+def q_narration_text(spark, sf):
+    p = _picks(spark, sf)
+    return p.select("pos", "sku_selecionado", Pl.narration_text(p).alias("locucao"))
+
+
+def q_offer_summary(spark, sf):
+    return Pl.offer_summary(_picks(spark, sf))
+
+
+def q_posted_enrichment(spark, sf):
+    ev = T.table(spark, sf, "events")
+    recent = S.latest_posts(T.posted_log(ev), _events_now(ev)).select("sku")
+    posted = _picks(spark, sf).select(F.col("sku_selecionado").alias("sku")).unionByName(recent).distinct()
+    return Pl.enrich_posted(posted, enriched_offers(spark, sf))
+
+
+def q_latest_top_posts(spark, sf):
+    posts = _posts(spark, sf).withColumn("run_date", F.to_date("created_time"))
+    r = Pl.latest_run_top_posts(posts)
+    return r.select("run_date", F.size("top_posts").alias("n_top"),
+                    F.array_join(F.transform("top_posts", lambda x: x["user_id"].cast("string")), ",")
+                    .alias("top_users"))
+
+
+def q_page_social_image(spark, sf):
+    return T.table(spark, sf, "pages").select("page_id", Pl.social_image(F.col("html")).alias("imagem_url"))
+
+
+PAYLOAD_QUERIES = {
+    "caption_microblog": q_caption_microblog,
+    "narration_text": q_narration_text,
+    "offer_summary": q_offer_summary,
+    "posted_enrichment": q_posted_enrichment,
+    "latest_top_posts": q_latest_top_posts,
+    "page_social_image": q_page_social_image,
+}
+
+
 def build() -> dict[str, Query]:
     out = {
         "price_history_daily": q_price_history_daily,
@@ -531,4 +582,5 @@ def build() -> dict[str, Query]:
     out.update(MAINT_QUERIES)
     out.update(INGEST_QUERIES)
     out.update(RESPONSE_QUERIES)
+    out.update(PAYLOAD_QUERIES)
     return out

@@ -188,4 +188,6 @@ FROM w"""
     s.update(build_maint())
     from shelfscope.plans.oracle_ingest import build_ingest
     s.update(build_ingest())
+    from shelfscope.plans.oracle_payloads import build_payloads
+    s.update(build_payloads())
     return s
