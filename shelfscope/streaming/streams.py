@@ -111,9 +111,10 @@ def engagement_per_hour(posts: DataFrame, lateness: str = "2 hours") -> DataFram
 
 
 def start(df: DataFrame, spark: SparkSession, name: str, sink=None, fmt: str = "memory",
-          mode: str = "append", available_now: bool = True) -> StreamingQuery:
-    """Start a job with its checkpoint under the shared checkpoint folder."""
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", stream_checkpoint(spark, name))
+          mode: str = "append", available_now: bool = True, checkpoint: str | None = None) -> StreamingQuery:
+    """Start a job; its checkpoint defaults to <spark.checkpoint.dir>/streams/<name>
+    so a restarted job resumes where it stopped."""
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or stream_checkpoint(spark, name))
     if available_now:
         w = w.trigger(availableNow=True)
     if sink is not None:

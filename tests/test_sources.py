@@ -67,9 +67,9 @@ def test_sinks(spark):
     out = tempfile.mkdtemp(prefix="shelfscope-test-csv-")
     df = spark.createDataFrame([("ML_1", 'Mouse "Pro"', 99.9)], "sku string, nome_produto string, preco_atual double")
     Sk.write_offers_csv(df, out + "/ofertas")
-    text = open(glob.glob(out + "/ofertas/*.csv")[0], encoding="utf-8").read()
+    text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(out + "/ofertas/*.csv")))
     assert text.splitlines()[0] == '"sku";"nome_produto";"preco_atual"'
-    assert '"Mouse ""Pro"""' in text
+    assert '"ML_1";"Mouse ""Pro""";"99.9"' in text
     rec = Sk.candidate_records(df.withColumn("score_qualidade", F.lit(1.0))).first()[0]
     assert json.loads(rec) == {"sku": "ML_1", "nome_produto": 'Mouse "Pro"', "preco_atual": 99.9}
     led = spark.createDataFrame([("1", "2026-11-01", "Magalu", 10, 1, 1.5, 'a "b"')], Sk.LEDGER_SCHEMA)

@@ -16,6 +16,10 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
+def _ckpt(name):
+    return tempfile.mkdtemp(prefix=f"shelfscope-test-ckpt-{name}-")
+
+
 def _as_stream(spark, df, name):
     path = tempfile.mkdtemp(prefix=f"shelfscope-test-{name}-") + "/src"
     df.write.parquet(path)
@@ -24,7 +28,7 @@ def _as_stream(spark, df, name):
 
 def test_engagement_per_hour_matches_batch(spark):
     posts = Mx.post_engagement(T.social_posts(T.table(spark, SF, "events"))).select("created_time", "score")
-    q = St.start(St.engagement_per_hour(_as_stream(spark, posts, "t6")), spark, "t6_test")
+    q = St.start(St.engagement_per_hour(_as_stream(spark, posts, "t6")), spark, "t6_test", checkpoint=_ckpt("t6"))
     q.awaitTermination()
     got = {r["hora"]: (r["posts"], r["eng"]) for r in spark.table("t6_test").collect()}
     exp = {r["created_time"]: (r["posts"], r["eng"]) for r in
@@ -38,7 +42,7 @@ def test_daily_stream_upserts_history(spark):
     obs = T.price_observations(T.table(spark, SF, "lineitem"))
     hist_path = tempfile.mkdtemp(prefix="shelfscope-test-t1-") + "/hist"
     q = St.start(St.daily_price_stream(_as_stream(spark, obs, "t1")), spark, "t1_test",
-                 sink=St.upsert_daily_batches(spark, hist_path))
+                 sink=St.upsert_daily_batches(spark, hist_path), checkpoint=_ckpt("t1"))
     q.awaitTermination()
     got = {(r["sku"], r["data_coleta"]): r["preco_min_dia"] for r in spark.read.parquet(hist_path).collect()}
     exp = {(r["sku"], r["data_coleta"]): r["preco_min_dia"] for r in radar.daily_compaction(obs).collect()}
@@ -49,11 +53,11 @@ def test_first_post_and_url_within_window(spark):
     base = dt.datetime(2024, 1, 1)
     posts = spark.createDataFrame([("a", base), ("a", base + dt.timedelta(hours=5)), ("b", base)],
                                   "sku string, postado_em timestamp_ntz")
-    q = St.start(St.first_post_within(_as_stream(spark, posts, "t2")), spark, "t2_test")
+    q = St.start(St.first_post_within(_as_stream(spark, posts, "t2")), spark, "t2_test", checkpoint=_ckpt("t2"))
     q.awaitTermination()
     assert sorted(r["sku"] for r in spark.table("t2_test").collect()) == ["a", "b"]
     items = spark.createDataFrame([("h1", base), ("h1", base + dt.timedelta(days=1)), ("h2", base)],
                                   "url_hash string, publicado_em timestamp_ntz")
-    q = St.start(St.first_url_within(_as_stream(spark, items, "t3")), spark, "t3_test")
+    q = St.start(St.first_url_within(_as_stream(spark, items, "t3")), spark, "t3_test", checkpoint=_ckpt("t3"))
     q.awaitTermination()
     assert spark.table("t3_test").count() == 2
