@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfscope.operators import radar
 from shelfscope.plans.oracle_sql import RADAR_DATES
+from shelfscope.session import materialize
 from shelfscope.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,12 +26,19 @@ def q_price_history_daily(spark, sf):
     return _hist(spark, sf)
 
 
+def _stored_hist(spark, sf) -> DataFrame:
+    """The price history as the radar reads it: a stored table (here the
+    compaction of the driver observations, checkpointed once), so the offer
+    lookup and the trailing window do not each recompute the compaction."""
+    return materialize(_hist(spark, sf))
+
+
 def q_price_radar(spark, sf):
-    return radar.price_radar(_hist(spark, sf), RADAR_DATES)
+    return radar.price_radar(_stored_hist(spark, sf), RADAR_DATES)
 
 
 def q_radar_counters(spark, sf):
-    return radar.radar_counters(radar.price_radar(_hist(spark, sf), RADAR_DATES))
+    return radar.radar_counters(radar.price_radar(_stored_hist(spark, sf), RADAR_DATES))
 
 
 def q_radar_backfill(spark, sf):
