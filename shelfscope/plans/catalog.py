@@ -551,8 +551,10 @@ def q_offer_summary(spark, sf):
 def q_posted_enrichment(spark, sf):
     ev = T.table(spark, sf, "events")
     recent = S.latest_posts(T.posted_log(ev), _events_now(ev)).select("sku")
-    posted = _picks(spark, sf).select(F.col("sku_selecionado").alias("sku")).unionByName(recent).distinct()
-    return Pl.enrich_posted(posted, enriched_offers(spark, sf))
+    cat = enriched_offers(spark, sf)  # one checkpointed catalogue for picks and lookup
+    picks = materialize(S.fallback_selection(materialize(S.balance_candidates(cat))))
+    posted = picks.select(F.col("sku_selecionado").alias("sku")).unionByName(recent).distinct()
+    return Pl.enrich_posted(posted, cat)
 
 
 def q_latest_top_posts(spark, sf):
