@@ -1,4 +1,5 @@
-"""Channel payload columns and small projections: microblog caption (P33),
+"""Channel payload columns and small projections: microblog, threads and page
+captions (P33),
 narration text (P34), offer summary (P41), posted-sku enrichment (J10),
 latest run with top posts (W9), social image of a page (P26), history scan (S10).
 """
@@ -17,6 +18,13 @@ BADGE_A = "🔵 [MAGALU]"
 MIN_PRICE_LINE = "📉 MENOR PREÇO REGISTRADO!"
 CAPTION_FOOTER = ["📲 Link da oferta no nosso Telegram: @promosgeektech (link na bio!)",
                   "#Promocao #Oferta #Tech #Gamer"]
+THREADS_FOOTER = "📢 Mais ofertas no Telegram: @promosgeektech"
+THREADS_BUY = "🛒 Compre aqui: "
+THREADS_MAX = 495
+PAGE_DEFAULT_CTA = "Aproveite antes que o preço suba!"
+PAGE_FOOTER = ["👇 Link direto da oferta no 1º comentário!",
+               "📢 Mais promoções diárias no Telegram: @promosgeektech", "",
+               "#Promocao #Oferta #Desconto #Tech #Gamer"]
 NARRATION_OPEN_MIN = "Menor preço registrado!"
 NARRATION_OPEN = "Alerta de oferta!"
 NARRATION_CLOSE = "Link no primeiro comentário!"
@@ -34,12 +42,19 @@ def _half_even_int(c) -> F.Column:
 def microblog_caption(df: DataFrame) -> F.Column:
     """P33 (microblog channel): store badge, minimum-price line, title cut to
     85 + '...' above 88 chars, old and current price lines, footer; no URL."""
-    title_raw = py_strip(F.coalesce(F.when(py_strip(F.coalesce("copy_titulo", F.lit(""))) != "", F.col("copy_titulo")),
-                                    F.when(py_strip(F.coalesce("nome_produto", F.lit(""))) != "",
-                                           F.col("nome_produto")), F.lit("Super Oferta!")))
-    title = truncate_ellipsis(title_raw, 88, 85)
+    title, price, badge, min_line = _caption_head(df)
+    old_line, now_line = _price_lines(price, "✅ Por: R$ ")
+    # concat_ws skips nulls: optional lines simply disappear, blank lines stay
+    return F.concat_ws("\n", badge, min_line, F.concat(F.lit("🔥 "), truncate_ellipsis(title, 88, 85)), F.lit(""),
+                       old_line, now_line, F.lit(""), *[F.lit(x) for x in CAPTION_FOOTER])
+
+
+def _caption_head(df: DataFrame):
+    """Badge, minimum-price line and '🔥 title' shared by the captions."""
+    title = py_strip(F.coalesce(F.when(py_strip(F.coalesce("copy_titulo", F.lit(""))) != "", F.col("copy_titulo")),
+                                F.when(py_strip(F.coalesce("nome_produto", F.lit(""))) != "",
+                                       F.col("nome_produto")), F.lit("Super Oferta!")))
     price = F.coalesce(F.col("preco_atual"), F.lit(0.0))
-    disc = F.coalesce(F.col("percentual_desconto"), F.lit(0.0))
     url = F.lower(F.coalesce(F.col("url_afiliado"), F.lit("")))
     store = F.coalesce(F.when(F.coalesce(F.col("loja"), F.lit("")) != "", F.col("loja")),
                        F.when(url.contains("mercadolivre"), F.lit("Mercado Livre")).otherwise(F.lit("Magalu")))
@@ -48,14 +63,45 @@ def microblog_caption(df: DataFrame) -> F.Column:
     min_line = F.when(F.coalesce(F.col("menor_preco_historico"), F.lit(False)),
                       F.when(media > price, F.concat(F.lit(MIN_PRICE_LINE + " (Média anterior: R$ "), _money(media),
                                                      F.lit(")"))).otherwise(F.lit(MIN_PRICE_LINE)))
+    return title, price, badge, min_line
+
+
+def _price_lines(price, now_prefix: str):
+    disc = F.coalesce(F.col("percentual_desconto"), F.lit(0.0))
     old = F.col("preco_antigo")
     old_line = F.when(old.isNotNull() & (old != 0) & (old > price), F.concat(F.lit("❌ De: R$ "), _money(old)))
-    now_line = F.when(disc >= 5, F.concat(F.lit("✅ Por: R$ "), _money(price), F.lit(" ("),
+    now_line = F.when(disc >= 5, F.concat(F.lit(now_prefix), _money(price), F.lit(" ("),
                                           _half_even_int(disc).cast("string"), F.lit("% OFF!)"))).otherwise(
-        F.concat(F.lit("✅ Por: R$ "), _money(price)))
-    # concat_ws skips nulls: optional lines simply disappear, blank lines stay
-    return F.concat_ws("\n", badge, min_line, F.concat(F.lit("🔥 "), title), F.lit(""), old_line, now_line,
-                       F.lit(""), *[F.lit(x) for x in CAPTION_FOOTER])
+        F.concat(F.lit(now_prefix), _money(price)))
+    return old_line, now_line
+
+
+def threads_caption(df: DataFrame) -> F.Column:
+    """P33 (threads channel): title, body cut to 140, price lines, buy link when
+    present, footer; whole text cut to 495 characters."""
+    title, price, badge, min_line = _caption_head(df)
+    body = py_strip(F.coalesce(F.col("copy_corpo"), F.lit("")))
+    url = py_strip(F.coalesce(F.col("url_afiliado"), F.lit("")))
+    old_line, now_line = _price_lines(price, "✅ Por: R$ ")
+    has_body, has_url = body != "", url != ""
+    text = F.concat_ws("\n", badge, min_line, F.concat(F.lit("🔥 "), title), F.lit(""),
+                       F.when(has_body, F.substring(body, 1, 140)), F.when(has_body, F.lit("")),
+                       old_line, now_line, F.when(has_url, F.lit("")),
+                       F.when(has_url, F.concat(F.lit(THREADS_BUY), url)), F.lit(""), F.lit(THREADS_FOOTER))
+    return F.substring(text, 1, THREADS_MAX)
+
+
+def page_caption(df: DataFrame) -> F.Column:
+    """P33 (page feed): no link in the post; body, price lines, call to action, footer."""
+    title, price, badge, min_line = _caption_head(df)
+    body = py_strip(F.coalesce(F.col("copy_corpo"), F.lit("")))
+    cta = py_strip(F.coalesce(F.when(F.coalesce(F.col("copy_cta"), F.lit("")) != "", F.col("copy_cta")),
+                              F.lit(PAGE_DEFAULT_CTA)))
+    old_line, now_line = _price_lines(price, "✅ Por apenas: R$ ")
+    has_body = body != ""
+    return F.concat_ws("\n", badge, min_line, F.concat(F.lit("🔥 "), title), F.lit(""),
+                       F.when(has_body, body), F.when(has_body, F.lit("")), old_line, now_line, F.lit(""),
+                       F.concat(F.lit("⚡ "), cta), *[F.lit(x) for x in PAGE_FOOTER])
 
 
 def spoken_price(c) -> F.Column:

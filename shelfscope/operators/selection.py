@@ -169,7 +169,43 @@ def _copy_columns(df: DataFrame) -> DataFrame:
                         .when(queda >= 5, F.lit("abaixo_mediana"))
                         .otherwise(F.lit("competitivo")))
             .withColumn("cta_tipo", F.when(economia >= 20, F.lit("economize"))
-                        .when(desc >= 5, F.lit("off")).otherwise(F.lit("confira"))))
+                        .when(desc >= 5, F.lit("off")).otherwise(F.lit("confira")))
+            .withColumn("copy_corpo", _copy_body(economia, desc, queda))
+            .withColumn("copy_cta", _copy_cta(economia, desc)))
+
+
+def _int0(c):
+    """Python '{:.0f}': half-to-even on the exact binary value."""
+    return F.bround(c, 0).cast("bigint").cast("string")
+
+
+def _store_name():
+    from shelfscope.functions.pricing import store_from_sku
+    return py_strip(F.coalesce(F.when(F.coalesce(F.col("loja"), F.lit("")) != "", F.col("loja")),
+                               store_from_sku(F.col("sku"))))
+
+
+def _copy_body(economia, desc, queda):
+    """P35 body text (fixed sentences of the deterministic selection)."""
+    loja, preco = _store_name(), F.format_string("%.2f", F.col("preco_atual"))
+    return (F.when(F.coalesce(F.col("menor_preco_historico"), F.lit(False)), F.concat(
+                F.lit("Bateu o menor preço em 180 dias ("), _int0(queda),
+                F.lit("% abaixo da mediana recente) — queda real comprovada.")))
+            .when((economia >= 30) & (desc >= 10), F.replace(F.concat(
+                F.lit("Corte real de R$ "), F.format_number(economia, 0), F.lit(" frente ao valor anterior ("),
+                _int0(desc), F.lit("% OFF) nesta janela em "), loja, F.lit(".")), F.lit(","), F.lit(".")))
+            .when(queda >= 5, F.concat(F.lit("Está "), _int0(queda), F.lit("% abaixo da mediana dos últimos 6 meses em "),
+                                       loja, F.lit(", saindo por R$ "), preco, F.lit(".")))
+            .otherwise(F.concat(F.lit("Condição competitiva no radar em "), loja, F.lit(" por R$ "), preco,
+                                F.lit(" para upgrade direto no setup."))))
+
+
+def _copy_cta(economia, desc):
+    """P35 call to action."""
+    return (F.when(economia >= 20, F.replace(F.concat(F.lit("Economize R$ "), F.format_number(economia, 0),
+                                                      F.lit(" garantindo agora!")), F.lit(","), F.lit(".")))
+            .when(desc >= 5, F.concat(F.lit("Garanta com "), _int0(desc), F.lit("% OFF enquanto dura!")))
+            .otherwise(F.lit("Confira o preço antes do reajuste!")))
 
 
 def fallback_selection(cands: DataFrame, qtd_b: int = rules.TARGET_B, qtd_a: int = rules.TARGET_A
@@ -214,7 +250,7 @@ def fallback_selection(cands: DataFrame, qtd_b: int = rules.TARGET_B, qtd_a: int
     return out.select("pos", F.col("sku").alias("sku_selecionado"), "nome_produto", "loja", "categoria",
                       "preco_atual", "preco_antigo", "percentual_desconto", "menor_preco_historico",
                       "queda_real_percent", "preco_medio_historico", "url_afiliado", "economia", "copy_titulo",
-                      "copy_tipo", "cta_tipo")
+                      "copy_tipo", "cta_tipo", "copy_corpo", "copy_cta")
 
 
 # ------------------------------------------------------------------- P19 / K2

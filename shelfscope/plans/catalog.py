@@ -539,6 +539,16 @@ def q_caption_microblog(spark, sf):
     return p.select("pos", "sku_selecionado", Pl.microblog_caption(p).alias("legenda"))
 
 
+def q_caption_threads(spark, sf):
+    p = _picks(spark, sf)
+    return p.select("pos", "sku_selecionado", Pl.threads_caption(p).alias("legenda"))
+
+
+def q_caption_page(spark, sf):
+    p = _picks(spark, sf)
+    return p.select("pos", "sku_selecionado", Pl.page_caption(p).alias("legenda"))
+
+
 def q_narration_text(spark, sf):
     p = _picks(spark, sf)
     return p.select("pos", "sku_selecionado", Pl.narration_text(p).alias("locucao"))
@@ -571,6 +581,8 @@ def q_page_social_image(spark, sf):
 
 PAYLOAD_QUERIES = {
     "caption_microblog": q_caption_microblog,
+    "caption_threads": q_caption_threads,
+    "caption_page": q_caption_page,
     "narration_text": q_narration_text,
     "offer_summary": q_offer_summary,
     "posted_enrichment": q_posted_enrichment,

@@ -151,16 +151,44 @@ def fallback_ctes(src: str = "bal") -> list[str]:
          CASE WHEN length(nome_produto) > 50 THEN substr(nome_produto, 1, 47) || '...' ELSE nome_produto END
            AS copy_titulo
   FROM fb_fin WHERE pos <= {total})""",
-        """picks_c AS (SELECT *,
+        f"""picks_c AS (SELECT *,
     CASE WHEN menor_preco_historico THEN 'minima_180d'
          WHEN economia >= 30 AND coalesce(percentual_desconto, 0.0) >= 10 THEN 'corte_real'
          WHEN coalesce(queda_real_percent, 0.0) >= 5 THEN 'abaixo_mediana' ELSE 'competitivo' END AS copy_tipo,
     CASE WHEN economia >= 20 THEN 'economize' WHEN coalesce(percentual_desconto, 0.0) >= 5 THEN 'off'
-         ELSE 'confira' END AS cta_tipo
+         ELSE 'confira' END AS cta_tipo,
+    {body_sql()} AS copy_corpo,
+    {cta_sql()} AS copy_cta
   FROM picks)""",
     ]
 
 
+def _int0(x: str) -> str:
+    return f"CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
+
+
+def body_sql() -> str:
+    loja = (f"regexp_replace(coalesce(CASE WHEN coalesce(loja, '') <> '' THEN loja END, "
+            f"{store_sql('sku_selecionado')}), '^\\s+|\\s+$', '', 'g')")
+    desc, queda = "coalesce(percentual_desconto, 0.0)", "coalesce(queda_real_percent, 0.0)"
+    preco = "printf('%.2f', preco_atual)"
+    return (f"CASE WHEN coalesce(menor_preco_historico, false) THEN 'Bateu o menor preço em 180 dias (' || "
+            f"{_int0(queda)} || '% abaixo da mediana recente) — queda real comprovada.' "
+            f"WHEN economia >= 30 AND {desc} >= 10 THEN replace('Corte real de R$ ' || format('{{:,.0f}}', economia) "
+            f"|| ' frente ao valor anterior (' || {_int0(desc)} || '% OFF) nesta janela em ' || {loja} || '.', ',', '.') "
+            f"WHEN {queda} >= 5 THEN 'Está ' || {_int0(queda)} || '% abaixo da mediana dos últimos 6 meses em ' "
+            f"|| {loja} || ', saindo por R$ ' || {preco} || '.' "
+            f"ELSE 'Condição competitiva no radar em ' || {loja} || ' por R$ ' || {preco} "
+            f"|| ' para upgrade direto no setup.' END")
+
+
+def cta_sql() -> str:
+    desc = "coalesce(percentual_desconto, 0.0)"
+    return (f"CASE WHEN economia >= 20 THEN replace('Economize R$ ' || format('{{:,.0f}}', economia) "
+            f"|| ' garantindo agora!', ',', '.') WHEN {desc} >= 5 THEN 'Garanta com ' || {_int0(desc)} "
+            f"|| '% OFF enquanto dura!' ELSE 'Confira o preço antes do reajuste!' END")
+
+
 def channel_sql() -> str:
     parts = []
     for name, bonus, w, use_niche in rules.CHANNEL_WEIGHTS:

@@ -40,6 +40,50 @@ def caption_sql() -> str:
     return f"concat_ws(chr(10), {badge}, {min_line}, '🔥 ' || {title}, '', {old_line}, {now_line}, '', {foot})"
 
 
+def _head_sql():
+    t = strip(f"coalesce({nonblank('copy_titulo')}, {nonblank('nome_produto')}, 'Super Oferta!')")
+    price, media = "coalesce(preco_atual, 0.0)", "coalesce(preco_medio_historico, 0.0)"
+    store = (f"coalesce(CASE WHEN coalesce(loja, '') <> '' THEN loja END, CASE WHEN contains(lower(coalesce("
+             f"url_afiliado, '')), 'mercadolivre') THEN 'Mercado Livre' ELSE 'Magalu' END)")
+    badge = f"CASE WHEN contains(lower({store}), 'mercado') THEN {q(Pl.BADGE_B)} ELSE {q(Pl.BADGE_A)} END"
+    min_line = (f"CASE WHEN coalesce(menor_preco_historico, false) THEN CASE WHEN {media} > {price} THEN "
+                f"{q(Pl.MIN_PRICE_LINE + ' (Média anterior: R$ ')} || printf('%.2f', {media}) || ')' "
+                f"ELSE {q(Pl.MIN_PRICE_LINE)} END END")
+    return t, price, badge, min_line
+
+
+def _price_lines_sql(price, prefix):
+    disc = "coalesce(percentual_desconto, 0.0)"
+    old_line = (f"CASE WHEN preco_antigo IS NOT NULL AND preco_antigo <> 0 AND preco_antigo > {price} "
+                f"THEN '❌ De: R$ ' || printf('%.2f', preco_antigo) END")
+    now_line = (f"CASE WHEN {disc} >= 5 THEN {q(prefix)} || printf('%.2f', {price}) || ' (' || "
+                f"CAST(CAST(round_even({disc}, 0) AS BIGINT) AS VARCHAR) || '% OFF!)' "
+                f"ELSE {q(prefix)} || printf('%.2f', {price}) END")
+    return old_line, now_line
+
+
+def threads_sql() -> str:
+    t, price, badge, min_line = _head_sql()
+    body = strip("coalesce(copy_corpo, '')")
+    url = strip("coalesce(url_afiliado, '')")
+    old_line, now_line = _price_lines_sql(price, "✅ Por: R$ ")
+    text = (f"concat_ws(chr(10), {badge}, {min_line}, '🔥 ' || {t}, '', "
+            f"CASE WHEN {body} <> '' THEN substr({body}, 1, 140) END, CASE WHEN {body} <> '' THEN '' END, "
+            f"{old_line}, {now_line}, CASE WHEN {url} <> '' THEN '' END, "
+            f"CASE WHEN {url} <> '' THEN {q(Pl.THREADS_BUY)} || {url} END, '', {q(Pl.THREADS_FOOTER)})")
+    return f"substr({text}, 1, {Pl.THREADS_MAX})"
+
+
+def page_sql() -> str:
+    t, price, badge, min_line = _head_sql()
+    body = strip("coalesce(copy_corpo, '')")
+    cta = strip(f"coalesce(CASE WHEN coalesce(copy_cta, '') <> '' THEN copy_cta END, {q(Pl.PAGE_DEFAULT_CTA)})")
+    old_line, now_line = _price_lines_sql(price, "✅ Por apenas: R$ ")
+    foot = ", ".join(q(x) for x in Pl.PAGE_FOOTER)
+    return (f"concat_ws(chr(10), {badge}, {min_line}, '🔥 ' || {t}, '', CASE WHEN {body} <> '' THEN {body} END, "
+            f"CASE WHEN {body} <> '' THEN '' END, {old_line}, {now_line}, '', '⚡ ' || {cta}, {foot})")
+
+
 def narration_sql() -> str:
     raw = strip(f"coalesce({nonblank('nome_produto')}, {nonblank('copy_titulo')}, 'esse produto')")
     name = strip(f"regexp_replace(regexp_replace({raw}, '[^\\p{{L}}\\p{{N}}_\\sÀ-ÿ\\-\\+\\.]', ' ', 'g'), "
@@ -78,6 +122,8 @@ def build_payloads() -> dict[str, str]:
     s: dict[str, str] = {}
     pre = _with(*offers_ctes(), *balance_ctes(), *fallback_ctes())
     s["caption_microblog"] = pre + f"SELECT pos, sku_selecionado, {caption_sql()} AS legenda FROM picks_c"
+    s["caption_threads"] = pre + f"SELECT pos, sku_selecionado, {threads_sql()} AS legenda FROM picks_c"
+    s["caption_page"] = pre + f"SELECT pos, sku_selecionado, {page_sql()} AS legenda FROM picks_c"
     s["narration_text"] = pre + f"SELECT pos, sku_selecionado, {narration_sql()} AS locucao FROM picks_c"
     s["offer_summary"] = pre + """
 SELECT pos, coalesce(sku_selecionado, '') AS sku,
