@@ -25,6 +25,11 @@ PAGE_DEFAULT_CTA = "Aproveite antes que o preço suba!"
 PAGE_FOOTER = ["👇 Link direto da oferta no 1º comentário!",
                "📢 Mais promoções diárias no Telegram: @promosgeektech", "",
                "#Promocao #Oferta #Desconto #Tech #Gamer"]
+MSG_BADGE_B = "🟡 <b>[MERCADO LIVRE - FULL]</b>"
+MSG_BADGE_A = "🔵 <b>[MAGALU]</b>"
+MSG_BUTTON_B = "🛒 VER NO MERCADO LIVRE"
+MSG_BUTTON_A = "🛒 GARANTIR OFERTA NO MAGALU"
+MSG_MIN_PRICE = "📉 <b>MENOR PREÇO REGISTRADO!</b>"
 NARRATION_OPEN_MIN = "Menor preço registrado!"
 NARRATION_OPEN = "Alerta de oferta!"
 NARRATION_CLOSE = "Link no primeiro comentário!"
@@ -104,6 +109,35 @@ def page_caption(df: DataFrame) -> F.Column:
                        F.concat(F.lit("⚡ "), cta), *[F.lit(x) for x in PAGE_FOOTER])
 
 
+def messaging_caption(df: DataFrame) -> F.Column:
+    """P33 (messaging channel): struct(legenda, botao, url) with the HTML-marked
+    caption and the inline buy button (present when the pick has a URL)."""
+    title = F.coalesce(F.when(F.coalesce(F.col("copy_titulo"), F.lit("")) != "", F.col("copy_titulo")),
+                       F.col("nome_produto"), F.lit("Super Oferta!"))
+    price = F.coalesce(F.col("preco_atual"), F.lit(0.0))
+    disc = F.coalesce(F.col("percentual_desconto"), F.lit(0.0))
+    url = F.coalesce(F.col("url_afiliado"), F.lit(""))
+    store = F.coalesce(F.when(F.coalesce(F.col("loja"), F.lit("")) != "", F.col("loja")),
+                       F.when(F.lower(url).contains("mercadolivre"), F.lit("Mercado Livre")).otherwise(F.lit("Magalu")))
+    is_b = F.lower(store).contains("mercado")
+    media = F.coalesce(F.col("preco_medio_historico"), F.lit(0.0))
+    seal = F.when(F.coalesce(F.col("menor_preco_historico"), F.lit(False)), F.when(
+        media > price, F.concat(F.lit(MSG_MIN_PRICE + " (Média anterior: R$ "), _money(media), F.lit(")\n")))
+        .otherwise(F.lit(MSG_MIN_PRICE + "\n"))).otherwise(F.lit(""))
+    body = F.coalesce(F.col("copy_corpo"), F.lit(""))
+    old = F.col("preco_antigo")
+    old_line = F.when(old.isNotNull() & (old != 0) & (old > price),
+                      F.concat(F.lit("❌ De: <s>R$ "), _money(old), F.lit("</s>\n"))).otherwise(F.lit(""))
+    text = F.concat(F.when(is_b, F.lit(MSG_BADGE_B)).otherwise(F.lit(MSG_BADGE_A)), F.lit("\n"), seal,
+                    F.lit("🔥 <b>"), title, F.lit("</b>\n\n"),
+                    F.when(body != "", F.concat(body, F.lit("\n\n"))).otherwise(F.lit("")), old_line,
+                    F.lit("✅ <b>Por apenas: R$ "), _money(price), F.lit("</b>\n"),
+                    F.lit("📉 <b>Desconto: "), _half_even_int(disc).cast("string"), F.lit("% OFF</b>\n\n"),
+                    F.lit("⚡ <i>"), F.coalesce(F.col("copy_cta"), F.lit("Garanta o seu com desconto!")), F.lit("</i>"))
+    button = F.when(url != "", F.when(is_b, F.lit(MSG_BUTTON_B)).otherwise(F.lit(MSG_BUTTON_A)))
+    return F.struct(text.alias("legenda"), button.alias("botao"), F.when(url != "", url).alias("url"))
+
+
 def spoken_price(c) -> F.Column:
     """'N reais' or 'N reais e M centavos' (cents rounded half-even)."""
     reais = F.floor(c).cast("bigint")

@@ -549,6 +549,13 @@ def q_caption_page(spark, sf):
     return p.select("pos", "sku_selecionado", Pl.page_caption(p).alias("legenda"))
 
 
+def q_caption_messaging(spark, sf):
+    p = _picks(spark, sf)
+    m = Pl.messaging_caption(p)
+    return p.select("pos", "sku_selecionado", m.getField("legenda").alias("legenda"),
+                    m.getField("botao").alias("botao"), m.getField("url").alias("url_botao"))
+
+
 def q_narration_text(spark, sf):
     p = _picks(spark, sf)
     return p.select("pos", "sku_selecionado", Pl.narration_text(p).alias("locucao"))
@@ -583,6 +590,7 @@ PAYLOAD_QUERIES = {
     "caption_microblog": q_caption_microblog,
     "caption_threads": q_caption_threads,
     "caption_page": q_caption_page,
+    "caption_messaging": q_caption_messaging,
     "narration_text": q_narration_text,
     "offer_summary": q_offer_summary,
     "posted_enrichment": q_posted_enrichment,

@@ -84,6 +84,31 @@ def page_sql() -> str:
             f"CASE WHEN {body} <> '' THEN '' END, {old_line}, {now_line}, '', '⚡ ' || {cta}, {foot})")
 
 
+def messaging_sql() -> tuple[str, str, str]:
+    title = "coalesce(CASE WHEN coalesce(copy_titulo, '') <> '' THEN copy_titulo END, nome_produto, 'Super Oferta!')"
+    price, disc = "coalesce(preco_atual, 0.0)", "coalesce(percentual_desconto, 0.0)"
+    media = "coalesce(preco_medio_historico, 0.0)"
+    url = "coalesce(url_afiliado, '')"
+    store = (f"coalesce(CASE WHEN coalesce(loja, '') <> '' THEN loja END, CASE WHEN contains(lower({url}), "
+             f"'mercadolivre') THEN 'Mercado Livre' ELSE 'Magalu' END)")
+    is_b = f"contains(lower({store}), 'mercado')"
+    nl = "chr(10)"
+    seal = (f"CASE WHEN coalesce(menor_preco_historico, false) THEN CASE WHEN {media} > {price} THEN "
+            f"{q(Pl.MSG_MIN_PRICE + ' (Média anterior: R$ ')} || printf('%.2f', {media}) || ')' || {nl} "
+            f"ELSE {q(Pl.MSG_MIN_PRICE)} || {nl} END ELSE '' END")
+    body = "coalesce(copy_corpo, '')"
+    old_line = (f"CASE WHEN preco_antigo IS NOT NULL AND preco_antigo <> 0 AND preco_antigo > {price} THEN "
+                f"'❌ De: <s>R$ ' || printf('%.2f', preco_antigo) || '</s>' || {nl} ELSE '' END")
+    text = (f"CASE WHEN {is_b} THEN {q(Pl.MSG_BADGE_B)} ELSE {q(Pl.MSG_BADGE_A)} END || {nl} || {seal} || "
+            f"'🔥 <b>' || {title} || '</b>' || {nl} || {nl} || "
+            f"CASE WHEN {body} <> '' THEN {body} || {nl} || {nl} ELSE '' END || {old_line} || "
+            f"'✅ <b>Por apenas: R$ ' || printf('%.2f', {price}) || '</b>' || {nl} || "
+            f"'📉 <b>Desconto: ' || CAST(CAST(round_even({disc}, 0) AS BIGINT) AS VARCHAR) || '% OFF</b>' || {nl} || {nl} "
+            f"|| '⚡ <i>' || coalesce(copy_cta, 'Garanta o seu com desconto!') || '</i>'")
+    button = (f"CASE WHEN {url} <> '' THEN CASE WHEN {is_b} THEN {q(Pl.MSG_BUTTON_B)} ELSE {q(Pl.MSG_BUTTON_A)} END END")
+    return text, button, f"CASE WHEN {url} <> '' THEN {url} END"
+
+
 def narration_sql() -> str:
     raw = strip(f"coalesce({nonblank('nome_produto')}, {nonblank('copy_titulo')}, 'esse produto')")
     name = strip(f"regexp_replace(regexp_replace({raw}, '[^\\p{{L}}\\p{{N}}_\\sÀ-ÿ\\-\\+\\.]', ' ', 'g'), "
@@ -124,6 +149,8 @@ def build_payloads() -> dict[str, str]:
     s["caption_microblog"] = pre + f"SELECT pos, sku_selecionado, {caption_sql()} AS legenda FROM picks_c"
     s["caption_threads"] = pre + f"SELECT pos, sku_selecionado, {threads_sql()} AS legenda FROM picks_c"
     s["caption_page"] = pre + f"SELECT pos, sku_selecionado, {page_sql()} AS legenda FROM picks_c"
+    mt, mb, mu = messaging_sql()
+    s["caption_messaging"] = pre + f"SELECT pos, sku_selecionado, {mt} AS legenda, {mb} AS botao, {mu} AS url_botao FROM picks_c"
     s["narration_text"] = pre + f"SELECT pos, sku_selecionado, {narration_sql()} AS locucao FROM picks_c"
     s["offer_summary"] = pre + """
 SELECT pos, coalesce(sku_selecionado, '') AS sku,
