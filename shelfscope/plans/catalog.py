@@ -599,6 +599,41 @@ PAYLOAD_QUERIES = {
 }
 
 
+# ------------------------------------------------------------------- feed XML (S3)
+from shelfscope.sources import feeds as Fd  # noqa: E402
+
+
+def _xml_escape(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def derived_feeds(spark, sf) -> DataFrame:
+    """RSS documents built from the news items: one feed document per (source,
+    day), so a document is bounded by one day of one source."""
+    items = T.feed_items(T.table(spark, sf, "documents"))
+    pub = F.concat(F.date_format("publicado_em", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    xml_item = F.concat(F.lit("<item><title>"), _xml_escape(F.col("titulo")), F.lit("</title><link>"),
+                        _xml_escape(F.col("url")), F.lit("</link><description>"), _xml_escape(F.col("titulo")),
+                        F.lit("</description><pubDate>"), pub, F.lit("</pubDate></item>"))
+    g = (items.groupBy("fonte", F.to_date("publicado_em").alias("dia"))
+         .agg(F.array_sort(F.collect_list(F.struct("doc_id", xml_item.alias("x")))).alias("xs")))
+    return g.select("fonte", F.unix_date("dia").alias("feed_ord"),
+                    F.concat(F.lit('<?xml version="1.0"?><rss><channel><title>'), _xml_escape(F.col("fonte")),
+                             F.lit("</title>"), F.array_join(F.transform("xs", lambda e: e["x"]), ""),
+                             F.lit("</channel></rss>")).alias("xml"))
+
+
+def q_feed_xml_items(spark, sf):
+    feeds = materialize(derived_feeds(spark, sf))  # stands for the fetched feed table
+    now = T.feed_items(T.table(spark, sf, "documents")).select(F.max("publicado_em")).scalar()
+    return Fd.news_from_feeds(feeds, now).select("fonte", "titulo", "url", "resumo", "tema_normalizado",
+                                                 "publicado_em")
+
+
+FEED_QUERIES = {"feed_xml_items": q_feed_xml_items}
+
+
 def build() -> dict[str, Query]:
     out = {
         "price_history_daily": q_price_history_daily,
@@ -613,4 +648,5 @@ def build() -> dict[str, Query]:
     out.update(INGEST_QUERIES)
     out.update(RESPONSE_QUERIES)
     out.update(PAYLOAD_QUERIES)
+    out.update(FEED_QUERIES)
     return out

@@ -105,6 +105,8 @@ SELECT doc_id,
   array_to_string(list_filter(list_filter(regexp_split_to_array({strip_sql('headline')}, '\\s+'), lambda w: w <> ''),
       lambda w: list_contains(dest, regexp_replace({fold_sql('w')}, '[^\\p{{L}}\\p{{N}}_]', '', 'g'))), ' ') AS palavras_destacadas
 FROM h3"""
+    s["feed_xml_items"] = _with(FEED, RECENT) + f"""
+SELECT fonte, titulo, url, {clean_summary_sql('titulo')} AS resumo, tema_normalizado, publicado_em FROM rec"""
     s["published_today"] = _with(FEED) + """
 SELECT coalesce(max(CAST(publicado_em AS DATE) = CAST((SELECT max(publicado_em) FROM feed) - INTERVAL 3 HOUR AS DATE)),
                 false) AS publicado_hoje

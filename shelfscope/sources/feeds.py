@@ -53,9 +53,10 @@ def first_img_src(html) -> F.Column:
 def feed_entries(feeds: DataFrame) -> DataFrame:
     """S3: one row per entry (fonte, feed_ord, pos, title, link, summary, published,
     image_url); RSS items, or Atom entries when a feed has no RSS item."""
-    x = feeds.select("fonte", "feed_ord", F.from_xml("xml", RSS_SCHEMA).alias("r"),
-                     F.from_xml("xml", ATOM_SCHEMA).alias("a"))
+    x = feeds.select("fonte", "feed_ord", "xml", F.from_xml("xml", RSS_SCHEMA).alias("r"))
     n_rss = F.coalesce(F.size(F.col("r.channel.item")), F.lit(0))
+    # the Atom reading runs only for documents without RSS items
+    x = x.withColumn("a", F.when(n_rss == 0, F.from_xml("xml", ATOM_SCHEMA))).drop("xml")
     rss = x.filter(n_rss > 0).select("fonte", "feed_ord", F.posexplode("r.channel.item").alias("pos", "i"))
     media_img = F.coalesce(
         valid_image(F.col("i.`media:content`._url")), valid_image(F.col("i.`media:thumbnail`._url")),
