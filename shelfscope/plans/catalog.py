@@ -397,15 +397,15 @@ def q_row_loss_guard(spark, sf):
                        g.getField("queda_injustificada_pct").alias("queda_injustificada_pct"))
 
 
-def legacy_price_docs(spark, sf, buckets: int = 64) -> DataFrame:
-    """Legacy price JSON documents derived from the history: one document per
-    (day, sku bucket), so no document grows with the catalogue."""
+def legacy_price_docs(spark, sf) -> DataFrame:
+    """Legacy price JSON documents derived from the history: one single-entry
+    {sku: {min, avg, count, last, updated}} map per history row (the parser
+    handles any number of entries; a document never grows with the catalogue)."""
     h = _hist(spark, sf)
     entry = F.struct(F.col("preco_min_dia").alias("min"), F.lit(None).cast("double").alias("avg"),
                      F.lit(1).alias("count"), F.when(F.col("titulo") != "", F.col("preco_ultimo")).alias("last"),
                      F.date_format("data_coleta", "yyyy-MM-dd").alias("updated"))
-    return (h.groupBy("data_coleta", F.pmod(F.xxhash64("sku"), F.lit(buckets)).alias("b"))
-            .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("sku", entry)))).alias("doc")))
+    return h.select(F.to_json(F.create_map(F.col("sku"), entry)).alias("doc"))
 
 
 def q_legacy_price_migration(spark, sf):
@@ -608,17 +608,22 @@ def _xml_escape(c):
                      F.lit(">"), F.lit("&gt;"))
 
 
+FEED_BLOCK = 50
+
+
 def derived_feeds(spark, sf) -> DataFrame:
-    """RSS documents built from the news items: one feed document per (source,
-    day), so a document is bounded by one day of one source."""
+    """RSS documents built from the news items: one feed document per source
+    and block of 50 consecutive document ids, so no document holds more than
+    50 items however prolific a source is."""
     items = T.feed_items(T.table(spark, sf, "documents"))
     pub = F.concat(F.date_format("publicado_em", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
     xml_item = F.concat(F.lit("<item><title>"), _xml_escape(F.col("titulo")), F.lit("</title><link>"),
                         _xml_escape(F.col("url")), F.lit("</link><description>"), _xml_escape(F.col("titulo")),
                         F.lit("</description><pubDate>"), pub, F.lit("</pubDate></item>"))
-    g = (items.groupBy("fonte", F.to_date("publicado_em").alias("dia"))
+    block = F.floor(F.col("doc_id") / FEED_BLOCK)
+    g = (items.groupBy("fonte", block.alias("bloco"))
          .agg(F.array_sort(F.collect_list(F.struct("doc_id", xml_item.alias("x")))).alias("xs")))
-    return g.select("fonte", F.unix_date("dia").alias("feed_ord"),
+    return g.select("fonte", F.col("bloco").alias("feed_ord"),
                     F.concat(F.lit('<?xml version="1.0"?><rss><channel><title>'), _xml_escape(F.col("fonte")),
                              F.lit("</title>"), F.array_join(F.transform("xs", lambda e: e["x"]), ""),
                              F.lit("</channel></rss>")).alias("xml"))

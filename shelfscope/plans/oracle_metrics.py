@@ -42,8 +42,8 @@ POSTS = """posts AS (
          count(*) FILTER (WHERE event_type = 'click') AS likes,
          count(*) FILTER (WHERE event_type = 'signup') AS comments,
          count(*) FILTER (WHERE event_type = 'purchase') AS shares,
-         'post of user ' || CAST(user_id AS VARCHAR) || chr(10) || 'events: '
-           || array_to_string(list_sort(list(event_type)), ', ') AS message
+         'post of user ' || CAST(user_id AS VARCHAR) || chr(10) || CAST(count(*) AS VARCHAR) || ' events: '
+           || array_to_string(list_sort(list(DISTINCT event_type)), ', ') AS message
   FROM events GROUP BY 1, 2),
 pe AS (
   SELECT *, likes + comments * 2 + shares * 3 AS score,

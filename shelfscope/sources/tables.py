@@ -155,10 +155,13 @@ def social_posts(events: DataFrame) -> DataFrame:
             .agg(F.count_if(F.col("event_type") == "click").alias("likes"),
                  F.count_if(F.col("event_type") == "signup").alias("comments"),
                  F.count_if(F.col("event_type") == "purchase").alias("shares"),
-                 F.array_join(F.array_sort(F.collect_list("event_type")), ", ").alias("_types"))
+                 F.count(F.lit(1)).alias("_n"),
+                 # distinct types only: bounded by the type vocabulary, not by a hot user-hour
+                 F.array_join(F.array_sort(F.collect_set("event_type")), ", ").alias("_types"))
             .withColumn("message", F.concat(F.lit("post of user "), F.col("user_id").cast("string"),
-                                            F.lit("\nevents: "), F.col("_types")))
-            .drop("_types"))
+                                            F.lit("\n"), F.col("_n").cast("string"), F.lit(" events: "),
+                                            F.col("_types")))
+            .drop("_types", "_n"))
 
 
 # --------------------------------------------------------------------------- F7
