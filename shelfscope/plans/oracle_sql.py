@@ -8,7 +8,6 @@ kept as CTE fragments below; rule tables are rendered from
 
 from __future__ import annotations
 
-import unicodedata
 
 from shelfscope.functions import rules
 

@@ -57,7 +57,7 @@ def price_observations(lineitem: DataFrame, key: str = "l_suppkey") -> DataFrame
 
 
 # --------------------------------------------------------------------------- F1
-def offers_catalog(part: DataFrame, lineitem: DataFrame, strict_rules: bool = False) -> DataFrame:
+def offers_catalog(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Current offers: one per part, priced by its latest line item.
 
     old price = unit list price, current price = unit price after discount,

@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from shelfscope.functions.pricing import parse_price_text
 from shelfscope.operators import ingest as I
