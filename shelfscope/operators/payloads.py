@@ -138,6 +138,71 @@ def messaging_caption(df: DataFrame) -> F.Column:
     return F.struct(text.alias("legenda"), button.alias("botao"), F.when(url != "", url).alias("url"))
 
 
+# Fixed value: the e-mail digest block of one pick ({name} placeholders).
+DIGEST_TEMPLATE = (
+    "\n"
+    '            <div style="border: 1px solid #ddd; border-radius: 8px; margin-bottom: 20px; padding: 16px; '
+    'background-color: #f9f9f9;">\n'
+    '                <h3 style="color: #0086ff; margin-top: 0;">[{loja}] Oportunidade {n}: {nome}</h3>\n'
+    "                <p>\n"
+    "                    <strong>Preço:</strong> R$ {preco} | \n"
+    '                    <strong>Desconto:</strong> <span style="color: #c00;">{desconto}% OFF</span> | \n'
+    '                    <strong>Comissão Afiliado:</strong> <span style="color: #008000; font-weight: bold;">'
+    "{comissao} (~{lucro}/venda)</span>\n"
+    "                </p>\n"
+    '                <div style="background-color: #fff; border: 1px dashed #ccc; padding: 12px; margin-top: 15px;">\n'
+    "                    <p><strong>Título:</strong> {titulo}</p>\n"
+    "                    <p><strong>Corpo:</strong> {corpo}</p>\n"
+    "                    <p><strong>CTA:</strong> {cta}</p>\n"
+    "                </div>\n"
+    '                <a href="{url}" style="display: inline-block; background-color: #0086ff; color: #ffffff; '
+    "padding: 10px 15px; text-decoration: none; border-radius: 5px; font-weight: bold; margin-top: 15px;\">"
+    "Ver Oferta</a>\n"
+    "            </div>\n"
+    "            ")
+
+
+def _fill(template: str, values: dict) -> F.Column:
+    import re as _re
+    parts, pos = [], 0
+    for m in _re.finditer(r"\{(\w+)\}", template):
+        parts.append(F.lit(template[pos:m.start()]))
+        parts.append(values[m.group(1)])
+        pos = m.end()
+    parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)
+
+
+def digest_block(df: DataFrame) -> F.Column:
+    """P33 (e-mail digest): one HTML block per pick; commission 'N/A' when
+    unknown, profit derived from price x commission when missing."""
+    price = F.coalesce(F.col("preco_atual"), F.lit(0.0))
+    comm = F.col("comissao_percent")
+    lucro = F.coalesce(F.col("lucro_estimado_reais"),
+                       F.when(comm.isNotNull(), F.bround(price * (comm / 100.0), 2)))
+    values = {
+        "loja": F.coalesce(F.col("loja"), F.lit("Oferta")),
+        "n": F.col("pos").cast("string"),
+        "nome": F.coalesce(F.col("nome_produto"), F.lit("N/A")),
+        "preco": _money(price),
+        "desconto": F.coalesce(F.col("percentual_desconto"), F.lit(0.0)).cast("string"),
+        "comissao": F.when(comm.isNotNull(), F.concat(comm.cast("string"), F.lit("%"))).otherwise(F.lit("N/A")),
+        "lucro": F.when(lucro.isNotNull(), F.concat(F.lit("R$ "), _money(lucro))).otherwise(F.lit("N/A")),
+        "titulo": F.coalesce(F.col("copy_titulo"), F.lit("N/A")),
+        "corpo": F.coalesce(F.col("copy_corpo"), F.lit("N/A")),
+        "cta": F.coalesce(F.col("copy_cta"), F.lit("N/A")),
+        "url": F.coalesce(F.col("url_afiliado"), F.lit("#")),
+    }
+    return _fill(DIGEST_TEMPLATE, values)
+
+
+def digest_html(picks: DataFrame) -> DataFrame:
+    """The run's digest: blocks in pick order (a run has at most 20 picks)."""
+    return picks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", digest_block(picks)
+                                                                                   .alias("b")))),
+                                              lambda x: x["b"]), "").alias("html"))
+
+
 def spoken_price(c) -> F.Column:
     """'N reais' or 'N reais e M centavos' (cents rounded half-even)."""
     reais = F.floor(c).cast("bigint")

@@ -218,7 +218,8 @@ def fallback_selection(cands: DataFrame, qtd_b: int = rules.TARGET_B, qtd_a: int
     Output: one row per pick with its position ``pos``.
     """
     total = qtd_b + qtd_a
-    for c, t in (("url_afiliado", "string"), ("preco_medio_historico", "double")):
+    for c, t in (("url_afiliado", "string"), ("preco_medio_historico", "double"), ("comissao_percent", "double"),
+                 ("lucro_estimado_reais", "double")):
         if c not in cands.columns:
             cands = cands.withColumn(c, F.lit(None).cast(t))
     base = (cands.withColumn("_neg_score", -F.col("score_qualidade"))
@@ -249,8 +250,9 @@ def fallback_selection(cands: DataFrame, qtd_b: int = rules.TARGET_B, qtd_a: int
     out = _copy_columns(out)
     return out.select("pos", F.col("sku").alias("sku_selecionado"), "nome_produto", "loja", "categoria",
                       "preco_atual", "preco_antigo", "percentual_desconto", "menor_preco_historico",
-                      "queda_real_percent", "preco_medio_historico", "url_afiliado", "economia", "copy_titulo",
-                      "copy_tipo", "cta_tipo", "copy_corpo", "copy_cta")
+                      "queda_real_percent", "preco_medio_historico", "url_afiliado", "comissao_percent",
+                      "lucro_estimado_reais", "economia", "copy_titulo", "copy_tipo", "cta_tipo", "copy_corpo",
+                      "copy_cta")
 
 
 # ------------------------------------------------------------------- P19 / K2

@@ -556,6 +556,10 @@ def q_caption_messaging(spark, sf):
                     m.getField("botao").alias("botao"), m.getField("url").alias("url_botao"))
 
 
+def q_digest_html(spark, sf):
+    return Pl.digest_html(_picks(spark, sf))
+
+
 def q_narration_text(spark, sf):
     p = _picks(spark, sf)
     return p.select("pos", "sku_selecionado", Pl.narration_text(p).alias("locucao"))
@@ -591,6 +595,7 @@ PAYLOAD_QUERIES = {
     "caption_threads": q_caption_threads,
     "caption_page": q_caption_page,
     "caption_messaging": q_caption_messaging,
+    "digest_html": q_digest_html,
     "narration_text": q_narration_text,
     "offer_summary": q_offer_summary,
     "posted_enrichment": q_posted_enrichment,

@@ -109,6 +109,27 @@ def messaging_sql() -> tuple[str, str, str]:
     return text, button, f"CASE WHEN {url} <> '' THEN {url} END"
 
 
+def digest_block_sql() -> str:
+    import re
+    price, comm = "coalesce(preco_atual, 0.0)", "comissao_percent"
+    lucro = f"coalesce(lucro_estimado_reais, CASE WHEN {comm} IS NOT NULL THEN round_even({price} * ({comm} / 100.0), 2) END)"
+    vals = {
+        "loja": "coalesce(loja, 'Oferta')", "n": "CAST(pos AS VARCHAR)", "nome": "coalesce(nome_produto, 'N/A')",
+        "preco": f"printf('%.2f', {price})", "desconto": "CAST(coalesce(percentual_desconto, 0.0) AS VARCHAR)",
+        "comissao": f"CASE WHEN {comm} IS NOT NULL THEN CAST({comm} AS VARCHAR) || '%' ELSE 'N/A' END",
+        "lucro": f"CASE WHEN ({lucro}) IS NOT NULL THEN 'R$ ' || printf('%.2f', {lucro}) ELSE 'N/A' END",
+        "titulo": "coalesce(copy_titulo, 'N/A')", "corpo": "coalesce(copy_corpo, 'N/A')",
+        "cta": "coalesce(copy_cta, 'N/A')", "url": "coalesce(url_afiliado, '#')",
+    }
+    parts, pos, t = [], 0, Pl.DIGEST_TEMPLATE
+    for m in re.finditer(r"\{(\w+)\}", t):
+        parts.append(q(t[pos:m.start()]).replace("\n", "' || chr(10) || '"))
+        parts.append(f"({vals[m.group(1)]})")
+        pos = m.end()
+    parts.append(q(t[pos:]).replace("\n", "' || chr(10) || '"))
+    return " || ".join(parts)
+
+
 def narration_sql() -> str:
     raw = strip(f"coalesce({nonblank('nome_produto')}, {nonblank('copy_titulo')}, 'esse produto')")
     name = strip(f"regexp_replace(regexp_replace({raw}, '[^\\p{{L}}\\p{{N}}_\\sÀ-ÿ\\-\\+\\.]', ' ', 'g'), "
@@ -151,6 +172,7 @@ def build_payloads() -> dict[str, str]:
     s["caption_page"] = pre + f"SELECT pos, sku_selecionado, {page_sql()} AS legenda FROM picks_c"
     mt, mb, mu = messaging_sql()
     s["caption_messaging"] = pre + f"SELECT pos, sku_selecionado, {mt} AS legenda, {mb} AS botao, {mu} AS url_botao FROM picks_c"
+    s["digest_html"] = pre + f"SELECT string_agg({digest_block_sql()}, '' ORDER BY pos) AS html FROM picks_c"
     s["narration_text"] = pre + f"SELECT pos, sku_selecionado, {narration_sql()} AS locucao FROM picks_c"
     s["offer_summary"] = pre + """
 SELECT pos, coalesce(sku_selecionado, '') AS sku,
