@@ -84,6 +84,14 @@ def q_offers_dedup(spark, sf):
     return S.keep_first(listings, "sku", ["source_rank", "page", "idx"])
 
 
+def q_route_counts(spark, sf):
+    """A4: kept listings per store and route (route = source rank of the listing)."""
+    d = q_offers_dedup(spark, sf)
+    from shelfscope.functions.pricing import store_from_sku
+    return d.groupBy(store_from_sku(F.col("sku")).alias("loja"), F.col("source_rank").alias("rota")).agg(
+        F.count(F.lit(1)).alias("itens"))
+
+
 def _events_now(ev):
     return ev.select(F.max("ts")).scalar()
 
@@ -157,6 +165,7 @@ def q_remaining_candidates(spark, sf):
 OFFERS_QUERIES = {
     "offers_enriched": q_offers_enriched,
     "offers_dedup": q_offers_dedup,
+    "route_counts": q_route_counts,
     "latest_posts": q_latest_posts,
     "repeat_lock": q_repeat_lock,
     "store_quota": q_store_quota,

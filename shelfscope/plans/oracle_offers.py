@@ -266,6 +266,13 @@ WITH l AS (SELECT {sku_sql('l_partkey')} AS sku,
                   l_linenumber AS page, l_orderkey AS idx, l_suppkey AS seller FROM lineitem)
 SELECT sku, source_rank, page, idx, seller
 FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY source_rank, page, idx) AS r FROM l) WHERE r = 1"""
+    s["route_counts"] = f"""
+WITH l AS (SELECT {sku_sql('l_partkey')} AS sku,
+                  CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS source_rank,
+                  l_linenumber AS page, l_orderkey AS idx FROM lineitem),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY source_rank, page, idx) AS r FROM l)
+      WHERE r = 1)
+SELECT {store_sql('sku')} AS loja, source_rank AS rota, count(*) AS itens FROM d GROUP BY 1, 2"""
     recent = f"""now AS (SELECT max(ts) AS now FROM events),
 recent AS (SELECT CAST(user_id AS VARCHAR) AS sku, max(ts) AS ultimo_post FROM events, now
            WHERE event_type = 'purchase' AND ts IS NOT NULL
