@@ -55,6 +55,7 @@ def discount_pct(old, cur) -> Column:
 
 
 def estimated_profit(price, rate) -> Column:
+    """round(price * rate / 100, 2)."""
     return round_n(col_(price) * (col_(rate) / 100.0), 2)
 
 

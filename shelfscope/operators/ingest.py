@@ -333,6 +333,7 @@ def html_card_offers(pages: DataFrame, category: str = "Geral", strict: bool = F
     old = F.when(prev.isNotNull() & (prev > cur), prev).otherwise(cur)
     badge = F.regexp_extract(F.coalesce("disc_text", F.lit("")), r"(\d+)\s*%", 1)
     badge_v = F.when(badge != "", badge.cast("double")).otherwise(F.lit(0.0))
+    # SKU from the listing id in the URL, else index + a stable hash of the name
     mlb = F.upper(F.regexp_extract(F.coalesce("href", F.lit("")), r"(?i)(MLB-?\d+)", 1))
     sku = F.when(mlb != "", F.concat(F.lit(rules.SKU_PREFIX_B), mlb)).otherwise(
         F.concat(F.lit(rules.SKU_PREFIX_B), F.col("idx").cast("string"), F.lit("_"),

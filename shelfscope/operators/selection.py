@@ -350,7 +350,8 @@ def rehydrate(ops: DataFrame, catalog: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------- J8
 def remaining_candidates(cands: DataFrame, ops: DataFrame) -> DataFrame:
-    """Candidates whose sku and name[:40] are both unused by the picks."""
+    """Candidates whose sku and name[:40] are both unused by the picks
+    (set difference by key as two left-anti joins)."""
     used_sku = ops.filter(F.col("sku_selecionado").isNotNull() & (py_strip(F.col("sku_selecionado")) != "")
                           ).select(py_strip(F.col("sku_selecionado")).alias("_u")).distinct()
     used_name = ops.filter(F.col("nome_produto").isNotNull() & (F.col("nome_produto") != "")
