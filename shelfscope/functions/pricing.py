@@ -97,15 +97,6 @@ def hash_jitter(sku, run_id: str, scale: float = 8.0) -> Column:
     return F.pmod(F.xxhash64(col_(sku), F.lit(run_id)), F.lit(8000)).cast("double") / 8000.0 * scale
 
 
-def channel_score(bonus_min, drop_w, use_niche, is_min, drop_pct, discount, profit, niche) -> Column:
-    """Per-channel ranking score: niche? + bonus*is_min + drop*w + 0.6*discount + 0.4*profit."""
-    return (F.when(col_(use_niche), col_(niche)).otherwise(F.lit(0.0))
-            + F.when(F.coalesce(col_(is_min), F.lit(False)), col_(bonus_min)).otherwise(F.lit(0.0))
-            + F.coalesce(col_(drop_pct), F.lit(0.0)) * col_(drop_w)
-            + F.coalesce(col_(discount), F.lit(0.0)) * 0.6
-            + F.coalesce(col_(profit), F.lit(0.0)) * 0.4)
-
-
 def parse_price_text(c) -> Column:
     """Brazilian price text -> double: both separators -> dot is thousands; only a
     comma -> decimal; only dots with a 3-digit tail -> thousands; <= 0 or bad -> null."""
