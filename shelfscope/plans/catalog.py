@@ -30,7 +30,9 @@ def _stored_hist(spark, sf) -> DataFrame:
     """The price history as the radar reads it: a stored table (here the
     compaction of the driver observations, checkpointed once), so the offer
     lookup and the trailing window do not each recompute the compaction."""
-    return materialize(_hist(spark, sf))
+    # only the columns the radar reads: Catalyst prunes the compaction to a
+    # hash-aggregated min(price) with map-side combine before the checkpoint
+    return materialize(_hist(spark, sf).select("sku", "loja", "data_coleta", "preco_min_dia"))
 
 
 def q_price_radar(spark, sf):
