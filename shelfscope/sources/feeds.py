@@ -35,7 +35,9 @@ def parse_feed_date(c) -> F.Column:
     rfc = F.regexp_replace(s, r"^[A-Za-z]{3},\s*", "")
     cands = [F.try_to_timestamp(rfc, F.lit(p)) for p in RFC822_PATTERNS]
     cands += [F.try_to_timestamp(s, F.lit(p)) for p in ISO_PATTERNS]
-    return F.when(s != "", F.coalesce(*cands)).cast("timestamp_ntz")
+    instant = F.when(s != "", F.coalesce(*cands))
+    # instant -> UTC wall clock, whatever the session time zone
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
 def valid_image(c) -> F.Column:

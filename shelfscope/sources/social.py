@@ -16,7 +16,8 @@ def posts_from_json(df: DataFrame, col: str = "doc") -> DataFrame:
     ts = F.try_to_timestamp(F.col("p.created_time"), F.lit("yyyy-MM-dd'T'HH:mm:ssZ"))
     return p.select(
         F.col("p.id").alias("post_id"), F.col("p.message").alias("message"),
-        F.col("p.created_time").alias("created_raw"), ts.cast("timestamp_ntz").alias("created_time"),
+        F.col("p.created_time").alias("created_raw"),
+        F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz")).alias("created_time"),
         F.coalesce(F.col("p.likes.summary.total_count"), F.lit(0)).alias("likes"),
         F.coalesce(F.col("p.comments.summary.total_count"), F.lit(0)).alias("comments"),
         F.coalesce(F.col("p.shares.count"), F.lit(0)).alias("shares"))

@@ -20,7 +20,7 @@ from shelfscope.functions.text import any_substring, clean_summary, round_n, top
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-NEWS_EPOCH_SECONDS = 1704067200  # 2024-01-01 00:00:00 UTC, start of the derived feed clock
+NEWS_EPOCH = "2024-01-01 00:00:00"  # start of the derived feed clock (UTC wall clock)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,7 +117,8 @@ def user_offers(events: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- F4
 def feed_items(documents: DataFrame) -> DataFrame:
     """News items: one per document; published = 2024-01-01 + doc_id minutes."""
-    pub = F.timestamp_seconds(F.lit(NEWS_EPOCH_SECONDS) + F.col("doc_id") * 60).cast("timestamp_ntz")
+    # wall-clock arithmetic on TIMESTAMP_NTZ: independent of the session time zone
+    pub = F.timestamp_add("MINUTE", F.col("doc_id"), F.lit(NEWS_EPOCH).cast("timestamp_ntz"))
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/news/"), F.col("doc_id").cast("string"))
     return documents.select(
         "doc_id",
@@ -150,7 +151,8 @@ def page_log(pages: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- F6
 def social_posts(events: DataFrame) -> DataFrame:
     """Posts: one per (user, hour); click -> likes, signup -> comments, purchase -> shares."""
-    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    # hour of the wall clock, computed on TIMESTAMP_NTZ (no session-zone shift)
+    hour = F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:00:00"))
     return (events.groupBy("user_id", hour.alias("created_time"))
             .agg(F.count_if(F.col("event_type") == "click").alias("likes"),
                  F.count_if(F.col("event_type") == "signup").alias("comments"),
