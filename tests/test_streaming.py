@@ -61,3 +61,26 @@ def test_first_post_and_url_within_window(spark):
     q = St.start(St.first_url_within(_as_stream(spark, items, "t3")), spark, "t3_test", checkpoint=_ckpt("t3"))
     q.awaitTermination()
     assert spark.table("t3_test").count() == 2
+
+
+def test_recency_routing_and_stream_static_radar(spark):
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    items = spark.createDataFrame([("ok", now - dt.timedelta(hours=1)), ("late", now - dt.timedelta(hours=48)),
+                                   ("future", now + dt.timedelta(hours=2))], "id string, publicado_em timestamp_ntz")
+    ok_path = tempfile.mkdtemp(prefix="shelfscope-test-t4-") + "/ok"
+    side_path = tempfile.mkdtemp(prefix="shelfscope-test-t4-") + "/side"
+    q = St.start(St.split_by_recency(_as_stream(spark, items, "t4")), spark, "t4_test",
+                 sink=St.route_by_recency(ok_path, side_path), checkpoint=_ckpt("t4"))
+    q.awaitTermination()
+    assert [r["id"] for r in spark.read.parquet(ok_path).collect()] == ["ok"]
+    assert sorted((r["id"], r["faixa"]) for r in spark.read.parquet(side_path).collect()) == [
+        ("future", "future"), ("late", "late")]
+    stats = spark.createDataFrame([("ML_1", "Mercado Livre", 300.0, 300.0, 300.0, 5)],
+                                  "sku string, loja string, min_180d double, mediana_180d double, "
+                                  "media_180d double, dias_observados long")
+    offers = spark.createDataFrame([("ML_1", "Mercado Livre", 240.0), ("ML_2", "Mercado Livre", 10.0)],
+                                   "sku string, loja string, preco_atual double")
+    q = St.start(St.radar_on_arrivals(_as_stream(spark, offers, "t5"), stats), spark, "t5_test", checkpoint=_ckpt("t5"))
+    q.awaitTermination()
+    got = {r["sku"]: (r["menor_preco_historico"], r["queda_real_percent"]) for r in spark.table("t5_test").collect()}
+    assert got == {"ML_1": (True, 20.0), "ML_2": (False, 0.0)}
