@@ -77,3 +77,22 @@ def test_sinks(spark):
     p = tempfile.mkdtemp(prefix="shelfscope-test-json-")
     open(p + "/bad.json", "w").write('{"not": "a list"')
     assert Sk.read_ledger(spark, p + "/bad.json").count() == 0
+
+
+def test_social_image_scan_and_missing_tables(spark):
+    from shelfscope.operators import maintenance as Mt
+    from shelfscope.operators import payloads as Pl
+    pages = spark.createDataFrame([
+        ('<head><meta property="og:image" content="//cdn.x.com/a.jpg"></head>',),
+        ('<meta content="https://cdn.x.com/b.png" property="og:image:secure_url">',),
+        ('<meta name="twitter:image:src" content="https://cdn.x.com/c.webp?a=1&amp;b=2">',),
+        ('<meta property="og:image" content="data:image/png;base64,AAA"><p>nada</p>',)], "html string")
+    got = [r[0] for r in pages.select(Pl.social_image(F.col("html"))).collect()]
+    assert got == ["https://cdn.x.com/a.jpg", "https://cdn.x.com/b.png", "https://cdn.x.com/c.webp?a=1&b=2", None]
+    hist = spark.createDataFrame([("ML_1", "Mercado Livre", dt.date(2026, 5, d), 10.0 + d) for d in (1, 10, 20)],
+                                 "sku string, loja string, data_coleta date, preco_min_dia double")
+    days = [r["data_coleta"].day for r in Pl.scan_history(hist, "ML_1", "Mercado Livre", "2026-05-10",
+                                                          "2026-05-20").collect()]
+    assert sorted(days) == [10, 20]
+    row = spark.range(1).select(Mt.missing_tables(["historico_precos", "pautas_rss"]).alias("m")).first()
+    assert row["m"] == ["historico_postados", "metadados_sync"]
