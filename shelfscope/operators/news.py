@@ -54,7 +54,12 @@ def round_robin(items: DataFrame, limit: int = rules.NEWS_CANDIDATES, ts: str =
     first_pos = ranked.filter(F.col("_rn") == 1).select(
         src.alias("_src"), F.col(ts).alias("_first_t"), F.col(ord_col).alias("_first_o"))
     j = ranked.join(first_pos, src == F.col("_src"))
-    final = [F.col("_rn"), F.col("_first_t").desc(), F.col("_first_o")]
+    # at most ``limit`` items: the list is returned as it is (recency order);
+    # otherwise round robin.  One scalar count switches the ordering in-plan.
+    rr = items.select(F.count(F.lit(1))).scalar() > F.lit(limit)
+    final = [F.when(rr, F.col("_rn")).otherwise(F.lit(0)),
+             F.when(rr, F.col("_first_t")).desc(), F.when(rr, F.col("_first_o")),
+             F.col(ts).desc(), F.col(ord_col)]
     picked = j.orderBy(*final).limit(limit)
     w = Window.orderBy(*final)  # at most ``limit`` rows
     return picked.withColumn("id_curto", F.row_number().over(w)).drop("_rn", "_src", "_first_t", "_first_o")

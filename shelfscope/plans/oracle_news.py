@@ -78,9 +78,13 @@ FROM d LEFT JOIN pairs ON d.doc_id = pairs.ida GROUP BY d.doc_id"""
 rk AS (SELECT *, row_number() OVER (PARTITION BY coalesce(fonte, 'Outros') ORDER BY publicado_em DESC, doc_id) AS rn
        FROM rec),
 fp AS (SELECT coalesce(fonte, 'Outros') AS s, publicado_em AS ft, doc_id AS fo FROM rk WHERE rn = 1),
-o AS (SELECT rk.*, fp.ft, fp.fo FROM rk JOIN fp ON coalesce(rk.fonte, 'Outros') = fp.s)
-SELECT CAST(row_number() OVER (ORDER BY rn, ft DESC, fo) AS INTEGER) AS id_curto, doc_id, fonte, publicado_em
-FROM o ORDER BY rn, ft DESC, fo LIMIT {rules.NEWS_CANDIDATES}"""
+o AS (SELECT rk.*, fp.ft, fp.fo FROM rk JOIN fp ON coalesce(rk.fonte, 'Outros') = fp.s),
+o2 AS (SELECT o.*, (SELECT count(*) FROM rec) > {rules.NEWS_CANDIDATES} AS rr FROM o)
+SELECT CAST(row_number() OVER (ORDER BY CASE WHEN rr THEN rn ELSE 0 END, CASE WHEN rr THEN ft END DESC,
+                                        CASE WHEN rr THEN fo END, publicado_em DESC, doc_id) AS INTEGER) AS id_curto,
+       doc_id, fonte, publicado_em
+FROM o2 ORDER BY CASE WHEN rr THEN rn ELSE 0 END, CASE WHEN rr THEN ft END DESC, CASE WHEN rr THEN fo END,
+         publicado_em DESC, doc_id LIMIT {rules.NEWS_CANDIDATES}"""
     s["page_url_dedup"] = f"""
 WITH p AS (SELECT page_id, url, {urlkey_sql('url')} AS url_hash FROM pages)
 SELECT url_hash, page_id, url
