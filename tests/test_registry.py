@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from shelfscope.plans import catalog, oracle_sql
 from shelfscope.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -23,9 +24,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing <= NO_ORACLE | {k for k in E.queries() if k.startswith("stream_")} | {
-        k for k in E.queries() if k.endswith("_nosql")}
+    assert set(catalog.build()) - set(oracle_sql.build()) <= NO_ORACLE
+    assert set(catalog.build()) <= set(E.queries()) and set(oracle_sql.build()) <= set(E.oracle_sql())
 
 
 def _norm(v):
@@ -43,9 +43,9 @@ def test_queries_match_oracle(spark):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    sqls = E.oracle_sql()
+    sqls = oracle_sql.build()
     bad = []
-    for name, fn in E.queries().items():
+    for name, fn in catalog.build().items():
         if name not in sqls:
             continue
         df = fn(spark, SF)
