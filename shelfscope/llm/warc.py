@@ -17,8 +17,8 @@ is rejected.  A payload with magic in it is put together from its pieces.
 Uncompressed archives are split by Spark; gzip archives are read as a stream.
 Defined results: a null payload is empty; pages with one id and one payload
 have a record each, all of one type; a null id counts as largest; line breaks
-in URLs are percent-encoded; candidates without a readable header or length
-end their chain; an empty table writes no records; other columns are ignored.
+and the magic in URLs are percent-encoded; candidates without a readable header
+(or with the magic inside it) or length end their chain; an empty table writes no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,7 +59,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, compression:
              .where((F.col("n") > 1) & (F.col("size") >= min_bytes)).select(*same, "first_id"))
     rows = rows.join(first, same, "left").withColumn(
         "revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
-    url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    url = F.col("url")
+    for raw, coded in (("\r", "%0D"), ("\n", "%0A"), ("WARC/", "WARC%2F")):
+        url = F.replace(url, F.lit(raw), F.lit(coded))
     record = F.concat(
         F.lit(f"{MAGIC}0\r\nWARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response"), F.lit("\r\n"),
         _field("WARC-Record-ID", _urn(F.col("page_id"))), _field("WARC-Date", F.lit(DATE)),

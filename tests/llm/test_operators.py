@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfscope.llm import bpe, components, exact_dedup, lattice_lm, mixing, quality_rules, simhash, suffix_dedup, warc
+from shelfscope.llm.common import stored
 from shelfscope.llm.queries import vocabulary
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
@@ -36,7 +37,7 @@ def page_rows():
     return rows
 
 
-@pytest.mark.parametrize("compression,split", [("gzip", "128m"), ("none", "700")])
+@pytest.mark.parametrize("compression,split", [("gzip", "128m"), ("none", "20k")])
 def test_archives_give_back_every_page(spark, page_rows, compression, split):
     path = f"/tmp/warc-{uuid.uuid4().hex}"
     pages = spark.createDataFrame(page_rows, "page_id long, url string, html string")
@@ -102,7 +103,7 @@ def test_quality_fences_follow_their_group(spark):
 
 
 def test_sketches_merge_to_the_whole(docs):
-    measured = quality_rules.with_measures(quality_rules.base_measures(docs))
+    measured = stored(quality_rules.with_measures(quality_rules.base_measures(docs)), "test-measures")
     halves = [quality_rules.sketches(measured.where(F.col("doc_id") % 2 == k)) for k in (0, 1)]
     merged = halves[0].unionByName(halves[1]).groupBy("lang", "source", "measure", "bin").agg(F.sum("n").alias("n"))
     assert sorted(map(tuple, merged.collect()), key=repr) == sorted(
