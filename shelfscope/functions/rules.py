@@ -166,8 +166,8 @@ SKU_PREFIX_B = "ML_"
 IMAGE_SIZE_REPLACEMENTS = [("{w}x{h}", "800x600"), ("/186x140/", "/800x600/"),
                            ("/280x210/", "/800x600/")]
 
-# Affiliate tracking parameters (second store).
-AFFILIATE_PARAMS = [("matt_tool", "61727000"), ("matt_word", "rafaelmelo825")]
+# Affiliate tracking parameters (second store); neutral values, a deployment passes its own.
+AFFILIATE_PARAMS = [("matt_tool", "10000000"), ("matt_word", "partner")]
 AFFILIATE_HOST = "https://www.mercadolivre.com.br"
 
 # Channel score weights: channel -> (minimum bonus, drop weight, niche bonus?).

@@ -88,11 +88,13 @@ PAGE_JSON_SCHEMA = """struct<props: struct<pageProps: struct<data: struct<search
 
 
 def page_json_offers(pages: DataFrame, body: str = "body", banned=None, base_url: str =
-                     "https://www.magazinevoce.com.br") -> DataFrame:
+                     "https://www.magazinevoce.com.br", status: str = "status_code") -> DataFrame:
     """S1 (+ P1, P2, P4, P6-P10): the embedded __NEXT_DATA__ JSON of a listing
     page -> one offer row per product.  Note: ``price.price`` is the old price
     and ``price.fullPrice`` the current one.  Rows missing either are dropped;
     a malformed row is dropped alone, never the page."""
+    if status in pages.columns:  # a page that was not served is no listing
+        pages = pages.filter(F.col(status) == 200)
     js = F.regexp_extract(F.col(body), r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
     parsed = F.from_json(js, PAGE_JSON_SCHEMA)
     search = parsed.getField("props").getField("pageProps").getField("data").getField("search")
@@ -112,14 +114,14 @@ def page_json_offers(pages: DataFrame, body: str = "body", banned=None, base_url
         return F.when(obj, F.coalesce(F.get_json_object(c, "$.url"), F.get_json_object(c, "$.src"))).when(
             py_strip(F.coalesce(c, F.lit(""))) != "", py_strip(c))
     img = F.coalesce(img_of(p.getField("image")),
-                     F.when(p.getField("image").isNull(), img_of(F.try_element_at(p.getField("images"), F.lit(1)))))
+                     F.when(F.coalesce(p.getField("image"), F.lit("")) == "", img_of(F.try_element_at(p.getField("images"), F.lit(1)))))
     out = rows.filter(p.isNotNull()).select(
         *[c for c in pages.columns if c != body], "idx", "total_paginas",
         F.concat(F.lit(rules.SKU_PREFIX_A), F.coalesce(p.getField("id"), F.lit("None"))).alias("sku"),
         name.alias("nome_produto"),
         F.lit(rules.STORE_A).alias("loja"),
         cur.alias("preco_atual"), old.alias("preco_antigo"),
-        F.coalesce(p.getField("category").getField("name"), F.lit("Geral")).alias("categoria"),
+        F.coalesce(F.nullif(p.getField("category").getField("name"), F.lit("")), F.lit("Geral")).alias("categoria"),
         resolve_seller(F.when(is_obj, F.get_json_object(seller, "$.id")),
                        F.when(is_obj, F.get_json_object(seller, "$.description")),
                        F.when(~is_obj, seller), F.coalesce(p.getField("sellerId"), p.getField("seller_id")),

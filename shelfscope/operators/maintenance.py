@@ -28,9 +28,12 @@ TOPICS_SCHEMA = ("url_hash string, url string, fonte string, titulo string, tema
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``; empty only if the path does not exist (any other error rises)."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -16,14 +16,14 @@ from shelfscope.functions.text import col_, py_strip, truncate_ellipsis
 BADGE_B = "🟡 [MERCADO LIVRE]"
 BADGE_A = "🔵 [MAGALU]"
 MIN_PRICE_LINE = "📉 MENOR PREÇO REGISTRADO!"
-CAPTION_FOOTER = ["📲 Link da oferta no nosso Telegram: @promosgeektech (link na bio!)",
+CAPTION_FOOTER = ["📲 Link da oferta no nosso Telegram: @canal (link na bio!)",
                   "#Promocao #Oferta #Tech #Gamer"]
-THREADS_FOOTER = "📢 Mais ofertas no Telegram: @promosgeektech"
+THREADS_FOOTER = "📢 Mais ofertas no Telegram: @canal"
 THREADS_BUY = "🛒 Compre aqui: "
 THREADS_MAX = 495
 PAGE_DEFAULT_CTA = "Aproveite antes que o preço suba!"
 PAGE_FOOTER = ["👇 Link direto da oferta no 1º comentário!",
-               "📢 Mais promoções diárias no Telegram: @promosgeektech", "",
+               "📢 Mais promoções diárias no Telegram: @canal", "",
                "#Promocao #Oferta #Desconto #Tech #Gamer"]
 MSG_BADGE_B = "🟡 <b>[MERCADO LIVRE - FULL]</b>"
 MSG_BADGE_A = "🔵 <b>[MAGALU]</b>"

@@ -24,12 +24,13 @@ API_SCHEMA = ("struct<candidates: array<struct<finish_reason: string, finishReas
 PREFERRED_KEYS = ["oportunidades", "oportunidades_de_ouro", "ofertas", "produtos", "items", "selecao"]
 MAX_TOKENS_REASONS = ["2", "MAX_TOKENS", "FinishReason.MAX_TOKENS"]
 
-# Balanced JSON object with up to two nested object levels; strings are
+# Balanced JSON object with up to NESTED_LEVELS nested object levels; strings are
 # skipped as units.  Possessive quantifiers: no backtracking into a prefix.
+NESTED_LEVELS = 12
 _STR = r'"(?:[^"\\]++|\\.)*+"'
-_L0 = r'\{(?:[^{}"]++|' + _STR + r')*+\}'
-_L1 = r'\{(?:[^{}"]++|' + _STR + '|' + _L0 + r')*+\}'
-BALANCED_OBJECT = r'\{(?:[^{}"]++|' + _STR + '|' + _L1 + r')*+\}'
+BALANCED_OBJECT = r'\{(?:[^{}"]++|' + _STR + r')*+\}'
+for _ in range(NESTED_LEVELS):
+    BALANCED_OBJECT = r'\{(?:[^{}"]++|' + _STR + '|' + BALANCED_OBJECT + r')*+\}'
 
 
 # ------------------------------------------------------------------------ L1
@@ -87,7 +88,8 @@ def _is_obj(v) -> F.Column:
 
 def _truthy_str(v, path: str) -> F.Column:
     s = F.try_variant_get(v, path, "string")
-    return s.isNotNull() & (s != "") & (s != "0") & (s != "false")
+    is_text = F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.lit(False))
+    return s.isNotNull() & (s != "") & (is_text | ((s != "0") & (s != "false")))
 
 
 def opportunity_list(v) -> F.Column:
@@ -95,7 +97,9 @@ def opportunity_list(v) -> F.Column:
     an array, else the first array value holding an object; only objects with
     a name, sku or URL are kept."""
     top = F.try_variant_get(v, "$", "array<variant>")
-    keyed = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "array<variant>") for k in PREFERRED_KEYS])
+    # an empty preferred list does not end the search
+    keyed = F.coalesce(*[F.when(F.size(a) > 0, a) for a in
+                         (F.try_variant_get(v, f"$.{k}", "array<variant>") for k in PREFERRED_KEYS)])
     values = F.map_values(F.try_variant_get(v, "$", "map<string, variant>"))
     lists = F.filter(F.transform(values, lambda x: F.try_variant_get(x, "$", "array<variant>")),
                      lambda a: a.isNotNull() & F.exists(a, lambda e: _is_obj(e)))
@@ -188,7 +192,7 @@ def resolve_run(parsed_run: DataFrame, candidates: DataFrame, qtd_b: int = rules
     miss_b = max(max(0, qtd_b - got["b"]), miss_total - miss_a)
     rest = S.remaining_candidates(candidates, picks)
     extras = S.fallback_selection(rest, miss_b, miss_a).filter(F.col("pos") <= miss_total)
-    label = "gemini_complementado" if origem == "gemini" else origem
+    label = "gemini_complementado" if origem == "gemini" and not extras.isEmpty() else origem
     base = picks.select("pos", "sku_selecionado", "nome_produto", "loja", "categoria", "preco_atual",
                         "preco_antigo", "percentual_desconto")
     ext = extras.select((F.col("pos") + n).alias("pos"), "sku_selecionado", "nome_produto", "loja", "categoria",

@@ -222,7 +222,12 @@ def fallback_selection(cands: DataFrame, qtd_b: int = rules.TARGET_B, qtd_a: int
                  ("lucro_estimado_reais", "double")):
         if c not in cands.columns:
             cands = cands.withColumn(c, F.lit(None).cast(t))
-    base = (cands.withColumn("_neg_score", -F.col("score_qualidade"))
+    # a missing score is computed, so that it does not rank before or after all others
+    score = F.coalesce(F.col("score_qualidade"), quality_score(
+        *[F.col(c) if c in cands.columns else F.lit(None).cast("double") for c in
+          ("menor_preco_historico", "queda_real_percent", "percentual_desconto", "lucro_estimado_reais",
+           "preco_atual")]))
+    base = (cands.withColumn("_neg_score", -score)
             .withColumn("_store", F.when(F.lower("loja").contains("mercado"), F.lit("B"))
                         .when(F.lower("loja").contains("magalu"), F.lit("A")).otherwise(F.lit("X"))))
     rank = [F.col("_neg_score"), F.col("ord")]

@@ -45,10 +45,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is always used as
-    is.  Only when it is unset (local tests) is a fresh scratch folder created.
+    is; a cluster without it is refused.  Only in local mode (tests) is a fresh
+    scratch folder created.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="shelfscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from shelfscope.functions import rules
 
@@ -18,16 +20,29 @@ LEDGER_SCHEMA = ("id string, date string, platform string, clicks long, sales lo
 
 # ------------------------------------------------------------------ S8 / S9
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array file (multi-line) with a fixed schema; a missing, unreadable
-    or non-array file gives an empty table."""
+    """JSON with a fixed schema, either lines of objects (what the writers below
+    produce) or files that hold one array; malformed lines or files give no
+    rows, a missing path an empty table."""
     try:
-        df = (spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True)
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-        df = df.cache()  # Spark forbids filtering on the corrupt column of an uncached raw scan
-        out = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-        return out
-    except Exception:  # noqa: BLE001 - absent path
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
+    first = lines.filter(F.trim("value") != "").first()
+    corrupt = ", _corrupt_record string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    if first is not None and first.value.lstrip().startswith("["):
+        parsed = (spark.read.text(path, wholetext=True)
+                  .select(F.inline(F.from_json("value", f"array<struct<{_colons(schema)}>>"))))
+        return parsed.filter(F.coalesce(*[F.col(c).cast("string") for c in parsed.columns]).isNotNull())
+    rows = lines.filter(F.trim("value") != "").select(F.from_json("value", schema + corrupt, options).alias("r"))
+    return rows.filter(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()).select("r.*").drop("_corrupt_record")
+
+
+def _colons(schema: str) -> str:
+    """Column list in the form a struct type takes."""
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields)
 
 
 def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -44,8 +59,8 @@ def append_run(path: str, run: DataFrame) -> None:
 
 
 def export_ledger(ledger: DataFrame, path: str) -> None:
-    """S9 backup export (JSON lines)."""
-    ledger.coalesce(1).write.mode("overwrite").json(path)
+    """S9 backup export (JSON lines, written by all tasks)."""
+    ledger.write.mode("overwrite").json(path)
 
 
 def delete_entry(ledger: DataFrame, entry_id: str) -> DataFrame:

@@ -47,7 +47,7 @@ def test_promotion_cards(spark):
     assert r["imagem_url"] == "https://http2.mlstatic.com/D_Q_NP_headset-V.webp"
     assert r["nome_produto"] == "Headset Gamer HyperX Cloud Stinger"
     u = r["url_afiliado"]
-    assert "#" not in u and "matt_tool=61727000" in u and "matt_word=" in u and "forceInApp=true" in u
+    assert "#" not in u and "matt_tool=10000000" in u and "matt_word=" in u and "forceInApp=true" in u
 
 
 def test_poly_card_has_priority(spark):
@@ -58,7 +58,7 @@ def test_poly_card_has_priority(spark):
     assert (r["preco_atual"], r["preco_antigo"]) == (379.0, 499.0)
     assert r["imagem_url"] == "https://http2.mlstatic.com/D_poly-controle.webp"
     assert r["url_afiliado"].startswith("https://www.mercadolivre.com.br/controle-sem-fio-gamer/p/MLB22222222?")
-    assert "matt_tool=61727000" in r["url_afiliado"]
+    assert "matt_tool=10000000" in r["url_afiliado"]
 
 
 def test_page_json_offers(spark):
@@ -91,9 +91,9 @@ def test_price_text_and_affiliate_url(spark):
     assert [r[0] for r in df.select(parse_price_text("t")).collect()] == [1234.56, 1.5, 1299.0, 12.5, None, None]
     urls = spark.createDataFrame([("//produto.x.com/MLB1?a=1#f",), ("ftp://x",), ("/p/MLB2?matt_word=me",)], "u string")
     out = [r[0] for r in urls.select(I.affiliate_url("u")).collect()]
-    assert out[0] == "https://produto.x.com/MLB1?a=1&matt_tool=61727000&matt_word=rafaelmelo825&forceInApp=true"
+    assert out[0] == "https://produto.x.com/MLB1?a=1&matt_tool=10000000&matt_word=partner&forceInApp=true"
     assert out[1] is None
-    assert out[2] == "https://www.mercadolivre.com.br/p/MLB2?matt_word=me&matt_tool=61727000&forceInApp=true"
+    assert out[2] == "https://www.mercadolivre.com.br/p/MLB2?matt_word=me&matt_tool=10000000&forceInApp=true"
 
 
 def test_block_diagnosis_and_breaker(spark):
