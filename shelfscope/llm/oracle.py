@@ -9,9 +9,9 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 def _base32(hex_: str) -> str:
     """Each five bits of the digest, from its hexadecimal text."""
-    quad = f"('0x' || substr({hex_}, 1 + 10 * g, 10))::ubigint"
-    return (f"array_to_string(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
-            f"1 + (({quad.replace('g', '(k // 8)')} >> (35 - 5 * (k % 8))) & 31)::int, 1)), '')")
+    quad = f"('0x' || substr({hex_}, 1 + 10 * (k // 8), 10))::ubigint"
+    return (f"array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
+            f"1 + (({quad} >> (35 - 5 * (k % 8))) & 31)::int, 1)), '')")
 
 
 OP1 = f"""
@@ -57,7 +57,7 @@ def _op2() -> str:
     return f"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
                   regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{_WORD}')) AS ls
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls
            FROM documents),
      win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g
              FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
