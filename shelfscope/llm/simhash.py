@@ -79,6 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 # ------------------------------------------------------------------ hierarchical index of one run
 def build_index(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Levels from the members upward: (bits set in all, bits set in any) of each group of FAN neighbours."""
+    prints = prints.view(np.uint64)  # bit counts of signed numbers are those of their absolute values
     levels = [(prints, prints)]
     while len(levels[-1][0]) > 1:
         both, any_ = levels[-1]
@@ -133,7 +134,7 @@ def _run_links(bits: int):
             i = np.flatnonzero(short[:-k] & (bucket[k:] == bucket[:-k])) if len(bucket) > k else []
             if not len(i):
                 break
-            near = np.bitwise_count(prints[i] ^ prints[i + k]) <= bits
+            near = np.bitwise_count((prints[i] ^ prints[i + k]).view(np.uint64)) <= bits
             first.append(i[near])
             second.append(i[near] + k)
         if first:
