@@ -306,9 +306,9 @@ def test_shared_chunks_are_encoded_once(rows):
     coder = bpe.ChunkCoder(vocabulary("byte_bpe_50k.json"), 64)
     text = rows[-3][1].encode()
     one = [i for p in coder.text(text) for i in p[0]]
-    assert coder.reused == 0
+    before = coder.reused
     assert [i for p in coder.text(b"something else before " + text) for i in p[0]][-200:] == one[-200:]
-    assert coder.reused > 20
+    assert coder.reused > before + 20
 
 
 def test_tokens_odd(odd, none):
