@@ -10,6 +10,8 @@ reliable checkpoint first (read phase strictly before write phase).
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -26,6 +28,9 @@ POSTED_SCHEMA = "sku string, loja string, postado_em timestamp_ntz, preco_postad
 TOPICS_SCHEMA = ("url_hash string, url string, fonte string, titulo string, tema_normalizado string, "
                  "publicado_em timestamp_ntz, canais_postados string")
 
+#: Most months an upsert names in its partition filter (a century).
+MAX_MONTHS = 1200
+
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at ``path``; empty only if the path does not exist (any other error rises)."""
@@ -57,18 +62,27 @@ def merge_price_days(history: DataFrame, new_obs: DataFrame) -> DataFrame:
 
 def upsert_price_days(spark: SparkSession, path: str, new_obs: DataFrame) -> DataFrame:
     """M1 on a parquet table partitioned by month: only touched months are read
-    (partition pruning through the semi join) and rewritten (dynamic overwrite)."""
+    (literal partition filter) and rewritten (dynamic overwrite)."""
     month = F.date_format("data_coleta", "yyyy-MM")
     new_obs = new_obs.withColumn("data_coleta", F.col("data_coleta").cast("date"))
-    touched = new_obs.select(month.alias("mes")).distinct()
+    touched = materialize(new_obs.select(month.alias("mes")).filter("mes IS NOT NULL").distinct())
     existing = read_or_empty(spark, path, HISTORY_SCHEMA + ", mes string")
-    old = existing.join(F.broadcast(materialize(touched)), "mes", "left_semi").drop("mes")
+    old = in_months(existing, touched).drop("mes")
     merged = materialize(merge_price_days(old, new_obs).withColumn("mes", month))
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("mes").parquet(path))
     return merged
 
 
+def in_months(history: DataFrame, touched: DataFrame) -> DataFrame:
+    """Rows of the months in ``touched``.  Up to ``MAX_MONTHS`` of them become a literal
+    list, which prunes partitions when the scan is planned; beyond that a join does it."""
+    months = [r["mes"] for r in touched.limit(MAX_MONTHS + 1).collect()]
+    if len(months) > MAX_MONTHS:
+        return history.join(touched, "mes", "left_semi")
+    return history.filter(F.col("mes").isin(months))
+
+
 # ---------------------------------------------------------------- M2 / M3
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is absent from ``existing`` (first write wins);
@@ -134,23 +148,26 @@ def retention_counts(tables: dict[str, tuple[DataFrame, str, object]]) -> DataFr
 
 def purge_price_history(spark: SparkSession, path: str, ref_date: str, days: int = rules.RETENTION_PRICE_DAYS
                         ) -> int:
-    """M5 on the month-partitioned history: rows before ref - days are removed;
-    only months that hold such rows are rewritten."""
-    limit = F.date_sub(F.to_date(F.lit(ref_date)), days)
+    """M5 on the month-partitioned history: rows before ref - days are removed.
+    Months that end before that day are dropped by name; of the others only the
+    month of the day itself is read, and rewritten if it holds such rows."""
+    first = date.fromisoformat(ref_date) - timedelta(days=days)
+    boundary = first.strftime("%Y-%m")
     hist = read_or_empty(spark, path, HISTORY_SCHEMA + ", mes string")
-    removed = hist.filter(F.col("data_coleta") < limit).count()
-    touched = hist.filter(F.col("data_coleta") < limit).select("mes").distinct()
-    kept = materialize(hist.join(F.broadcast(touched), "mes", "left_semi").filter(F.col("data_coleta") >= limit))
-    (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mes").parquet(path))
-    # months left without any row are emptied by writing nothing for them: drop their folders
-    empty = touched.join(kept.select("mes").distinct(), "mes", "left_anti").collect()
-    if empty:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for row in empty:
-            p = jvm.org.apache.hadoop.fs.Path(f"{path}/mes={row['mes']}")
-            p.getFileSystem(conf).delete(p, True)
-    return removed
+    older = hist.filter(F.col("mes") < boundary).groupBy("mes").count().collect()  # a row a month
+    removed, gone = sum(r["count"] for r in older), [r["mes"] for r in older]
+    month = hist.filter(F.col("mes") == boundary)
+    n_old, n = month.agg(F.count_if(F.col("data_coleta") < F.lit(first)), F.count(F.lit(1))).first()
+    if n_old == n > 0:
+        gone.append(boundary)
+    elif n_old:
+        kept = materialize(month.filter(F.col("data_coleta") >= F.lit(first)))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mes").parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for mes in gone:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/mes={mes}")
+        folder.getFileSystem(conf).delete(folder, True)
+    return removed + n_old
 
 
 # ------------------------------------------------------------------------- M6

@@ -62,15 +62,14 @@ def daily_compaction(obs: DataFrame) -> DataFrame:
 
 def offers_on_or_after(history: DataFrame, ref_dates: list[str]) -> DataFrame:
     """Offer of a reference date: each key's first daily price on or after it."""
-    refs = history.sparkSession.createDataFrame([(d,) for d in ref_dates], "ref string").select(
-        F.to_date("ref").alias("ref_date"))
-    # tiny fixed parameter list: broadcast is size-bounded by construction
-    cand = history.select(*KEY, "data_coleta", "preco_min_dia").join(
-        F.broadcast(refs), F.col("data_coleta") >= F.col("ref_date"))
-    first = (cand.groupBy("ref_date", *KEY)
-             .agg(F.min(F.struct("data_coleta", "preco_min_dia")).alias("m")))
-    return first.select("ref_date", *KEY, F.col("m.data_coleta").alias("oferta_dia"),
-                        F.col("m.preco_min_dia").alias("preco_atual"))
+    day = F.struct("data_coleta", "preco_min_dia")
+    # one aggregate a date over a single scan: no history row is repeated per date
+    per_date = F.array(*[F.struct(F.lit(d).cast("date").alias("ref_date"),
+                                  F.min(F.when(F.col("data_coleta") >= F.lit(d).cast("date"), day)).alias("m"))
+                         for d in ref_dates])
+    first = history.groupBy(*KEY).agg(per_date.alias("dates")).select(*KEY, F.inline("dates"))
+    return first.filter(F.col("m").isNotNull()).select(
+        "ref_date", *KEY, F.col("m.data_coleta").alias("oferta_dia"), F.col("m.preco_min_dia").alias("preco_atual"))
 
 
 def trailing_stats(offers: DataFrame, history: DataFrame, days: int = rules.HISTORY_DAYS,

@@ -40,6 +40,12 @@ def test_retention_and_guard(spark):
     removed = Mt.purge_price_history(spark, path, "2026-11-25", 180)
     left = spark.read.parquet(path).count()
     assert (removed, left) == (10, 2)
+    # again: nothing is left to remove; the boundary month alone, then a month without any row left
+    assert Mt.purge_price_history(spark, path, "2026-11-25", 180) == 0
+    assert Mt.purge_price_history(spark, path, "2026-11-25", 3) == 1
+    assert [r["sku"] for r in spark.read.parquet(path).collect()] == ["ML_b"]
+    assert Mt.purge_price_history(spark, path, "2026-11-25", 0) == 1
+    assert Mt.purge_price_history(spark, path, "2026-11-25", 0) == 0
     df = spark.createDataFrame([(12, 2, 10), (20, 10, 0)], "b long, c long, j long")
     g = [tuple(r[0])[:2] for r in df.select(Mt.row_loss_guard(F.col("b"), F.col("c"), F.col("j"))).collect()]
     assert g[0] == (True, "ok")
@@ -68,3 +74,15 @@ def test_metadata_last_write_wins(spark):
                                "chave string, valor string, atualizado_em timestamp_ntz")
     assert Mt.metadata_get(kv, "k").first()["valor"] == "2"
     assert Mt.metadata_get(kv, "absent", "0").first()["valor"] == "0"
+
+
+def test_upsert_reads_only_the_touched_months(spark):
+    path = tempfile.mkdtemp(prefix="shelfscope-test-months-") + "/hist"
+    Mt.upsert_price_days(spark, path, _obs(spark, [
+        ("ML_a", "2026-09-10", 5.0, "", "2026-09-10T00:00:00"), ("ML_a", "2026-10-10", 6.0, "", "2026-10-10T00:00:00")]))
+    hist = spark.read.schema(Mt.HISTORY_SCHEMA + ", mes string").parquet(path)
+    touched = spark.createDataFrame([("2026-10",)], "mes string")
+    pruned = Mt.in_months(hist, touched)
+    assert [r["mes"] for r in pruned.collect()] == ["2026-10"]
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "2026-10" in plan[plan.index("PartitionFilters"):]
