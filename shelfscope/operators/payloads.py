@@ -278,10 +278,10 @@ SOCIAL_IMAGE_PATTERNS = [
 
 def social_image(html) -> F.Column:
     """First valid image URL of the og:image / twitter:image patterns."""
-    from shelfscope.functions.text import unescape_basic
+    from shelfscope.functions.text import unescape_html
     from shelfscope.sources.feeds import valid_image
     h = F.coalesce(col_(html), F.lit(""))
-    cands = [valid_image(F.when(F.regexp_extract(h, p, 1) != "", unescape_basic(F.regexp_extract(h, p, 1))))
+    cands = [valid_image(F.when(F.regexp_extract(h, p, 1) != "", unescape_html(F.regexp_extract(h, p, 1))))
              for p in SOCIAL_IMAGE_PATTERNS]
     return F.coalesce(*cands)
 

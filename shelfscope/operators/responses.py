@@ -4,16 +4,20 @@ output (L4), provenance and deterministic top-up (L5), editorial record
 validation (L6, J6, J7) and the retry flag (L7).
 
 Everything is Column code over a responses table (one row per response):
-VARIANT parsing (``try_parse_json`` / ``try_variant_get``) for the shapes,
-and a regex with possessive quantifiers for balanced objects in truncated
-text, so a response of any size is parsed in its task without backtracking
-blow-ups.
+VARIANT parsing (``try_parse_json`` / ``try_variant_get``) for the shapes.
+Only the texts this cannot use go to one Arrow stage, which finds the complete
+objects of truncated text at any nesting depth.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from shelfscope.functions import rules
 from shelfscope.functions.text import col_, py_strip, url_key
@@ -24,14 +28,6 @@ API_SCHEMA = ("struct<candidates: array<struct<finish_reason: string, finishReas
 PREFERRED_KEYS = ["oportunidades", "oportunidades_de_ouro", "ofertas", "produtos", "items", "selecao"]
 MAX_TOKENS_REASONS = ["2", "MAX_TOKENS", "FinishReason.MAX_TOKENS"]
 
-# Balanced JSON object with up to NESTED_LEVELS nested object levels; strings are
-# skipped as units.  Possessive quantifiers: no backtracking into a prefix.
-NESTED_LEVELS = 12
-_STR = r'"(?:[^"\\]++|\\.)*+"'
-BALANCED_OBJECT = r'\{(?:[^{}"]++|' + _STR + r')*+\}'
-for _ in range(NESTED_LEVELS):
-    BALANCED_OBJECT = r'\{(?:[^{}"]++|' + _STR + '|' + BALANCED_OBJECT + r')*+\}'
-
 
 # ------------------------------------------------------------------------ L1
 def with_response_text(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -110,11 +106,34 @@ def opportunity_list(v) -> F.Column:
 
 
 # ------------------------------------------------------------------------ L4
+_OBJECT_START = re.compile(r'\{(?=\s*+["}])')
+
+
+def complete_objects(text: str) -> list[str]:
+    """Outermost complete JSON objects of ``text`` that carry a sku or a name, at any depth."""
+    decoder, found, after = json.JSONDecoder(), [], 0
+    while start := _OBJECT_START.search(text, after):
+        at, after = start.start(), start.start() + 1
+        try:
+            value, end = decoder.raw_decode(text, at)
+            if value.get("sku_selecionado") or value.get("nome_produto"):
+                found.append(text[at:end])
+                after = end
+        except (ValueError, RecursionError):
+            pass  # not an object that ends: those inside it are tried next
+    return found
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _complete_objects(texts: pd.Series) -> pd.Series:
+    return texts.map(complete_objects, na_action="ignore")
+
+
 def recovered_objects(clean) -> F.Column:
     """array<variant> of the complete objects (with sku or name) found in a
-    truncated text, in text order."""
-    found = F.regexp_extract_all(clean, F.lit(BALANCED_OBJECT), 0)
-    parsed = F.transform(found, lambda s: F.try_parse_json(s))
+    truncated text, in text order (null text: null).  Only texts that the full
+    parse could not use are handed in."""
+    parsed = F.transform(_complete_objects(clean), lambda s: F.try_parse_json(s))
     return F.filter(parsed, lambda e: e.isNotNull() & _is_obj(e)
                     & (_truthy_str(e, "$.sku_selecionado") | _truthy_str(e, "$.nome_produto")))
 
@@ -142,8 +161,8 @@ def parse_responses(df: DataFrame, raw: str = "texto") -> DataFrame:
     a = a.withColumn("_v", parse_isolated(F.col("_clean")))
     a = a.withColumn("_full", F.when(F.col("_v").isNotNull(), opportunity_list(F.col("_v"))))
     a = a.withColumn("_has_full", F.coalesce(F.size("_full"), F.lit(0)) > 0)
-    a = a.withColumn("_part", F.when(~F.col("_has_full") & (F.col("_clean") != ""),
-                                     recovered_objects(F.col("_clean"))))
+    a = a.withColumn("_rest", F.when(~F.col("_has_full") & (F.col("_clean") != ""), F.col("_clean")))
+    a = a.withColumn("_part", recovered_objects(F.col("_rest"))).drop("_rest")
     a = a.withColumn("_has_part", F.coalesce(F.size("_part"), F.lit(0)) > 0)
     items = F.when(F.col("_has_full"), F.col("_full")).when(F.col("_has_part"), F.col("_part")).otherwise(
         F.array().cast("array<variant>"))

@@ -223,8 +223,7 @@ def q_editorial_text(spark, sf):
 
 
 def q_editorial_footer(spark, sf):
-    """P29 + P31 (no oracle: the URL patterns need look-behind, which DuckDB's
-    regex engine lacks; checked against Python re on fixtures in tests)."""
+    """P29 + P31."""
     f = _feed(spark, sf)
     return f.select("doc_id", N.with_footer(F.col("titulo"), F.col("fonte")).alias("texto_rodape"))
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from shelfscope.functions import rules
-from shelfscope.functions.text import HTML_ENTITIES
 from shelfscope.plans.oracle_sql import _with, fold_sql, q, sigtok_sql, topic_sql, urlkey_sql
 
+# entities that the driver's texts can hold, written out here so that the oracle stands alone
+ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 WS = "'^\\s+|\\s+$'"
 
 
@@ -15,7 +16,7 @@ def strip_sql(x: str) -> str:
 
 def clean_summary_sql(x: str, n: int = rules.SUMMARY_MAX_CHARS) -> str:
     t = f"coalesce({x}, '')"
-    for ent, rep in HTML_ENTITIES:
+    for ent, rep in ENTITIES:
         t = f"replace({t}, {q(ent)}, {q(rep)})"
     t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
     t = strip_sql(f"regexp_replace({t}, '\\s+', ' ', 'g')")

@@ -7,7 +7,7 @@ from shelfscope.plans.oracle_metrics import POSTS
 from shelfscope.plans.oracle_offers import balance_ctes, fallback_ctes, offers_ctes
 from shelfscope.plans.oracle_sql import _with, q, store_sql
 from shelfscope.functions import rules
-from shelfscope.functions.text import HTML_ENTITIES
+from shelfscope.plans.oracle_news import ENTITIES
 
 WS = "'^\\s+|\\s+$'"
 
@@ -155,7 +155,7 @@ def social_image_sql(h: str) -> str:
     for p in Pl.SOCIAL_IMAGE_PATTERNS:
         m = f"regexp_extract(coalesce({h}, ''), {q(p)}, 1)"
         u = m
-        for ent, rep in HTML_ENTITIES:
+        for ent, rep in ENTITIES:
             u = f"replace({u}, {q(ent)}, {q(rep)})"
         u = strip(u)
         u = f"CASE WHEN starts_with({u}, '//') THEN 'https:' || {u} ELSE {u} END"

@@ -189,4 +189,6 @@ FROM w"""
     s.update(build_ingest())
     from shelfscope.plans.oracle_payloads import build_payloads
     s.update(build_payloads())
+    from shelfscope.plans.oracle_responses import build_responses
+    s.update(build_responses())
     return s

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.functions.text import clean_summary, col_, py_strip, topic_key, unescape_basic, url_key
+from shelfscope.functions.text import clean_summary, col_, py_strip, topic_key, unescape_html, url_key
 from shelfscope.operators.news import recent_window
 from shelfscope.operators.selection import keep_first
 
@@ -49,7 +49,7 @@ def valid_image(c) -> F.Column:
 
 def first_img_src(html) -> F.Column:
     m = F.regexp_extract(F.coalesce(col_(html), F.lit("")), r"""(?i)<img[^>]+src=["']([^"']+)["']""", 1)
-    return valid_image(F.when(m != "", unescape_basic(m)))
+    return valid_image(F.when(m != "", unescape_html(m)))
 
 
 def feed_entries(feeds: DataFrame) -> DataFrame:

@@ -13,8 +13,7 @@ from shelfscope.plans import catalog, oracle_sql
 from shelfscope.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-NO_ORACLE = {"editorial_footer", "text_without_urls", "page_card_offers", "page_json_offers",
-             "response_parse", "response_picks"}
+NO_ORACLE = {"page_card_offers", "page_json_offers"}
 
 
 def test_entry_runs(spark):

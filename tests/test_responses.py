@@ -39,6 +39,13 @@ def test_truncated_recovers_complete_objects(spark):
     assert _parse(spark, [big])[0]["origem"] in ("gemini", "gemini_parcial", "sem_itens")
 
 
+def test_recovery_at_any_depth(spark):
+    deep = dict(ITEM, extra=json.loads('{"y":' * 40 + "1" + "}" * 40))
+    cut = json.dumps({"wrapper": {"lista": [deep, ITEM]}})[:-30]
+    got = _parse(spark, [cut, '{"wrapper": ' + json.dumps(ITEM) + "} e mais {", "{" * 300000, '{"a":"' * 3000])
+    assert [[x["sku_selecionado"] for x in got[i]["itens"]] for i in range(4)] == [["ML_MLB101"], ["ML_MLB101"], [], []]
+
+
 def test_unusable_texts(spark):
     got = _parse(spark, ["sem json aqui", json.dumps({"erro": "quota"}), json.dumps({"oportunidades": []}), ""])
     assert all(got[i]["origem"] == "sem_itens" for i in range(4))
