@@ -80,3 +80,34 @@ def test_cotraining_held_out(spark):
     got = {r.doc_id: r for r in cotrain.score(docs, labels).collect()}
     unseen = [i for i in range(600) if held_out(i) or i % 3 == 0]
     assert sum(got[i].kept == (i % 4 != 0) for i in unseen) >= 0.97 * len(unseen)
+
+
+def test_cotraining_learns_from_every_unlabelled_document(spark):
+    """A source without labels, all of whose documents come late in the order of the id hashes."""
+    n, late = 26_000, 2_000
+    order = spark.range(n).select("id", F.xxhash64("id").alias("h")).orderBy("h").collect()
+    last = {r.id for r in order[-late:]}
+    told = [r.id for r in order[:800]]
+    rng = random.Random(6)
+    rows = []
+    for i in range(n):
+        bad = i in last or i % 2 == 0
+        text = " ".join(rng.choice(["text", "word", "line", "more"]) + ("###" if bad else "abc") for _ in range(8))
+        rows.append((i, text, "en", "late" if i in last else f"s{i % 2}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in told], "doc_id long, quality int")
+    got = {r.doc_id: r for r in cotrain.score(docs, labels).collect()}
+    unseen = [i for i in last if held_out(i)]
+    assert unseen and all(got[i].metadata_score < 0.3 for i in unseen)
+    assert all(got[i].kept == (i % 2 == 1 and i not in last) for i in range(n))
+
+
+def test_sums_of_partitions_are_the_whole(spark):
+    rng = random.Random(7)
+    rows = [([rng.random() for _ in range(3)], [rng.random() for _ in range(2)]) for _ in range(500)]
+    table = spark.createDataFrame(rows, "x array<float>, m array<float>").repartition(7)
+    got = cotrain._summed(table, cotrain._moments, 11)
+    assert got[0] == 500
+    assert got[1:4] == pytest.approx([sum(r[0][k] for r in rows) for k in range(3)])
+    assert got[9:11] == pytest.approx([sum(r[1][k] ** 2 for r in rows) for k in range(2)])
+    assert not cotrain._summed(table.where("false"), cotrain._moments, 11).any()
