@@ -4,7 +4,8 @@ A word's features are all its three-letter subsequences within ``SPAN``
 letters, weighted ``DECAY`` to the power of the stretch they cover; the kernel
 of two words is the normalised product.  Letters are compared without case and
 accents; other characters inside a word are skipped, digits that stand for
-letters are read as these, and runs of single letters are read as one word, so
+letters are read as these, and runs of three or more single letters of any
+script are read as one word, so
 gapped and inserted characters change a kernel value only in part.
 
 Landmarks are the words of the training documents that most tell toxic from
@@ -31,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,7 @@ WITNESSES = 4     # sentences of a training document that are kept
 LONGEST = 32      # longer words are read through overlapping windows of this many letters
 _CACHE = 200_000  # words a task remembers
 _PIECE = 8 << 20
-_SPACED = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:[ \t][^\W\d_]){3,}(?=\s|[.,!?]|$)")
+_SPACED = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:[ \t][^\W\d_]){2,}(?=\s|[.,!?]|$)")
 _PAIRS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
 
@@ -69,7 +71,7 @@ def _alphabet() -> np.ndarray:
 
 
 _LETTERS = _alphabet()
-_SINGLE = frozenset(chr(c) for c in range(0x250) if chr(c).isalpha() and chr(c).lower() == chr(c))
+_TWO = array("I", [1, 1]).tobytes()  # lengths of two single characters in a row; every spaced word has such
 # letters as text, for showing landmarks; codes above z stand for themselves in the private-use area
 _SHOWN = [chr(96 + c) if c < 27 else chr(0xE000 + c) for c in range(32)]
 
@@ -164,11 +166,11 @@ class Sentences:
     def read(text: bytes | None) -> tuple[str, set]:
         """Lower-case text with runs of single letters put together, and its distinct words."""
         text = (text or b"").decode().lower()
-        words = set(text.split())
-        if len(words & _SINGLE) >= 3:
+        words = text.split()
+        if _TWO in array("I", map(len, words)).tobytes():
             text = _SPACED.sub(lambda m: m[0].replace(" ", "").replace("\t", ""), text)
-            words = set(text.split())
-        return text, words
+            words = text.split()
+        return text, set(words)
 
     def learn(self, words: list[set]) -> None:
         """Kernel values of the words not met before."""

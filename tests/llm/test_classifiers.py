@@ -52,6 +52,25 @@ def test_similarity_tolerates_gaps():
     assert near[0][0] == pytest.approx(1) and near[1][0] == pytest.approx(1) and near[3][0] < 1
 
 
+def test_spaced_words_of_any_length_and_script():
+    for spaced, joined in (("x y z", "xyz"), ("x y y x", "xyyx"), ("Д У Р А", "дура"), ("β λ α ξ", "βλαξ"),
+                           ("so a b\tc. No", "so abc. no"), ("f o o, b a r!", "foo, bar!")):
+        assert toxicity.Sentences.read(spaced.encode()) == (joined, set(joined.split()))
+    for plain in ("a b", "it is a b case", "1 2 3 4", "a - b - c", "a\nb\nc", "", "word"):
+        assert toxicity.Sentences.read(plain.encode()) == (plain, set(plain.split()))
+
+
+def test_toxicity_finds_short_and_foreign_spaced_words(spark, toxic_rows):
+    insults = ["zwk", "ыжща"]
+    rows = [(r[0], r[1] if not r[4] else "the lor mi " + insults[r[0] // 5 % 2] + " tan er", "en", "s", r[4])
+            for r in toxic_rows]
+    rows += [(1000 + i, "the lor mi " + " ".join(insults[i % 2]) + " tan er", "en", "s", 1) for i in range(20)]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], 1, r[4]) for r in rows if r[0] < 1000], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    assert all(got[1000 + i].predicted for i in range(20))
+
+
 def test_scores_of_odd_tables(spark, docs, odd, none):
     labels = spark.createDataFrame([(i, i % 2, None if i % 5 == 0 else i % 3 == 0) for i in range(50)] + [(None, 1, True)],
                                    "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
