@@ -12,7 +12,8 @@ more than the allowed number is pruned with all its members.
 A run above ``run_limit`` is split before any task holds it: the bits that
 vary in it are dealt into three parts again, and its members go to one bucket
 per part and value.  Every split takes a third of the varying bits, so a few
-rounds end with runs below the limit, whatever the data.  Only a spanning
+rounds end with runs below the limit, whatever the data; a run of at most two
+varying bits (four members) is not split any further.  Only a spanning
 forest of a run's links leaves its task: connected groups of any size cost one
 row per member.
 
@@ -34,7 +35,6 @@ from shelfscope.llm.components import components
 
 FAN = 16
 RUN_LIMIT = 2048
-_MAX_ROUNDS = 8
 _PIECE = 8 << 20
 
 
@@ -189,16 +189,17 @@ def near_links(prints: DataFrame, bits: int = 2, run_limit: int = RUN_LIMIT) ->
                                 gray_rank(code).alias("rank")))
     runs = prints.select("fp", F.explode(F.array(*rotated)).alias("r")).select("fp", "r.bucket", "r.rank")
     found = None
-    for _ in range(_MAX_ROUNDS):
+    while True:
         runs = stored(runs, "simhash-runs")
         sizes = (runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_and("fp").alias("both"),
                                             F.bit_or("fp").alias("any")).where("n > 1"))
         sizes = stored(sizes, "simhash-sizes")
-        fit = runs.join(sizes.where(F.col("n") <= run_limit).select("bucket"), "bucket", "left_semi")
+        fits = (F.col("n") <= run_limit) | (F.bit_count(F.col("both").bitwiseXOR(F.col("any"))) <= 2)
+        fit = runs.join(sizes.where(fits).select("bucket"), "bucket", "left_semi")
         part = (fit.select("bucket", "rank", "fp").repartition("bucket").sortWithinPartitions("bucket", "rank")
                 .mapInArrow(_run_links(bits), "a long, b long"))
         found = part if found is None else found.unionByName(part)
-        large = sizes.where(F.col("n") > run_limit)
+        large = sizes.where(~fits)
         if large.isEmpty():
             break
         mask = large.select("bucket", F.col("both").bitwiseXOR(F.col("any")).alias("mask"))

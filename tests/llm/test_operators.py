@@ -227,6 +227,13 @@ def test_links_of_crowded_prints(spark):
     assert {(min(x), max(x)) for x in zip(i.tolist(), j.tolist())} == set(pairs)
 
 
+def test_links_with_a_tiny_run_limit(spark):
+    core = random.Random(10).getrandbits(63)
+    prints = sorted({core} | {core ^ 1 << b for b in range(63)})
+    links = simhash.near_links(spark.createDataFrame([(p,) for p in prints], "fp long"), 2, run_limit=1)
+    assert {r.node: r.root for r in components.components(links).collect()} == dict.fromkeys(prints, prints[0])
+
+
 def test_near_copies_odd(odd, none):
     assert simhash.groups(odd).count() == odd.count()
     stay = simhash.representatives(odd)
