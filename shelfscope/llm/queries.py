@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfscope.llm import (bpe, cotrain, exact_dedup, lattice_lm, mixing, oracle, quality_rules, simhash,
+from shelfscope.llm import (bpe, conversations, cotrain, exact_dedup, lattice_lm, mixing, oracle, quality_rules, simhash,
                             suffix_dedup, toxicity, warc)
 from shelfscope.llm.common import table
 from shelfscope.session import checkpoint_dir
@@ -68,9 +69,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` with damage by ``crc32("conv_id:turn") % 20``: 0 marks the row ``gone``, 1 empties its
+    text, 2 removes its sentence marks, 3 repeats it, 4 makes it a user's.  Nulls become one space."""
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"),
+                    F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    kind = F.col("kind")
+    text = F.coalesce("text", F.lit(" "))
+    return (rows.select("conv_id", "turn", "role", "text", (F.crc32(name.cast("binary")) % 20).alias("kind"))
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(kind == 3, 2).otherwise(1))))
+            .select("conv_id", "turn", F.when(kind == 4, F.lit("user")).otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+                    F.when(kind.isin(0, 1), F.lit("")).when(kind == 2, F.regexp_replace(text, "[.!?]", ""))
+                    .otherwise(text).alias("text"), (kind == 0).alias("gone")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(damaged(table(spark, sf_dir, "conversations")), absent=F.col("gone"))
+
+
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_exact_dedup, op4_suffix_dedup, op5_toxicity,
-                                    op6_simhash, op7_lattice_lm, op8_bpe, op9_cotraining, op10_mixing)}
+                                    op6_simhash, op7_lattice_lm, op8_bpe, op9_cotraining, op10_mixing,
+                                    op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
