@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import (bpe, conversations, cotrain, exact_dedup, lattice_lm, mixing, oracle, quality_rules, simhash,
-                            suffix_dedup, toxicity, warc)
+from shelfscope.llm import (bpe, conversations, cotrain, exact_dedup, lattice_lm, mixing, oracle,
+                            packing, quality_rules, simhash, suffix_dedup, toxicity, warc, whitening)
 from shelfscope.llm.common import table
 from shelfscope.session import checkpoint_dir
 
@@ -69,6 +69,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it does not fit a long (from about 1e8 vectors)."""
+    return (whitening.whiten(table(spark, sf_dir, "embeddings"), vector="embedding", keys=("vec_id",), components=16)
+            .withColumn("deviation", F.col("deviation").try_cast("long")))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), length=2048, end=1)
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """``conversations`` with damage by ``crc32("conv_id:turn") % 20``: 0 marks the row ``gone``, 1 empties its
     text, 2 removes its sentence marks, 3 repeats it, 4 makes it a user's.  Nulls become one space."""
@@ -90,7 +100,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_exact_dedup, op4_suffix_dedup, op5_toxicity,
                                     op6_simhash, op7_lattice_lm, op8_bpe, op9_cotraining, op10_mixing,
-                                    op13_conversation_repair)}
+                                    op11_whitening, op12_packing, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
