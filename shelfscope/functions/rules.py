@@ -237,3 +237,14 @@ TEST_BANNED_TERMS = ["cold anvil"]
 TEST_OFF_NICHE_TERMS = ["old", "rod"]
 TEST_STRONG_NICHE_TERMS = ["widget", "gizmo", "gear"]
 TEST_CATEGORY_NICHE_TERMS = ["promo", "standard"]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES of the response and text jobs.
+# ---------------------------------------------------------------------------
+URL_PATTERN = r"https?://\S+|www\.\S+"
+TELEGRAM_LINK_PATTERN = r"\bt\.me/\S+"
+DOMAIN_ENDINGS = "com|net|org|br|io|gg|tv|co|me|ly|app|tech"
+DEFAULT_NEWS_SOURCE = "Redação Tech"
+HEADLINE_VIA = " — Via "
+TOP_UP_REASON = "Seleção automática pelo ranking Alpha-Profit (fallback determinístico)."
+PURGE_VALID_HOURS = 6

@@ -13,7 +13,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions import rules
@@ -40,17 +40,62 @@ def block_diagnosis(pages: DataFrame, body: str = "body", status: str = "status_
 
 
 # ------------------------------------------------------------------------- W3
+#: Fetches of a block of the breaker scan.
+SCAN_BLOCK = 10_000
+
+
+def breaker_scan(log: DataFrame, scope: tuple[str, ...] = ("loja", "rota"), order: str = "seq",
+                 head: str = "inicio", block: int = SCAN_BLOCK) -> DataFrame:
+    """Every fetch of a guarded scope (store and route) with ``execucao`` (``seq`` of the run's first fetch),
+    ``cortada`` (a suspicious fetch of the same run and scope came before: it would not have been made) and
+    ``gatilho`` (it is that first suspicious fetch).
+
+    A run begins where ``head`` holds, and resets the breaker.  A retry is a row like any other, so it counts
+    as a call and may be the trigger.  This is a segmented prefix scan in two levels: every block of ``order``
+    values leaves the last head and the last suspicious fetch it holds, a running maximum over the (few) blocks
+    of a scope carries them on, and inside a block a running maximum continues from the carry.  A scope
+    with any share of the log is thus spread over its blocks.  Needs ``suspeita_waf`` (P36) and a unique ``order``."""
+    blk = F.floor(F.col(order) / F.lit(block))
+    rows = log.withColumn("_block", blk)
+    last = {"_head": F.when(F.col(head), F.col(order)), "_bad": F.when(F.col("suspeita_waf"), F.col(order))}
+    sums = rows.groupBy(*scope, "_block").agg(*[F.max(c).alias(n) for n, c in last.items()])
+    before = Window.partitionBy(*scope).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*[F.col(c).alias(f"_c_{c}") for c in scope], F.col("_block").alias("_c_block"),
+                        *[F.max(n).over(before).alias(f"_c{n}") for n in last])
+    on = F.col("_block") == F.col("_c_block")
+    for c in scope:
+        on &= F.col(c).eqNullSafe(F.col(f"_c_{c}"))
+    rows = rows.join(carry, on)
+    inside = Window.partitionBy(*scope, "_block").orderBy(order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
+    start = F.greatest(F.max(last["_head"]).over(upto), F.col("_c_head"))
+    bad = F.greatest(F.max(last["_bad"]).over(ahead), F.col("_c_bad"))
+    cut = F.coalesce(bad >= F.coalesce(start, bad), F.lit(False))
+    rows = rows.withColumns({"execucao": start, "cortada": cut})
+    return (rows.withColumn("gatilho", F.col("suspeita_waf") & ~F.col("cortada"))
+            .drop("_block", "_c_block", "_c_head", "_c_bad", *[f"_c_{c}" for c in scope]))
+
+
+def breaker_calls(scan: DataFrame, scope: tuple[str, ...] = ("loja", "rota")) -> DataFrame:
+    """Per scope and run, the calls that were made (retries and the trigger included), whether the breaker
+    tripped, and the articles kept."""
+    return (scan.where(~F.col("cortada")).groupBy(*scope, "execucao")
+            .agg(F.count(F.lit(1)).alias("chamadas"), F.max("gatilho").alias("breaker_ativado"),
+                 F.count_if(~F.col("suspeita_waf")).alias("paginas_mantidas"),
+                 F.count_if(F.coalesce(F.col("tentativa"), F.lit(1)) > 1).alias("repeticoes")))
+
+
 def breaker_prefix(log: DataFrame, group_cols=("loja",), order: str = "seq") -> DataFrame:
-    """Per group, keep the fetches before the first suspicious one; the
-    trigger itself counts as a call.  Needs ``suspeita_waf`` (see P36)."""
-    first_bad = (log.filter(F.col("suspeita_waf")).groupBy(*group_cols)
-                 .agg(F.min(order).alias("_first_bad")))
-    j = log.join(first_bad, list(group_cols), "left")
-    kept = j.filter(F.col("_first_bad").isNull() | (F.col(order) < F.col("_first_bad")))
-    calls = (j.filter(F.col("_first_bad").isNull() | (F.col(order) <= F.col("_first_bad")))
-             .groupBy(*group_cols).agg(F.count(F.lit(1)).alias("chamadas"),
-                                       F.max(F.col("_first_bad").isNotNull()).alias("breaker_ativado")))
-    return kept.drop("_first_bad").join(calls, list(group_cols))
+    """W3 without routes or runs: per group, the fetches before the first suspicious one, with the group's
+    calls (the trigger is one) and whether the breaker tripped."""
+    scope = tuple(group_cols)
+    scan = breaker_scan(log.withColumns({"_first": F.lit(False), "tentativa": F.lit(1)}), scope, order, head="_first")
+    calls = breaker_calls(scan, scope).drop("execucao", "paginas_mantidas", "repeticoes")
+    # a row a group: sent to every task if the groups are few, joined by key otherwise
+    calls = F.broadcast(calls) if calls.limit(1001).count() <= 1000 else calls
+    kept = scan.where(~F.col("cortada") & ~F.col("suspeita_waf")).drop("execucao", "cortada", "gatilho", "_first", "tentativa")
+    return kept.join(calls, list(group_cols))
 
 
 # ------------------------------------------------------------------------- W2
@@ -289,32 +334,74 @@ def pick_image(cands) -> F.Column:
     return F.when(F.size(ok) > 0, F.try_element_at(ok, F.lit(1)))
 
 
+def query_pairs(query) -> F.Column:
+    """Decoded (key, value) pairs of a query string in order; a key without ``=`` has a blank value, as
+    ``parse_qs`` reads it with blanks kept."""
+    parts = F.filter(F.split(F.coalesce(col_(query), F.lit("")), "&"), lambda x: x != "")
+
+    def decoded(c):
+        return F.coalesce(F.try_url_decode(c), c)
+    return F.transform(parts, lambda x: F.struct(
+        decoded(F.split(x, "=", 2).getItem(0)).alias("k"),
+        decoded(F.coalesce(F.get(F.split(x, "=", 2), 1), F.lit(""))).alias("v")))
+
+
+def grouped_pairs(pairs) -> F.Column:
+    """(key, values) in the order in which keys first appear, as a mapping of lists keeps them."""
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.transform(
+        F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]).alias("vs")))
+
+
+def upserted(groups, key: str, value, only_if: str = "always") -> F.Column:
+    """Set a key: in its place if it is there, else at the end.  ``only_if``: ``blank`` (absent, or its first
+    value is blank), ``absent`` or ``always``."""
+    new = F.array(col_(value) if not isinstance(value, str) else F.lit(value))
+    there = F.exists(groups, lambda g: g["k"] == F.lit(key))
+
+    def replaced(g):
+        hit = g["k"] == F.lit(key)
+        if only_if == "blank":
+            hit &= F.coalesce(g["vs"][0], F.lit("")) == ""
+        return F.struct(g["k"].alias("k"), F.when(hit, new).otherwise(g["vs"]).alias("vs"))
+    kept = groups if only_if == "absent" else F.transform(groups, replaced)
+    added = F.concat(groups, F.array(F.struct(F.lit(key).alias("k"), new.alias("vs"))))
+    return F.when(there, kept).otherwise(added)
+
+
+def _quoted(c) -> F.Column:
+    """Form encoding with the unreserved characters of ``quote_plus`` (``~`` stays, ``*`` does not)."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def query_text(groups) -> F.Column:
+    return F.array_join(F.flatten(F.transform(groups, lambda g: F.transform(
+        g["vs"], lambda v: F.concat(_quoted(g["k"]), F.lit("="), _quoted(v))))), "&")
+
+
 def affiliate_url(url, params=None, host: str = rules.AFFILIATE_HOST) -> F.Column:
-    """Trim, drop fragment, resolve '//' and '/' prefixes, reject non-http,
-    add each tracking parameter only when absent or blank (forceInApp when absent)."""
-    params = params or rules.AFFILIATE_PARAMS
+    """Trim, drop the fragment, resolve '//' and '/' prefixes, reject non-http, then set each tracking
+    parameter that is absent or blank (in its place or at the end) and forceInApp if absent; the query is
+    parsed in order and encoded anew, so blanks and bare keys come out well formed."""
     u = F.split(py_strip(F.coalesce(col_(url), F.lit(""))), "#", 2).getItem(0)
     u = (F.when(u.startswith("//"), F.concat(F.lit("https:"), u))
          .when(u.startswith("/"), F.concat(F.lit(host), u)).otherwise(u))
     ok = u.startswith("http://") | u.startswith("https://")
-    base = F.split(u, r"\?", 2).getItem(0)
-    qs = F.coalesce(F.get(F.split(u, r"\?", 2), 1), F.lit(""))
-    pairs = F.filter(F.split(qs, "&"), lambda x: x != "")
-    keys = F.transform(pairs, lambda x: F.split(x, "=", 2).getItem(0))
-
-    def val(k):
-        hit = F.filter(pairs, lambda x: F.split(x, "=", 2).getItem(0) == k)
-        return F.coalesce(F.get(F.split(F.try_element_at(hit, F.lit(1)), "=", 2), 1), F.lit(""))
-    # blank values of a tracked key are replaced, other pairs keep their order
-    def without(arr, key):
-        return F.filter(arr, lambda x: F.split(x, "=", 2).getItem(0) != F.lit(key))
-    out_pairs = pairs
-    for k, v in params:
-        present = F.array_contains(keys, F.lit(k)) & (val(F.lit(k)) != "")
-        out_pairs = F.when(present, out_pairs).otherwise(F.concat(without(out_pairs, k), F.array(F.lit(f"{k}={v}"))))
-    out_pairs = F.when(F.array_contains(keys, F.lit("forceInApp")), out_pairs).otherwise(
-        F.concat(out_pairs, F.array(F.lit("forceInApp=true"))))
-    return F.when(ok & (u != ""), F.concat(base, F.lit("?"), F.array_join(out_pairs, "&")))
+    groups = grouped_pairs(query_pairs(F.get(F.split(u, r"\?", 2), 1)))
+    for k, v in params or rules.AFFILIATE_PARAMS:
+        groups = upserted(groups, k, v, only_if="blank")
+    groups = upserted(groups, "forceInApp", "true", only_if="absent")
+    return F.when(ok & (u != ""), F.concat(F.split(u, r"\?", 2).getItem(0), F.lit("?"), query_text(groups)))
+
+
+def paged_url(url, page) -> F.Column:
+    """The URL with ``page`` set (in its place or at the end), other parameters kept; page 1 leaves it as it is."""
+    u, n = col_(url), col_(page).cast("int")
+    frag = F.get(F.split(u, "#", 2), 1)
+    head = F.split(u, "#", 2).getItem(0)
+    groups = upserted(grouped_pairs(query_pairs(F.get(F.split(head, r"\?", 2), 1))), "page", n.cast("string"))
+    out = F.concat(F.split(head, r"\?", 2).getItem(0), F.lit("?"), query_text(groups))
+    return F.when(n <= 1, u).otherwise(F.concat(out, F.coalesce(F.concat(F.lit("#"), F.nullif(frag, F.lit(""))), F.lit(""))))
 
 
 def html_card_offers(pages: DataFrame, category: str = "Geral", strict: bool = False,

@@ -10,7 +10,7 @@ reliable checkpoint first (read phase strictly before write phase).
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +18,11 @@ from pyspark.sql.utils import AnalysisException
 
 from shelfscope.functions import rules
 from shelfscope.functions.pricing import store_from_sku
-from shelfscope.functions.text import py_strip
+from shelfscope.functions.text import py_strip, round_n
+from shelfscope.operators.keylog import KeyLog
 from shelfscope.operators.radar import admit_observations, daily_compaction
 from shelfscope.session import materialize
+from shelfscope.sources.batches import BatchManifest
 
 HISTORY_SCHEMA = ("sku string, loja string, data_coleta date, preco_min_dia double, preco_ultimo double, "
                   "titulo string, categoria string, atualizado_em timestamp_ntz")
@@ -84,34 +86,34 @@ def in_months(history: DataFrame, touched: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M2 / M3
-def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is absent from ``existing`` (first write wins);
-    duplicates inside ``new`` keep one row per key."""
-    fresh = new.dropDuplicates(keys)
-    return fresh.join(existing.select(*keys), keys, "left_anti")
-
-
 def admit_posts(posts: DataFrame) -> DataFrame:
     """M2 admission: trimmed sku, store from prefix when blank, price rounded."""
     sku = py_strip(F.col("sku").cast("string"))
     loja = py_strip(F.coalesce(F.col("loja"), F.lit("")))
-    return (posts.withColumn("sku", sku).filter(F.col("sku") != "")
-            .withColumn("loja", F.when(loja == "", store_from_sku(sku)).otherwise(loja)))
+    return (posts.withColumn("sku", sku).filter((F.col("sku") != "") & F.col("postado_em").isNotNull())
+            .withColumn("loja", F.when(loja == "", store_from_sku(sku)).otherwise(loja))
+            .withColumn("preco_postado", round_n(F.col("preco_postado"), 2)))
+
+
+def posted_log(spark: SparkSession, path: str) -> KeyLog:
+    return KeyLog(spark, path, POSTED_SCHEMA, ["sku", "loja", "postado_em"])
+
 
+def topic_log(spark: SparkSession, path: str) -> KeyLog:
+    return KeyLog(spark, path, TOPICS_SCHEMA, ["url_hash"])
 
-def append_posts(spark: SparkSession, path: str, posts: DataFrame) -> int:
-    existing = read_or_empty(spark, path, POSTED_SCHEMA)
-    add = materialize(insert_ignore(existing, admit_posts(posts), ["sku", "loja", "postado_em"]))
-    add.write.mode("append").parquet(path)
-    return add.count()
 
+def append_posts(spark: SparkSession, path: str, posts: DataFrame, order: list[str] | None = None,
+                 batch_id: int | None = None) -> int:
+    """M2: key (sku, store, time), the row written first stays; returns how many are new.  ``order``: columns
+    that rank rows of one key inside the batch."""
+    return posted_log(spark, path).insert(admit_posts(posts), order or ["preco_postado", "canal_resumo"], batch_id)
 
-def append_topics(spark: SparkSession, path: str, topics: DataFrame) -> int:
+
+def append_topics(spark: SparkSession, path: str, topics: DataFrame, order: list[str] | None = None,
+                  batch_id: int | None = None) -> int:
     """M3: unique url key, first write wins; the date of a re-published URL is kept."""
-    existing = read_or_empty(spark, path, TOPICS_SCHEMA)
-    add = materialize(insert_ignore(existing, topics, ["url_hash"]))
-    add.write.mode("append").parquet(path)
-    return add.count()
+    return topic_log(spark, path).insert(topics, order or ["publicado_em", "url"], batch_id)
 
 
 # ------------------------------------------------------------------------- M4
@@ -170,6 +172,51 @@ def purge_price_history(spark: SparkSession, path: str, ref_date: str, days: int
     return removed + n_old
 
 
+METADATA_SCHEMA = "chave string, valor string, atualizado_em timestamp_ntz"
+LAST_PURGE_REMOVED, LAST_PURGE_AT = "ultima_limpeza_removidos", "ultima_limpeza_em"
+
+
+def put_metadata(spark: SparkSession, path: str, entries: dict[str, str], at: datetime, batch_id: int | None = None) -> None:
+    """M4 upsert: a batch of (key, value) written at ``at``; the last write of a key counts."""
+    log = BatchManifest(spark, path)
+    log.publish(log.next_id() if batch_id is None else batch_id, {"kv": spark.createDataFrame(
+        [(k, str(v), at) for k, v in entries.items()], METADATA_SCHEMA)})
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return BatchManifest(spark, path).read("kv", METADATA_SCHEMA).drop("batch")
+
+
+def run_retention(spark: SparkSession, base: str, ref: datetime, refs: dict[str, datetime] | None = None) -> dict[str, int]:
+    """M5: purge the three tables under ``base`` (``precos``, ``postados``, ``pautas``) as of ``ref`` and store the
+    number of removed prices for the row-loss guard (M6).  ``refs`` may give a table its own date.
+
+    The count of a run is stored before its tables change: a run that is broken off and started again (same
+    ``ref``) finds less to remove, and keeps the larger count."""
+    refs, meta = refs or {}, f"{base}/metadados"
+    day = refs.get("precos", ref)
+    limit = (day - timedelta(days=rules.RETENTION_PRICE_DAYS)).date()
+    hist = read_or_empty(spark, f"{base}/precos", HISTORY_SCHEMA + ", mes string")
+    found = hist.filter((F.col("mes") <= limit.strftime("%Y-%m")) & (F.col("data_coleta") < F.lit(limit))).count()
+    known = {r["chave"]: r["valor"] for r in metadata_latest(read_metadata(spark, meta)).collect()}
+    if known.get(LAST_PURGE_AT) == ref.isoformat():
+        found = max(found, int(known[LAST_PURGE_REMOVED]))
+    put_metadata(spark, meta, {LAST_PURGE_REMOVED: str(found), LAST_PURGE_AT: ref.isoformat()}, ref)
+    purge_price_history(spark, f"{base}/precos", day.date().isoformat())
+    posted, _ = posted_log(spark, f"{base}/postados").purge(
+        F.col("postado_em") < F.lit(refs.get("postados", ref) - timedelta(days=rules.RETENTION_POSTED_DAYS)))
+    topics, _ = topic_log(spark, f"{base}/pautas").purge(
+        F.col("publicado_em") < F.lit(refs.get("pautas", ref) - timedelta(days=rules.RETENTION_TOPIC_DAYS)))
+    return {"precos_removidos": found, "postados_removidos": posted, "rss_removidos": topics}
+
+
+# ------------------------------------------------------------------------- M7
+def migrate_legacy(spark: SparkSession, base: str, prices: DataFrame, posts: DataFrame, today: str) -> None:
+    """M7: legacy price and post documents (column ``doc``) into the tables under ``base``; a second run changes nothing."""
+    upsert_price_days(spark, f"{base}/precos", legacy_price_observations(prices, "doc", today))
+    append_posts(spark, f"{base}/postados", legacy_posts(posts, "doc"))
+
+
 # ------------------------------------------------------------------------- M6
 def row_loss_guard(baseline, current, justified, max_loss: float = rules.MAX_ROW_LOSS) -> F.Column:
     """M6: struct(ok, motivo, queda_pct) for the row-loss rule."""
@@ -187,6 +234,35 @@ def row_loss_guard(baseline, current, justified, max_loss: float = rules.MAX_ROW
                     (F.floor(pct * 10000.0 + 0.5) / 100.0).alias("queda_injustificada_pct"))
 
 
+def justified_removals(checks: DataFrame, purges: DataFrame, hours: int = rules.PURGE_VALID_HOURS) -> DataFrame:
+    """M6 lookup: rows removed by the last purge at most ``hours`` before each check (``justificados``; none: 0).
+
+    An as-of join split by day: a purge is listed under every day its ``hours`` reach into, a check looks at its
+    own day only, so both sides meet by (base, day) and a day's few purges.  ``checks``: base, conferido_em, ...;
+    ``purges``: base, limpo_em, removidos.  A ``justificados`` that a check brings along comes first."""
+    valid = F.make_dt_interval(F.lit(0), F.lit(hours))
+    p = purges.select(F.col("base").alias("_base"), "limpo_em", "removidos", F.explode(F.sequence(
+        F.to_date("limpo_em"), F.to_date(F.col("limpo_em") + valid))).alias("_day"))
+    c = checks.withColumn("_id", F.monotonically_increasing_id())
+    c = materialize(c)     # the row number must not change between its two uses
+    hits = (c.select("_id", "base", "conferido_em").join(p, (F.col("base") == F.col("_base"))
+                                                         & (F.to_date("conferido_em") == F.col("_day"))
+                                                         & (F.col("limpo_em") <= F.col("conferido_em"))
+                                                         & (F.col("conferido_em") <= F.col("limpo_em") + valid))
+            .groupBy(F.col("_id").alias("_hit")).agg(F.max(F.struct("limpo_em", "removidos")).getField("removidos").alias("_r")))
+    given = F.col("justificados") if "justificados" in checks.columns else F.lit(None).cast("long")
+    return (c.join(hits, F.col("_id") == F.col("_hit"), "left")
+            .withColumn("justificados", F.coalesce(given, F.greatest(F.lit(0), F.col("_r")), F.lit(0)).cast("long"))
+            .drop("_id", "_hit", "_r"))
+
+
+def guarded_checks(checks: DataFrame, purges: DataFrame, max_loss: float = rules.MAX_ROW_LOSS) -> DataFrame:
+    """M6: checks (base, conferido_em, baseline, atuais) judged against the purges before them."""
+    j = justified_removals(checks, purges)
+    g = row_loss_guard(F.col("baseline"), F.col("atuais"), F.col("justificados"), max_loss)
+    return j.withColumn("_g", g).select("*", "_g.*").drop("_g")
+
+
 def missing_tables(present: list[str], required=None) -> F.Column:
     """U4: required table names absent from ``present``."""
     req = F.array(*[F.lit(t) for t in (required or rules.REQUIRED_TABLES)])

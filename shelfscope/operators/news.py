@@ -8,12 +8,13 @@ item pairs:
 * equal keys (URL hash, normalised topic, identical token set) are resolved
   per (key, day) bucket from partial aggregates (first / last time per
   bucket), so a key that holds a third of all rows costs one row per day;
-* near-duplicate topics are found between *distinct* token sets with exact
-  prefix filtering: tokens are ordered rarest first and a set only indexes
-  its first ``n - alpha(n) + 1`` tokens, where ``alpha(n)`` is the least
-  overlap any similar partner must share.  The smallest shared token of a
-  similar pair is always in both prefixes, so no pair is lost, and the most
-  frequent tokens of each set (the hot blocking keys) are never indexed;
+* near-duplicate topics are found between *distinct* token sets with an index
+  by (token, size class, time bucket): tokens are ordered rarest first and the
+  least overlap that a similar pair needs, which depends on the smaller set's
+  size, bounds the prefix in which the first shared token must lie.  No pair is
+  lost, the most frequent tokens of a set (the hot blocking keys) are hardly
+  ever indexed, posting lists that still are long are split, and a positional
+  filter drops pairs that can't share enough behind the token;
 * the time window is checked bucket-to-bucket (day offsets 0..N), then joined
   back to the items on (key, day).
 """
@@ -66,32 +67,78 @@ def round_robin(items: DataFrame, limit: int = rules.NEWS_CANDIDATES, ts: str =
 
 
 # ----------------------------------------------------------------- J4 / J5
-def _alpha(n):
-    """Least overlap a similar partner of a set of size n must share."""
-    return F.greatest(F.lit(1), F.least(F.lit(rules.TOPIC_MIN_SHARED), F.floor(n * rules.TOPIC_JACCARD)))
-
-
-def similar_sets(items: DataFrame, toks: str = "toks") -> DataFrame:
-    """Pairs (set_a, set_b) of distinct non-empty token sets that are similar:
-    shared >= 3 and shared/min >= 0.60, or Jaccard >= 0.55 (both directions)."""
-    sets = (items.filter(F.size(toks) > 0)
-            .select(F.array_join(toks, " ").alias("set_key"), F.col(toks).alias("toks"))
-            .groupBy("set_key").agg(F.first("toks").alias("toks")))
-    tok_rows = sets.select("set_key", F.explode("toks").alias("tok"))
+#: Sets a posting list holds before it is split over several tasks.
+POSTING_LIMIT = 5_000
+
+
+def _least_overlap(m, n):
+    """Least number of shared tokens that makes sets of ``m <= n`` tokens similar."""
+    contained = F.greatest(F.lit(rules.TOPIC_MIN_SHARED), F.ceil(m * rules.TOPIC_CONTAINMENT - 1e-9))
+    jaccard = F.ceil((m + n) * (rules.TOPIC_JACCARD / (1 + rules.TOPIC_JACCARD)) - 1e-9)
+    return F.least(contained, jaccard).cast("int")
+
+
+def topic_postings(items: DataFrame, toks: str = "toks", days: int = rules.TOPIC_DEDUP_DAYS,
+                   ts: str = "publicado_em") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, probes, index) of the similarity join.
+
+    Tokens of a set are ordered rarest first.  A set of m tokens needs at least ``o = _least_overlap(m, m)``
+    shared ones with any set that is not smaller, so the first shared token is among its first ``m - o + 1``
+    and among the first ``n - o + 1`` of the other.  ``probes`` has the former, once; ``index`` the latter, for
+    every ``o`` (size class of the smaller set) up to the set's own.  Rows carry the token's place (positional
+    filter), the ``days``-wide time bucket of the set's items (probes: the neighbouring buckets too), and a
+    part number that splits the posting list of a token with more than ``POSTING_LIMIT`` sets."""
+    bucket = F.floor(F.unix_date(F.to_date(ts)) / F.lit(days)).cast("int")
+    sets = (items.filter(F.size(toks) > 1)
+            .groupBy(F.array_join(toks, " ").alias("set_key"))
+            .agg(F.first(toks).alias("toks"), F.collect_set(bucket).alias("buckets")))
+    tok_rows = sets.select("set_key", "buckets", F.explode("toks").alias("tok"))
     freq = tok_rows.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ordered = (tok_rows.join(freq, "tok")
-               .groupBy("set_key").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ranked")))
-    n = F.size("ranked")
-    prefix = ordered.select("set_key", F.explode(F.slice("ranked", 1, (n - _alpha(n) + 1).cast("int")))
-                            .alias("p")).select("set_key", F.col("p.tok").alias("tok"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cand = (a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.set_key") < F.col("b.set_key")))
+    ranked = (tok_rows.join(freq, "tok").groupBy("set_key")
+              .agg(F.first("buckets").alias("buckets"),
+                   F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ranked"))
+              .withColumn("n", F.size("ranked")).withColumn("o", _least_overlap(F.col("n"), F.col("n"))))
+    ranked = materialize(ranked)
+    classes = [r["o"] for r in ranked.select("o").distinct().orderBy("o").collect()]   # as many as set sizes
+
+    def placed(df, o):
+        prefix = F.slice("ranked", 1, F.col("n") - o + 1)
+        return df.select("set_key", "n", "buckets", o.alias("o"), F.posexplode(prefix).alias("at", "p"))
+    parts = F.ceil(F.col("p.df") / F.lit(POSTING_LIMIT)).cast("int")
+    probes = (placed(ranked, F.col("o"))
+              .select("set_key", "n", "o", "at", F.col("p.tok").alias("tok"), "buckets", parts.alias("parts"))
+              .withColumn("b", F.explode("buckets")).withColumn("b", F.explode(F.array(F.col("b") - 1, "b", F.col("b") + 1)))
+              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("buckets", "parts"))
+    own = F.filter(F.array(*[F.lit(c) for c in classes]).cast("array<int>"), lambda c: c <= F.col("o"))
+    index = placed(ranked.withColumn("c", F.explode(own)), F.col("c"))
+    index = (index.select("set_key", "n", "o", "at", F.col("p.tok").alias("tok"),
+                          F.pmod(F.xxhash64("set_key"), parts).cast("int").alias("part"), "buckets")
+             .withColumn("b", F.explode("buckets")).drop("buckets"))
+    return sets, probes, index
+
+
+def topic_candidates(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs (sa, sb) that share a token of both prefixes and still can share enough behind it."""
+    a, b = probes.alias("a"), index.alias("b")
+    m, n = F.col("a.n"), F.col("b.n")
+    smaller = (m < n) | ((m == n) & (F.col("a.set_key") < F.col("b.set_key")))
+    possible = F.least(m - F.col("a.at"), n - F.col("b.at")) >= _least_overlap(m, n)   # ``at`` counts from 0
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tok", "o", "b", "part")]
+    return (a.join(b, same[0] & same[1] & same[2] & same[3] & smaller & possible)
             .select(F.col("a.set_key").alias("sa"), F.col("b.set_key").alias("sb")).distinct())
+
+
+def similar_sets(items: DataFrame, toks: str = "toks", days: int = rules.TOPIC_DEDUP_DAYS,
+                 ts: str = "publicado_em") -> DataFrame:
+    """Pairs (sa, sb) of distinct token sets that are similar, shared >= 3 and shared/min >= 0.60 or
+    Jaccard >= 0.55 (both directions), and whose items can lie within ``days`` of each other."""
+    sets, probes, index = topic_postings(items, toks, days, ts)
+    cand = topic_candidates(probes, index)
     ta = sets.select(F.col("set_key").alias("sa"), F.col("toks").alias("ta"))
     tb = sets.select(F.col("set_key").alias("sb"), F.col("toks").alias("tb"))
     c = cand.join(ta, "sa").join(tb, "sb")
     inter = F.size(F.array_intersect("ta", "tb"))
-    union = F.size(F.array_union("ta", "tb"))
+    union = F.size("ta") + F.size("tb") - inter
     mn = F.least(F.size("ta"), F.size("tb"))
     ok = (((inter >= rules.TOPIC_MIN_SHARED) & (inter / mn >= rules.TOPIC_CONTAINMENT))
           | (inter / union >= rules.TOPIC_JACCARD))
@@ -141,7 +188,7 @@ def topic_coverage(items: DataFrame, days: int = rules.TOPIC_DEDUP_DAYS, ord_col
                        .withColumn("set_key", F.array_join("toks", " ")))
     by_url = _covered_by(base, "url_hash", None, days, "_u", ord_col=ord_col)
     by_topic = _covered_by(base, "tema_normalizado", None, days, "_t", ord_col=ord_col)
-    by_set = _covered_by(base, "set_key", similar_sets(base), days, "_s", ord_col=ord_col)
+    by_set = _covered_by(base, "set_key", similar_sets(base, days=days), days, "_s", ord_col=ord_col)
     out = (base.join(by_url, ord_col, "left").join(by_topic, ord_col, "left").join(by_set, ord_col, "left"))
     u, t, s = [F.coalesce(F.col(c), F.lit(False)) for c in ("_u", "_t", "_s")]
     return (out.withColumn("ja_publicada", u | t).withColumn("tema_similar", t | s)

@@ -156,7 +156,7 @@ def distinct_model_pick(df: DataFrame, limit: int, rank_cols: list | None = None
 
 
 # ------------------------------------------------------------------------- Q2
-def _copy_columns(df: DataFrame) -> DataFrame:
+def copy_columns(df: DataFrame) -> DataFrame:
     """Saving, title, body and call to action of the rule-based copy."""
     preco, ant = F.col("preco_atual"), F.coalesce(F.col("preco_antigo"), F.col("preco_atual"))
     economia = round_n(F.greatest(F.lit(0.0), ant - preco), 2)
@@ -252,7 +252,7 @@ def fallback_selection(cands: DataFrame, qtd_b: int = rules.TARGET_B, qtd_a: int
     within = F.when(F.col("_store") == "B", F.col("_i") % 3).otherwise(F.lit(3))
     w_final = Window.orderBy(block, within)  # at most 2 * total rows
     out = seq.withColumn("pos", F.row_number().over(w_final)).filter(F.col("pos") <= total)
-    out = _copy_columns(out)
+    out = copy_columns(out)
     return out.select("pos", F.col("sku").alias("sku_selecionado"), "nome_produto", "loja", "categoria",
                       "preco_atual", "preco_antigo", "percentual_desconto", "menor_preco_historico",
                       "queda_real_percent", "preco_medio_historico", "url_afiliado", "comissao_percent",

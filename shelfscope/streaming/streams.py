@@ -7,8 +7,9 @@ the same results continuously.  Common rules:
   TIMESTAMP under the UTC session zone before any watermark;
 * stream state and progress live under the shared ``spark.checkpoint.dir``
   (``stream_checkpoint``), so a restarted driver or lost executor resumes;
-* sinks are idempotent per micro-batch (dynamic partition overwrite or
-  insert-ignore), so a replayed batch does not duplicate rows.
+* sinks give the same rows when a batch is run again: the daily upsert merges
+  (M1), the others publish a batch by a manifest (``sources/batches.py``) or use
+  Spark's file sink.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from shelfscope.functions import rules
 from shelfscope.operators import maintenance as Mt
 from shelfscope.operators import radar
 from shelfscope.session import checkpoint_dir
+from shelfscope.sources.batches import BatchManifest
 
 
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
@@ -33,36 +35,45 @@ def event_time(c) -> F.Column:
 
 # ------------------------------------------------------------------------- T1
 def daily_price_stream(obs: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Per (sku, store, day) minimum and last price of arriving observations,
-    emitted once the day closes under the watermark (append mode)."""
+    """Per (sku, store, day) minimum and last price, last non-blank title and
+    category of arriving observations, emitted once the day closes under the
+    watermark (append mode)."""
     o = obs.withColumn("_et", event_time("ts")).withWatermark("_et", lateness)
+
+    def last(c, where=None):
+        v = F.struct("ts", "seq1", "seq2", F.col(c).alias("v"))
+        return F.max(v if where is None else F.when(where, v)).getField("v")
     return (o.groupBy(F.window("_et", "1 day").alias("w"), "sku", "loja")
-            .agg(F.min("preco").alias("preco_min_dia"),
-                 F.max(F.struct("ts", "seq1", "seq2", F.col("preco").alias("v"))).getField("v").alias("preco_ultimo"),
+            .agg(F.min("preco").alias("preco_min_dia"), last("preco").alias("preco_ultimo"),
+                 F.coalesce(last("titulo", F.col("titulo") != ""), F.lit("")).alias("titulo"),
+                 F.coalesce(last("categoria", F.col("categoria") != ""), F.lit("")).alias("categoria"),
                  F.max("ts").alias("atualizado_em"))
             .select("sku", "loja", F.to_date(F.col("w.start")).alias("data_coleta"), "preco_min_dia",
-                    "preco_ultimo", "atualizado_em"))
+                    "preco_ultimo", "titulo", "categoria", "atualizado_em"))
+
+
+def day_observations(batch: DataFrame) -> DataFrame:
+    """Closed days of T1 as observations of the M1 upsert."""
+    return batch.select("sku", "loja", "data_coleta", F.col("preco_ultimo").alias("preco"),
+                        F.col("preco_min_dia").alias("preco_min_inicial"), "titulo", "categoria",
+                        F.col("atualizado_em").alias("ts"), F.lit(0).cast("bigint").alias("seq1"),
+                        F.lit(0).cast("bigint").alias("seq2"))
 
 
 def upsert_daily_batches(spark: SparkSession, history_path: str):
     """foreachBatch sink for T1: merge each micro-batch into the month-partitioned
-    history (M1 semantics, re-run safe)."""
+    history (M1).  A batch that runs again merges the same days to the same rows."""
     def _sink(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        obs = batch.select("sku", "loja", "data_coleta", F.col("preco_ultimo").alias("preco"),
-                           F.col("preco_min_dia").alias("preco_min_inicial"), F.lit("").alias("titulo"),
-                           F.lit("").alias("categoria"), F.col("atualizado_em").alias("ts"),
-                           F.lit(batch_id).cast("bigint").alias("seq1"), F.lit(0).cast("bigint").alias("seq2"))
-        Mt.upsert_price_days(spark, history_path, obs)
+        if not batch.isEmpty():
+            Mt.upsert_price_days(spark, history_path, day_observations(batch))
     return _sink
 
 
 # ------------------------------------------------------------------- T2 / T3
 def first_post_within(posts: DataFrame, hours: int = rules.REPEAT_LOCK_HOURS) -> DataFrame:
-    """The first post of each sku within the lock window (later posts of the
-    same sku inside the watermark are dropped).  A sliding lock that restarts at
-    every post needs per-key state (see README)."""
+    """T2 without state of its own: the first post of each sku within the lock window
+    (later posts of the same sku inside the watermark are dropped).  The lock that
+    restarts at every post is ``lock.sliding_lock``."""
     p = posts.withColumn("_et", event_time("postado_em")).withWatermark("_et", f"{hours} hours")
     return p.dropDuplicatesWithinWatermark(["sku"]).drop("_et")
 
@@ -86,11 +97,11 @@ def split_by_recency(items: DataFrame, hours: int = rules.NEWS_WINDOW_HOURS,
                             .when(t > hi, F.lit("future")).otherwise(F.lit("ok")))
 
 
-def route_by_recency(ok_path: str, side_path: str):
-    def _sink(batch: DataFrame, batch_id: int) -> None:
-        batch.filter(F.col("faixa") == "ok").write.mode("append").parquet(ok_path)
-        batch.filter(F.col("faixa") != "ok").write.mode("append").parquet(side_path)
-    return _sink
+def route_by_recency(manifest: BatchManifest):
+    """foreachBatch sink for T4: items in time go to table ``ok``, the others to ``side``;
+    both are published with the batch, once."""
+    return manifest.sink(lambda batch: {"ok": batch.filter(F.col("faixa") == "ok"),
+                                        "side": batch.filter(F.col("faixa") != "ok")})
 
 
 # ------------------------------------------------------------------------- T5
@@ -110,13 +121,15 @@ def engagement_per_hour(posts: DataFrame, lateness: str = "2 hours") -> DataFram
             .select(F.col("w.start").cast("timestamp_ntz").alias("hora"), "posts", "eng"))
 
 
-def start(df: DataFrame, spark: SparkSession, name: str, sink=None, fmt: str = "memory",
-          mode: str = "append", available_now: bool = True, checkpoint: str | None = None) -> StreamingQuery:
+def start(df: DataFrame, spark: SparkSession, name: str, sink=None, path: str | None = None, mode: str = "append",
+          available_now: bool = True, checkpoint: str | None = None) -> StreamingQuery:
     """Start a job; its checkpoint defaults to <spark.checkpoint.dir>/streams/<name>
-    so a restarted job resumes where it stopped."""
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or stream_checkpoint(spark, name))
+    so a restarted job resumes where it stopped.  Rows go to ``sink`` (a foreachBatch
+    function), else as Parquet to ``path`` (Spark's file sink, which commits each batch once)."""
+    checkpoint = checkpoint or stream_checkpoint(spark, name)
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).queryName(name)
     if available_now:
         w = w.trigger(availableNow=True)
     if sink is not None:
         return w.foreachBatch(sink).start()
-    return w.format(fmt).queryName(name).start()
+    return w.format("parquet").option("path", path or f"{checkpoint}/rows").start()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from shelfscope.operators import metrics as Mx
 from shelfscope.operators import radar
 from shelfscope.sources import tables as T
+from shelfscope.sources.batches import BatchManifest
+from shelfscope.streaming import lock as L
 from shelfscope.streaming import streams as St
 
 SF = "/root/testdata/sf0.001"
@@ -20,6 +22,12 @@ def _ckpt(name):
     return tempfile.mkdtemp(prefix=f"shelfscope-test-ckpt-{name}-")
 
 
+def _rows(spark, checkpoint, schema=None):
+    """What Spark's file sink has committed."""
+    r = spark.read.schema(schema) if schema else spark.read
+    return r.parquet(f"{checkpoint}/rows")
+
+
 def _as_stream(spark, df, name):
     path = tempfile.mkdtemp(prefix=f"shelfscope-test-{name}-") + "/src"
     df.write.parquet(path)
@@ -28,9 +36,9 @@ def _as_stream(spark, df, name):
 
 def test_engagement_per_hour_matches_batch(spark):
     posts = Mx.post_engagement(T.social_posts(T.table(spark, SF, "events"))).select("created_time", "score")
-    q = St.start(St.engagement_per_hour(_as_stream(spark, posts, "t6")), spark, "t6_test", checkpoint=_ckpt("t6"))
+    q = St.start(St.engagement_per_hour(_as_stream(spark, posts, "t6")), spark, "t6_test", checkpoint=(c := _ckpt("t6")))
     q.awaitTermination()
-    got = {r["hora"]: (r["posts"], r["eng"]) for r in spark.table("t6_test").collect()}
+    got = {r["hora"]: (r["posts"], r["eng"]) for r in _rows(spark, c).collect()}
     exp = {r["created_time"]: (r["posts"], r["eng"]) for r in
            posts.groupBy("created_time").agg(F.count(F.lit(1)).alias("posts"), F.sum("score").alias("eng")).collect()}
     assert got and all(exp[h] == v for h, v in got.items())
@@ -49,38 +57,116 @@ def test_daily_stream_upserts_history(spark):
     assert got and all(exp[k] == v for k, v in got.items())
 
 
+def test_daily_stream_keeps_titles_and_survives_replays(spark):
+    """Every closed day equals the batch compaction in all columns; a batch that runs again changes nothing."""
+    obs = T.price_observations(T.table(spark, SF, "lineitem"))
+    path, seen = tempfile.mkdtemp(prefix="shelfscope-test-t1r-") + "/hist", []
+    sink = St.upsert_daily_batches(spark, path)
+
+    def twice(batch, batch_id):
+        sink(batch, batch_id)
+        sink(batch, batch_id)
+        seen.append(batch_id)
+    q = St.start(St.daily_price_stream(_as_stream(spark, obs.repartition(2), "t1r")), spark, "t1r_test", sink=twice,
+                 checkpoint=_ckpt("t1r"))
+    q.awaitTermination()
+    cols = ["sku", "loja", "data_coleta", "preco_min_dia", "preco_ultimo", "titulo", "categoria", "atualizado_em"]
+    got = {tuple(r) for r in spark.read.parquet(path).select(cols).collect()}
+    exp = {tuple(r) for r in radar.daily_compaction(obs).select(cols).collect()}
+    assert seen and got and got <= exp
+    assert any(r[5] for r in got) and len(exp) - len(got) <= 0.1 * len(exp)
+
+
+def test_replayed_batch_is_published_once(spark):
+    manifest = BatchManifest(spark, tempfile.mkdtemp(prefix="shelfscope-test-man-") + "/out")
+    schema = "id long"
+    assert manifest.read("ok", schema).count() == 0
+    sink = manifest.sink(lambda b: {"ok": b.where("id % 2 = 0"), "side": b.where("id % 2 = 1")})
+    for batch_id in (0, 1, 1, 0):
+        sink(spark.range(10 * batch_id, 10 * batch_id + 10), batch_id)
+    assert sorted(r["id"] for r in manifest.read("ok", schema).collect()) == list(range(0, 20, 2))
+    assert manifest.read("side", schema).count() == 10
+    # an attempt that died before it published: its rows are invisible, the batch runs again
+    spark.range(100, 110).write.parquet(f"{manifest.path}/data/ok/batch=2-lost")
+    assert manifest.read("ok", schema).count() == 10
+    sink(spark.range(20, 30), 2)
+    assert manifest.read("ok", schema).count() == 15 and manifest.vacuum() == 1
+    assert manifest.read("ok", schema).count() == 15 and not manifest.publish(2, {"ok": spark.range(5)})
+
+
+def _lock_by_loop(rows, hours=72):
+    """Decisions of a plain loop: {event id: (free, last post)}."""
+    out, last = {}, {}
+    for sku, evento, tipo, quando in sorted(rows, key=lambda r: (r[3], r[2] != "post", r[1])):
+        before = last.get(sku)
+        if tipo == "post":
+            last[sku] = quando
+            continue
+        free = before is None or quando - before >= dt.timedelta(hours=hours)
+        out[evento] = (free, before)
+        if free:
+            last[sku] = quando
+    return out
+
+
+def test_sliding_lock_equals_a_loop_over_events(spark):
+    """All events, out of order inside the delay, over several batches and a restart in the middle."""
+    schema = "sku string, evento_id long, tipo string, quando timestamp"
+    rows = [(str(r["user_id"]), r["event_id"], L.POST if r["event_type"] == "purchase" else L.OFFER, r["ts"])
+            for r in T.table(spark, SF, "events").collect()]
+    base = rows[0][3]
+    rows += [("edge", 10_000_001, L.POST, base), ("edge", 10_000_002, L.OFFER, base + dt.timedelta(hours=72) - dt.timedelta(microseconds=1)),
+             ("edge", 10_000_003, L.OFFER, base + dt.timedelta(hours=72)),
+             ("edge", 10_000_004, L.OFFER, base + dt.timedelta(hours=144) - dt.timedelta(microseconds=1)),
+             ("tie", 10_000_005, L.OFFER, base), ("tie", 10_000_006, L.POST, base)]
+    rows.sort(key=lambda r: r[3])
+    rows = [x for k in range(0, len(rows), 20) for x in reversed(rows[k:k + 20])]      # out of order
+    path, ckpt = tempfile.mkdtemp(prefix="shelfscope-test-lock-") + "/src", _ckpt("lock")
+    cut = len(rows) // 2
+    end = [("zz", 99_000_000, L.POST, max(r[3] for r in rows) + dt.timedelta(days=30))]
+    for part in (rows[:cut], rows[cut:], end):       # the job is started anew for each part
+        df = spark.createDataFrame([(s, e, t, q.astimezone() if q.tzinfo else q) for s, e, t, q in part], schema)
+        df.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        St.start(L.sliding_lock(stream, delay="3 days"), spark, "lock_test", checkpoint=ckpt).awaitTermination()
+    got = {r["evento_id"]: (r["livre"], r["ultimo_post"]) for r in _rows(spark, ckpt).collect()}
+    exp = _lock_by_loop(rows)
+    assert got == exp
+    assert {True, False} == {free for free, _ in got.values()} and got[10_000_002][0] is False and got[10_000_003][0]
+
+
 def test_first_post_and_url_within_window(spark):
     base = dt.datetime(2024, 1, 1)
     posts = spark.createDataFrame([("a", base), ("a", base + dt.timedelta(hours=5)), ("b", base)],
                                   "sku string, postado_em timestamp_ntz")
-    q = St.start(St.first_post_within(_as_stream(spark, posts, "t2")), spark, "t2_test", checkpoint=_ckpt("t2"))
+    q = St.start(St.first_post_within(_as_stream(spark, posts, "t2")), spark, "t2_test", checkpoint=(c := _ckpt("t2")))
     q.awaitTermination()
-    assert sorted(r["sku"] for r in spark.table("t2_test").collect()) == ["a", "b"]
+    assert sorted(r["sku"] for r in _rows(spark, c).collect()) == ["a", "b"]
     items = spark.createDataFrame([("h1", base), ("h1", base + dt.timedelta(days=1)), ("h2", base)],
                                   "url_hash string, publicado_em timestamp_ntz")
-    q = St.start(St.first_url_within(_as_stream(spark, items, "t3")), spark, "t3_test", checkpoint=_ckpt("t3"))
+    q = St.start(St.first_url_within(_as_stream(spark, items, "t3")), spark, "t3_test", checkpoint=(c := _ckpt("t3")))
     q.awaitTermination()
-    assert spark.table("t3_test").count() == 2
+    assert _rows(spark, c).count() == 2
 
 
 def test_recency_routing_and_stream_static_radar(spark):
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     items = spark.createDataFrame([("ok", now - dt.timedelta(hours=1)), ("late", now - dt.timedelta(hours=48)),
                                    ("future", now + dt.timedelta(hours=2))], "id string, publicado_em timestamp_ntz")
-    ok_path = tempfile.mkdtemp(prefix="shelfscope-test-t4-") + "/ok"
-    side_path = tempfile.mkdtemp(prefix="shelfscope-test-t4-") + "/side"
-    q = St.start(St.split_by_recency(_as_stream(spark, items, "t4")), spark, "t4_test",
-                 sink=St.route_by_recency(ok_path, side_path), checkpoint=_ckpt("t4"))
+    manifest = BatchManifest(spark, tempfile.mkdtemp(prefix="shelfscope-test-t4-") + "/news")
+    tagged = St.split_by_recency(_as_stream(spark, items, "t4"))
+    q = St.start(tagged, spark, "t4_test", sink=St.route_by_recency(manifest), checkpoint=_ckpt("t4"))
     q.awaitTermination()
-    assert [r["id"] for r in spark.read.parquet(ok_path).collect()] == ["ok"]
-    assert sorted((r["id"], r["faixa"]) for r in spark.read.parquet(side_path).collect()) == [
+    schema = "id string, publicado_em timestamp_ntz, faixa string"
+    assert [r["id"] for r in manifest.read("ok", schema).collect()] == ["ok"]
+    assert sorted((r["id"], r["faixa"]) for r in manifest.read("side", schema).collect()) == [
         ("future", "future"), ("late", "late")]
     stats = spark.createDataFrame([("ML_1", "Mercado Livre", 300.0, 300.0, 300.0, 5)],
                                   "sku string, loja string, min_180d double, mediana_180d double, "
                                   "media_180d double, dias_observados long")
     offers = spark.createDataFrame([("ML_1", "Mercado Livre", 240.0), ("ML_2", "Mercado Livre", 10.0)],
                                    "sku string, loja string, preco_atual double")
-    q = St.start(St.radar_on_arrivals(_as_stream(spark, offers, "t5"), stats), spark, "t5_test", checkpoint=_ckpt("t5"))
+    q = St.start(St.radar_on_arrivals(_as_stream(spark, offers, "t5"), stats), spark, "t5_test", checkpoint=(c := _ckpt("t5")))
     q.awaitTermination()
-    got = {r["sku"]: (r["menor_preco_historico"], r["queda_real_percent"]) for r in spark.table("t5_test").collect()}
+    got = {r["sku"]: (r["menor_preco_historico"], r["queda_real_percent"]) for r in _rows(spark, c).collect()}
     assert got == {"ML_1": (True, 20.0), "ML_2": (False, 0.0)}
