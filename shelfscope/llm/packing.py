@@ -53,9 +53,7 @@ GRAIN = 64              # tokens of a serving, at least
 BLOCK = 256             # windows of a block
 MAX_QUEUES = 4096
 PIECE = 4 << 20         # bytes of text handled at a time
-STORE_BYTES = 32 << 20  # of words whose ids a task remembers
-
-_WORD = re.compile(r"[^ \t\n\r]+")
+STORE_BYTES = 64 << 20  # of words whose ids a task remembers
 
 
 # ------------------------------------------------------------------ tokens
@@ -70,25 +68,125 @@ def _tokenizer(path: str):
     return t
 
 
+# bytes of a text: how they are told apart
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r"))
+_ASCII_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
+_MARK = np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+_LETTERS_ONLY = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")    # a to z and Latin-1 letters
+_JOINED = 1000      # words of letters that are encoded in one call
+
+
+@lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray | None:
+    """Which ids end a word, for a tokenizer that lower-cases and reads a run of letters by itself; None for others
+    (probed: letters of any case, a mark behind letters, words side by side)."""
+    t = _tokenizer(path)
+
+    def ids(text):
+        return t.encode(text, add_special_tokens=False).ids
+    suffix = getattr(t.model, "end_of_word_suffix", None)
+    if not suffix or ids("Word") != ids("word") or ids("word \u00e9t\u00e9\nx") != ids("word") + ids("\u00e9t\u00e9") + ids("x"):
+        return None
+    if any(ids(f"it{chr(m)}{more}") != ids("it") + ids(chr(m) + more) for m in np.flatnonzero(_MARK) for more in ("", "s", "'ll.", "!")):
+        return None
+    vocabulary = t.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
+    return out
+
+
 class WordCoder:
-    """Ids of whole texts by a tokenizer that drops white space: what stands between blanks is encoded
-    on its own, each distinct word once while it is remembered."""
+    """Ids of whole texts by a tokenizer that drops white space, each distinct word encoded once while it is remembered.
+
+    Texts are handled as the bytes of a whole batch.  Words are what stands between blanks; where the tokenizer
+    allows it (``_word_ends``) they are lower-cased in ASCII and cut between a letter and a mark, and words of
+    letters are encoded many in one call, told apart by the ids that end a word.  Texts that hold a capital sigma
+    (its lower case depends on what is around it) or ``<|`` (special tokens) are cut at blanks only."""
 
     def __init__(self, path: str, end: int, kind, store_bytes: int = STORE_BYTES):
-        self.tokenizer, self.end, self.kind = _tokenizer(path), end, kind
-        self.store, self.held, self.limit = {}, 0, store_bytes
+        self.tokenizer, self.end, self.kind, self.limit = _tokenizer(path), end, kind, store_bytes
+        self.ends_word = _word_ends(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.store, self.held = {}, 0
+        self.flat, self.lengths = [], []
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Put the ids of new words behind those known."""
+        joined = [w for w in words if _LETTERS_ONLY.fullmatch(w)] if self.ends_word is not None else []
+        if joined:
+            lines = [b" ".join(joined[k:k + _JOINED]).decode() for k in range(0, len(joined), _JOINED)]
+            coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(c.ids for c in coded), self.kind)
+            self._add(joined, ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1))
+        letters = set(joined)
+        others = [w for w in words if w not in letters]
+        if others:
+            coded = [c.ids for c in self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)]
+            self._add(others, np.fromiter(chain.from_iterable(coded), self.kind), np.array([len(i) for i in coded], np.int64))
+
+    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        if len(lengths) != len(words):
+            raise ValueError("the tokenizer did not end every word")
+        self.store.update(zip(words, range(len(self.store), len(self.store) + len(words))))
+        self.flat.append(ids)
+        self.lengths.append(lengths)
+        self.held += sum(map(len, words)) + 120 * len(words) + ids.nbytes
+
+    def _words(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words of all texts in a row, and how many each text and those before it have."""
+        data = column.cast(pa.binary()).fill_null(b"")
+        at = np.frombuffer(data.buffers()[1], np.int32)[data.offset:data.offset + len(data) + 1]
+        raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+        at = at - at[0]
+        blank = _BLANK[raw]
+        start = np.zeros(len(raw), bool)
+        start[at[:-1][at[:-1] < at[1:]]] = True
+        start[1:] |= blank[:-1]
+        if self.ends_word is not None:
+            special = np.zeros(len(raw), bool)
+            special[1:] = ((raw[:-1] == 0xCE) & (raw[1:] == 0xA3)) | ((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
+            low = _LOWER[raw]
+            letter = _ASCII_LETTER[low]
+            letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+            cut = np.zeros(len(raw), bool)
+            cut[1:] = letter[:-1] & _MARK[raw[1:]]
+            for text in np.unique(np.searchsorted(at, np.flatnonzero(special), side="right") - 1):
+                low[at[text]:at[text + 1]] = raw[at[text]:at[text + 1]]
+                cut[at[text]:at[text + 1]] = False
+            raw, start = low, start | cut
+        starts = np.flatnonzero(start & ~blank)
+        kept = raw[~blank]
+        places = np.append((np.cumsum(~blank) - ~blank)[starts], len(kept)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(kept)])
+        return words, np.searchsorted(starts, at[1:])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each text's followed by the end id; where each text's ids end)."""
+        words, counts = self._words(column)
+        coded = words.dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        self._learn([w for w in own if w not in self.store])
+        flat, lengths = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.flat, self.lengths))
+        self.flat, self.lengths = [flat], [lengths]
+        word = np.fromiter(map(self.store.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
+        n = lengths[word]
+        ends = np.cumsum(n)
+        place = np.repeat(((np.cumsum(lengths) - lengths)[word] - (ends - n)).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat[place].astype(self.kind, copy=False)
+        upto = np.append(0, ends)[counts]
+        if self.held > self.limit:
+            self._forget()
+        return np.insert(ids, upto, self.end), upto + np.arange(1, len(upto) + 1)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [_WORD.findall(t) if t else [] for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(self.store))
-        for word, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.store[word] = coded.ids
-            self.held += 100 + len(word) + 10 * len(coded.ids)
-        out = [np.fromiter(chain(chain.from_iterable(map(self.store.__getitem__, w)), (self.end,)), self.kind)
-               for w in words]
-        if self.held > self.limit:
-            self.store, self.held = {}, 0
-        return out
+        """Ids of each text."""
+        ids, ends = self.encode(pa.array(texts, pa.string()))
+        return np.split(ids, ends[:-1]) if texts else []
 
 
 def _tokens(path: str, end: int, kind: str, n_keys: int):
@@ -97,16 +195,17 @@ def _tokens(path: str, end: int, kind: str, n_keys: int):
 
         coder, seen, task = WordCoder(path, end, np.dtype(kind)), {}, TaskContext.get().partitionId()
         for batch in text_batches(batches, "text", PIECE):
-            ids = coder.ids(batch.column("text").to_pylist())
-            before = []
-            for source, one in zip(batch.column("source").to_pylist(), ids):
+            ids, ends = coder.encode(batch.column("text"))
+            n, before = np.diff(ends, prepend=0), []
+            for source, more in zip(batch.column("source").to_pylist(), n.tolist()):
                 at = seen.get(source, 0)
                 before.append(at)
-                seen[source] = at + len(one)
+                seen[source] = at + more
+            places = np.append(0, ends * ids.itemsize).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(n_keys)), batch.column("source"),
-                 pa.array([task] * len(ids), pa.int32()), pa.array(before, pa.int64()),
-                 pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())],
+                 pa.array(np.full(len(n), task, np.int32)), pa.array(before, pa.int64()), pa.array(n, pa.int64()),
+                 pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places), pa.py_buffer(ids)])],
                 names=[*batch.schema.names[:n_keys], "source", "task", "before", "n", "ids"])
     return run
 

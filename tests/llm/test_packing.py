@@ -30,13 +30,15 @@ def expected(tokenizer, text):
 
 TEXTS = ["", None, " ", "it's we'll   they'RE", "á ́b Å", "x\x0by\x0cz\x1cw\x85v\xa0u　t s", "ΑΣ ΑΣ. Σ",
          "<|endoftext|> a<|endoftext|>b <|startoftext|>", "12345 3.14 §§--", "İstanbul ǅ ß", "퟿\U0001f600\U0001f600",
-         "日本語 テキスト 한국어", "A" * 5000, "\x00\x01﻿ ée", "don't\tstop\r\nnow", "''s 's' 't"]
+         "日本語 テキスト 한국어", "A" * 5000, "\x00\x01﻿ ée", "don't\tstop\r\nnow", "''s 's' 't",
+         "A<|ENDOFTEXT|> Word$$$.,x (Été)! été×÷ñ.Ñ", "naïve's; ΑΣ,b", "a.b,c;d'll'd<|", "ÀÖØöøÿ½ª.º"]
 
 
 def test_ids_are_the_librarys(path, tokenizer):
     rng = random.Random(1)
-    alphabet = "ab'sSΣé ́\t\n\x0b\x1f\x85\xa0<|>1٣½．"
-    texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    texts = list(TEXTS)
+    for alphabet in ("ab'sSΣé ́\t\n\x0b\x1f\x85\xa0<|>1٣½．", "abcdESTilrvm''É.,$&!  \n1-×"):
+        texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     coder = P.WordCoder(path, 1, np.uint16, store_bytes=2000)      # forgets again and again
     for at in range(0, len(texts), 10):
         for text, ids in zip(texts[at:at + 10], coder.ids(texts[at:at + 10])):
