@@ -6,7 +6,8 @@ looks its keys up in the filters; keys that are not there are new without readin
 and only the buckets of the others are read (a literal partition filter), to drop what is
 there already.  Inside a batch the first row of a key is ``min(struct(order, row))``, a
 map-side combined aggregate.  Rows and filter bits of a batch are published together
-(``sources/batches.py``): a batch that runs again changes nothing.
+(``sources/batches.py``): a batch that runs again changes nothing.  Choose ``buckets`` times
+``blocks`` times 32,768 at about ten bits a key; fuller filters only cost more reads.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ class KeyLog:
         fresh = materialize(batch.where("NOT seen").unionByName(known))
         bits = (fresh.select("bucket", "block", F.explode("at").alias("at")).groupBy("bucket", "block")
                 .agg(F.bitmap_construct_agg("at").alias("bits")))
-        self.manifest.publish(batch_id, {"rows": fresh.select(*self.columns, "bucket"), "filter": bits},
+        self.manifest.publish(batch_id, {"rows": fresh.select(*self.columns, "bucket").repartition("bucket"), "filter": bits},
                               partition_by={"rows": ["bucket"]})
         return fresh.count()
 

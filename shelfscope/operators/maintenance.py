@@ -203,10 +203,11 @@ def run_retention(spark: SparkSession, base: str, ref: datetime, refs: dict[str,
         found = max(found, int(known[LAST_PURGE_REMOVED]))
     put_metadata(spark, meta, {LAST_PURGE_REMOVED: str(found), LAST_PURGE_AT: ref.isoformat()}, ref)
     purge_price_history(spark, f"{base}/precos", day.date().isoformat())
-    posted, _ = posted_log(spark, f"{base}/postados").purge(
-        F.col("postado_em") < F.lit(refs.get("postados", ref) - timedelta(days=rules.RETENTION_POSTED_DAYS)))
-    topics, _ = topic_log(spark, f"{base}/pautas").purge(
-        F.col("publicado_em") < F.lit(refs.get("pautas", ref) - timedelta(days=rules.RETENTION_TOPIC_DAYS)))
+
+    def before(table: str, days: int):
+        return F.lit((refs.get(table, ref) - timedelta(days=days)).isoformat()).cast("timestamp_ntz")
+    posted, _ = posted_log(spark, f"{base}/postados").purge(F.col("postado_em") < before("postados", rules.RETENTION_POSTED_DAYS))
+    topics, _ = topic_log(spark, f"{base}/pautas").purge(F.col("publicado_em") < before("pautas", rules.RETENTION_TOPIC_DAYS))
     return {"precos_removidos": found, "postados_removidos": posted, "rss_removidos": topics}
 
 

@@ -81,6 +81,20 @@ def _price_lines(price, now_prefix: str):
     return old_line, now_line
 
 
+def reais(c) -> F.Column:
+    """``R$ 1.234,56``."""
+    return F.concat(F.lit("R$ "), F.translate(F.format_number(c.cast("double"), 2), ",.", ".,"))
+
+
+def card_texts(df: DataFrame) -> dict[str, F.Column]:
+    """P33 (offer cards): price, struck-out old price and saving (if the old price is higher), discount badge from 5 %."""
+    price, old = F.coalesce(F.col("preco_atual"), F.lit(0.0)), F.col("preco_antigo")
+    disc = F.coalesce(F.col("percentual_desconto"), F.lit(0.0))
+    return {"preco": reais(price), "preco_de": F.when(old > price, F.concat(F.lit("DE "), reais(old))),
+            "economia": F.when(old > price, F.concat(F.lit("ECONOMIZE "), reais(old - price))),
+            "selo": F.when(disc >= 5, F.concat(F.lit("-"), _half_even_int(disc).cast("string"), F.lit("% OFF")))}
+
+
 def threads_caption(df: DataFrame) -> F.Column:
     """P33 (threads channel): title, body cut to 140, price lines, buy link when
     present, footer; whole text cut to 495 characters."""

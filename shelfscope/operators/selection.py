@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions import rules
-from shelfscope.functions.pricing import niche_bonus, quality_score, search_text
+from shelfscope.functions.pricing import hash_jitter, niche_bonus, quality_score, search_text
 from shelfscope.functions.text import model_key, py_strip, round_n, truncate_ellipsis
 
 
@@ -70,7 +70,10 @@ def add_niche_and_model(df: DataFrame, off=None, strong=None, cat_terms=None,
             .withColumn("modelo", model_key("nome_produto")))
 
 
-def add_score(df: DataFrame, jitter=None) -> DataFrame:
+def add_score(df: DataFrame, jitter=None, run_id: str | None = None) -> DataFrame:
+    """P18; with ``run_id`` the jitter of that run is added, the same each time the run is repeated."""
+    if run_id is not None:
+        jitter = hash_jitter("sku", run_id)
     return df.withColumn("score_qualidade", quality_score(
         "menor_preco_historico", "queda_real_percent", "percentual_desconto",
         "lucro_estimado_reais", "preco_atual", jitter))
@@ -219,7 +222,7 @@ def fallback_selection(cands: DataFrame, qtd_b: int = rules.TARGET_B, qtd_a: int
     """
     total = qtd_b + qtd_a
     for c, t in (("url_afiliado", "string"), ("preco_medio_historico", "double"), ("comissao_percent", "double"),
-                 ("lucro_estimado_reais", "double")):
+                 ("lucro_estimado_reais", "double"), ("imagem_url", "string")):
         if c not in cands.columns:
             cands = cands.withColumn(c, F.lit(None).cast(t))
     # a missing score is computed, so that it does not rank before or after all others
@@ -256,8 +259,8 @@ def fallback_selection(cands: DataFrame, qtd_b: int = rules.TARGET_B, qtd_a: int
     return out.select("pos", F.col("sku").alias("sku_selecionado"), "nome_produto", "loja", "categoria",
                       "preco_atual", "preco_antigo", "percentual_desconto", "menor_preco_historico",
                       "queda_real_percent", "preco_medio_historico", "url_afiliado", "comissao_percent",
-                      "lucro_estimado_reais", "economia", "copy_titulo", "copy_tipo", "cta_tipo", "copy_corpo",
-                      "copy_cta")
+                      "lucro_estimado_reais", "imagem_url", F.lit(rules.TOP_UP_REASON).alias("razao_selecao"), "economia",
+                      "copy_titulo", "copy_tipo", "cta_tipo", "copy_corpo", "copy_cta")
 
 
 # ------------------------------------------------------------------- P19 / K2

@@ -669,4 +669,7 @@ def build() -> dict[str, Query]:
     out.update(RESPONSE_QUERIES)
     out.update(PAYLOAD_QUERIES)
     out.update(FEED_QUERIES)
+    from shelfscope.plans import jobs, records
+    out.update(jobs.build())
+    out.update(records.build())
     return out

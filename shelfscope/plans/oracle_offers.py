@@ -122,7 +122,7 @@ def fallback_ctes(src: str = "bal") -> list[str]:
     total = rules.TARGET_B + rules.TARGET_A
     cols = ("sku, nome_produto, loja, categoria, preco_atual, preco_antigo, percentual_desconto, "
             "menor_preco_historico, queda_real_percent, preco_medio_historico, url_afiliado, comissao_percent, "
-            "lucro_estimado_reais")
+            "lucro_estimado_reais, imagem_url")
     return [
         f"""fb_base AS (SELECT *, -score_qualidade AS ns,
             CASE WHEN {IS_B} THEN 'B' WHEN {IS_A} THEN 'A' ELSE 'X' END AS st FROM {src})""",
@@ -148,7 +148,7 @@ def fallback_ctes(src: str = "bal") -> list[str]:
         f"""picks AS (
   SELECT pos, sku AS sku_selecionado, nome_produto, loja, categoria, preco_atual, preco_antigo,
          percentual_desconto, menor_preco_historico, queda_real_percent, preco_medio_historico, url_afiliado,
-         comissao_percent, lucro_estimado_reais,
+         comissao_percent, lucro_estimado_reais, imagem_url, {q(rules.TOP_UP_REASON)} AS razao_selecao,
          {rn('greatest(0.0, coalesce(preco_antigo, preco_atual) - preco_atual)')} AS economia,
          CASE WHEN length(nome_produto) > 50 THEN substr(nome_produto, 1, 47) || '...' ELSE nome_produto END
            AS copy_titulo

@@ -191,4 +191,8 @@ FROM w"""
     s.update(build_payloads())
     from shelfscope.plans.oracle_responses import build_responses
     s.update(build_responses())
+    from shelfscope.plans.oracle_jobs import build_jobs
+    s.update(build_jobs())
+    from shelfscope.plans.oracle_records import build_records
+    s.update(build_records())
     return s

@@ -1,31 +1,38 @@
 """Feed documents (RSS / Atom XML) -> news items.
 
-Input is a table of fetched feeds (fonte, xml, feed_ord): ``from_xml`` parses
-each document in its own row, so a malformed feed yields no items and never
-fails the others.  The session time zone is UTC (see ``session.get_spark``):
-naive feed dates are read as UTC, as the original collector does.
+Input is a table of fetched feeds (fonte, xml, feed_ord).  Items may stand anywhere in a
+document, so no fixed schema reads it: an Arrow stage runs a pull parser over each document
+and returns the raw fields of its entries; dates, images and texts are Column code.  A
+malformed feed yields no items and never fails the others.  The session time zone is UTC
+(see ``session.get_spark``): naive feed dates are read as UTC, as the original collector does.
 """
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from shelfscope.functions.text import clean_summary, col_, py_strip, topic_key, unescape_html, url_key
 from shelfscope.operators.news import recent_window
 from shelfscope.operators.selection import keep_first
 
-RSS_SCHEMA = ("channel struct<item: array<struct<title: string, link: string, description: string, "
-              "pubDate: string, `dc:date`: string, `media:content`: struct<_url: string>, "
-              "`media:thumbnail`: struct<_url: string>, enclosure: struct<_url: string, _type: string>>>>")
-ATOM_SCHEMA = ("entry array<struct<title: string, link: struct<_href: string>, summary: string, content: string, "
-               "updated: string, published: string>>")
+# Names of the feed formats (fixed values).
+MEDIA, DUBLIN_CORE, ATOM = ("{http://search.yahoo.com/mrss/}", "{http://purl.org/dc/elements/1.1/}",
+                            "{http://www.w3.org/2005/Atom}")
+IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".webp")
+
+_FIELDS = ("title", "link", "summary", "published", "media", "thumbnail", "enclosure", "enclosure_type")
+ENTRIES = ArrayType(StructType([StructField("atom", BooleanType())] + [StructField(f, StringType()) for f in _FIELDS]))
 
 # Date patterns tried in order (fixed values: RFC-822 with numeric or named
 # zone after the weekday is stripped, then ISO-8601 with or without zone).
 RFC822_PATTERNS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z"]
-ISO_PATTERNS = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX",
-                "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss"]
+ISO_PATTERNS = [f"yyyy-MM-dd{mark}HH:mm{second}{zone}" for mark in ("'T'", " ") for second in (":ss", ":ss.SSSSSS", ":ss.SSS", "")
+                for zone in ("XXX", "XX", "")] + ["yyyy-MM-dd"]
 
 
 def parse_feed_date(c) -> F.Column:
@@ -48,37 +55,87 @@ def valid_image(c) -> F.Column:
 
 
 def first_img_src(html) -> F.Column:
-    m = F.regexp_extract(F.coalesce(col_(html), F.lit("")), r"""(?i)<img[^>]+src=["']([^"']+)["']""", 1)
+    """P25: source of an ``<img>`` (``data-src`` counts too)."""
+    m = F.regexp_extract(F.coalesce(col_(html), F.lit("")), r"""(?i)<img[^>]+(?:data-)?src=["']([^"']+)["']""", 1)
     return valid_image(F.when(m != "", unescape_html(m)))
 
 
+def _text(element, *names: str) -> str | None:
+    """Text of the first of ``names`` that has one among the element's children."""
+    return next((t for t in (element.findtext(n) for n in names) if t), None)
+
+
+def _attribute(element, name: str, attribute: str) -> str | None:
+    child = element.find(name)
+    return None if child is None else child.get(attribute)
+
+
+def _entry(element) -> dict | None:
+    """Raw fields of an ``item`` or ``entry`` element; None for other elements."""
+    if element.tag == "item":
+        return {"atom": False, "title": _text(element, "title"), "link": _text(element, "link"),
+                "summary": _text(element, "description"), "published": _text(element, "pubDate", DUBLIN_CORE + "date"),
+                "media": _attribute(element, MEDIA + "content", "url"),
+                "thumbnail": _attribute(element, MEDIA + "thumbnail", "url"),
+                "enclosure": _attribute(element, "enclosure", "url"),
+                "enclosure_type": _attribute(element, "enclosure", "type")}
+    if element.tag in ("entry", ATOM + "entry"):
+        link = ATOM + "link" if element.find(ATOM + "link") is not None else "link"
+        return {"atom": True, "title": _text(element, ATOM + "title", "title"), "link": _attribute(element, link, "href"),
+                "summary": _text(element, ATOM + "summary", ATOM + "content", "summary"),
+                "published": _text(element, ATOM + "updated", ATOM + "published", "updated")}
+    return None
+
+
+def document_entries(xml: str) -> list[dict]:
+    """Entries of a feed document in the order in which they begin, wherever they stand; none if it is malformed.
+    An element is let go when no item or entry around it needs it any more."""
+    parser, around, out = ElementTree.XMLPullParser(["start", "end"]), [], []
+    try:
+        for at in range(0, len(xml), 1 << 16):
+            parser.feed(xml[at:at + (1 << 16)])
+            for event, element in parser.read_events():
+                if event == "start":
+                    if element.tag in ("item", "entry", ATOM + "entry"):
+                        around.append(len(out))
+                        out.append(None)
+                else:
+                    entry = _entry(element)
+                    if entry is not None:
+                        out[around.pop()] = entry
+                    if not around:
+                        element.clear()
+        parser.close()
+    except ElementTree.ParseError:
+        return []
+    return out
+
+
+@F.pandas_udf(ENTRIES)
+def _entries(xml: pd.Series) -> pd.Series:
+    return xml.map(document_entries, na_action="ignore")
+
+
 def feed_entries(feeds: DataFrame) -> DataFrame:
     """S3: one row per entry (fonte, feed_ord, pos, title, link, summary, published,
-    image_url); RSS items, or Atom entries when a feed has no RSS item."""
-    x = feeds.select("fonte", "feed_ord", "xml", F.from_xml("xml", RSS_SCHEMA).alias("r"))
-    n_rss = F.coalesce(F.size(F.col("r.channel.item")), F.lit(0))
-    # the Atom reading runs only for documents without RSS items
-    x = x.withColumn("a", F.when(n_rss == 0, F.from_xml("xml", ATOM_SCHEMA))).drop("xml")
-    rss = x.filter(n_rss > 0).select("fonte", "feed_ord", F.posexplode("r.channel.item").alias("pos", "i"))
-    media_img = F.coalesce(
-        valid_image(F.col("i.`media:content`._url")), valid_image(F.col("i.`media:thumbnail`._url")),
-        F.when(F.lower(F.coalesce(F.col("i.enclosure._type"), F.lit(""))).contains("image"),
-               valid_image(F.col("i.enclosure._url"))))
-    summary = py_strip(F.coalesce(F.col("i.description"), F.lit("")))
-    rss = rss.select("fonte", "feed_ord", "pos",
-                     py_strip(F.coalesce("i.title", F.lit(""))).alias("title"),
-                     py_strip(F.coalesce("i.link", F.lit(""))).alias("link"),
-                     summary.alias("summary"),
-                     py_strip(F.coalesce(F.col("i.pubDate"), F.col("i.`dc:date`"), F.lit(""))).alias("published"),
-                     F.coalesce(media_img, F.when(summary != "", first_img_src(summary))).alias("image_url"))
-    atom = x.filter(n_rss == 0).select("fonte", "feed_ord", F.posexplode("a.entry").alias("pos", "e")).select(
-        "fonte", "feed_ord", "pos",
-        py_strip(F.coalesce("e.title", F.lit(""))).alias("title"),
-        py_strip(F.coalesce("e.link._href", F.lit(""))).alias("link"),
-        py_strip(F.coalesce("e.summary", "e.content", F.lit(""))).alias("summary"),
-        py_strip(F.coalesce("e.updated", "e.published", F.lit(""))).alias("published"),
-        F.lit(None).cast("string").alias("image_url"))
-    return rss.unionByName(atom)
+    image_url); RSS items, or Atom entries when a document has no RSS item."""
+    x = feeds.select("fonte", "feed_ord", _entries("xml").alias("all"))
+    rss = F.filter("all", lambda e: ~e["atom"])
+    x = x.select("fonte", "feed_ord", F.posexplode(F.when(F.size(rss) > 0, rss).otherwise(F.col("all"))).alias("pos", "e"))
+
+    def text(name):
+        return py_strip(F.coalesce(F.col(f"e.{name}"), F.lit("")))
+    path = F.lower(F.split(F.coalesce("e.enclosure", F.lit("")), r"\?", 2).getItem(0))
+    is_image = F.lower(F.coalesce("e.enclosure_type", F.lit(""))).contains("image")
+    for ending in IMAGE_ENDINGS:
+        is_image |= path.endswith(ending)
+    x = x.select("fonte", "feed_ord", "pos", text("title").alias("title"), text("link").alias("link"),
+                 text("summary").alias("summary"), text("published").alias("published"),
+                 F.col("e.atom").alias("atom"), F.coalesce(
+                     valid_image(F.col("e.media")), valid_image(F.col("e.thumbnail")),
+                     F.when(is_image, valid_image(F.col("e.enclosure")))).alias("media"))
+    image = F.coalesce("media", F.when((F.col("summary") != "") & ~F.col("atom"), first_img_src("summary")))
+    return x.withColumn("image_url", image).drop("media", "atom")
 
 
 def news_from_feeds(feeds: DataFrame, now) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from shelfscope.functions import rules
@@ -20,29 +21,24 @@ LEDGER_SCHEMA = ("id string, date string, platform string, clicks long, sales lo
 
 # ------------------------------------------------------------------ S8 / S9
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON with a fixed schema, either lines of objects (what the writers below
-    produce) or files that hold one array; malformed lines or files give no
-    rows, a missing path an empty table."""
+    """JSON with a fixed schema from files of lines that each hold an object (what the writers below produce), files
+    that hold one array, or both side by side; a malformed line or array file gives no rows, a missing path an empty
+    table.  Array files are those with a line that begins with ``[``; they are read as streams of elements."""
     try:
-        lines = spark.read.text(path)
+        lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    first = lines.filter(F.trim("value") != "").first()
-    corrupt = ", _corrupt_record string"
+    arrays = [r["file"] for r in lines.where(F.col("value").startswith("[")).select("file").distinct().collect()]   # names only
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    if first is not None and first.value.lstrip().startswith("["):
-        parsed = (spark.read.text(path, wholetext=True)
-                  .select(F.inline(F.from_json("value", f"array<struct<{_colons(schema)}>>"))))
-        return parsed.filter(F.coalesce(*[F.col(c).cast("string") for c in parsed.columns]).isNotNull())
-    rows = lines.filter(F.trim("value") != "").select(F.from_json("value", schema + corrupt, options).alias("r"))
-    return rows.filter(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()).select("r.*").drop("_corrupt_record")
-
-
-def _colons(schema: str) -> str:
-    """Column list in the form a struct type takes."""
-    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields)
+    alone = lines.where((F.col("value") != "") & ~F.col("file").isin(arrays))
+    rows = alone.select(F.from_json("value", schema + ", _corrupt_record string", options).alias("r"))
+    rows = rows.filter(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()).select("r.*").drop("_corrupt_record")
+    if arrays:
+        whole = spark.read.schema(schema).json([unquote(a) for a in arrays], multiLine=True, mode="DROPMALFORMED")
+        rows = rows.unionByName(whole)
+    return rows
 
 
 def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +66,7 @@ def delete_entry(ledger: DataFrame, entry_id: str) -> DataFrame:
 # --------------------------------------------------------------- S11 / S12
 def write_offers_csv(offers: DataFrame, path: str) -> None:
     """S11: ';' separated, every field quoted, quotes doubled, header, UTF-8.
-    (The byte-order mark of the original file is not written: documented gap.)"""
+    With the byte-order mark of the original file: ``csv_export.write_csv_with_mark``."""
     (offers.write.mode("overwrite").option("sep", ";").option("quoteAll", True).option("quote", '"')
      .option("escape", '"').option("header", True).option("encoding", "UTF-8").csv(path))
 

@@ -25,6 +25,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from shelfscope.functions import rules
 
 POST, OFFER = "post", "oferta"
+#: Setting of the job (``streams.start(conf=...)``): timers and several states a key need this state store.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass":
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 DECISIONS = "sku string, evento_id long, quando_us long, livre boolean, ultimo_post_us long"
 _HOUR_US = 3_600_000_000
 

@@ -86,11 +86,12 @@ def first_url_within(items: DataFrame, days: int = rules.TOPIC_DEDUP_DAYS) -> Da
 
 # ------------------------------------------------------------------------- T4
 def split_by_recency(items: DataFrame, hours: int = rules.NEWS_WINDOW_HOURS,
-                     future_minutes: int = rules.NEWS_FUTURE_MINUTES) -> DataFrame:
+                     future_minutes: int = rules.NEWS_FUTURE_MINUTES, now=None) -> DataFrame:
     """T4: tag each arriving item: 'ok' inside [now-24h, now+15min], 'late' or
-    'future' otherwise (the sink routes late/future rows to a side table)."""
+    'future' otherwise (the sink routes late/future rows to a side table).  ``now``
+    defaults to the time of the batch."""
     t = event_time("publicado_em")
-    now = F.current_timestamp()
+    now = F.current_timestamp() if now is None else now
     lo = now - F.make_dt_interval(F.lit(0), F.lit(hours))
     hi = now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(future_minutes))
     return items.withColumn("faixa", F.when(t.isNull() | (t < lo), F.lit("late"))
@@ -122,14 +123,21 @@ def engagement_per_hour(posts: DataFrame, lateness: str = "2 hours") -> DataFram
 
 
 def start(df: DataFrame, spark: SparkSession, name: str, sink=None, path: str | None = None, mode: str = "append",
-          available_now: bool = True, checkpoint: str | None = None) -> StreamingQuery:
+          available_now: bool = True, checkpoint: str | None = None, conf: dict[str, str] | None = None) -> StreamingQuery:
     """Start a job; its checkpoint defaults to <spark.checkpoint.dir>/streams/<name>
     so a restarted job resumes where it stopped.  Rows go to ``sink`` (a foreachBatch
-    function), else as Parquet to ``path`` (Spark's file sink, which commits each batch once)."""
+    function), else as Parquet to ``path`` (Spark's file sink, which commits each batch once).
+    ``conf``: settings of this job alone (a stream keeps those of its start)."""
     checkpoint = checkpoint or stream_checkpoint(spark, name)
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).queryName(name)
     if available_now:
         w = w.trigger(availableNow=True)
-    if sink is not None:
-        return w.foreachBatch(sink).start()
-    return w.format("parquet").option("path", path or f"{checkpoint}/rows").start()
+    w = w.foreachBatch(sink) if sink is not None else w.format("parquet").option("path", path or f"{checkpoint}/rows")
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        return w.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

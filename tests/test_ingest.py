@@ -96,6 +96,24 @@ def test_price_text_and_affiliate_url(spark):
     assert out[2] == "https://www.mercadolivre.com.br/p/MLB2?matt_word=me&matt_tool=10000000&forceInApp=true"
 
 
+def test_affiliate_parameters_keep_their_place(spark):
+    p, end = "https://x.com/p?", "matt_word=partner&forceInApp=true"
+    cases = {p + "matt_tool=&z=1": p + "matt_tool=10000000&z=1&" + end, p + "foo&a b=c d": p + "foo=&a+b=c+d&matt_tool=10000000&" + end,
+             p + "a=1&b=2&a=3": p + "a=1&a=3&b=2&matt_tool=10000000&" + end, "https://x.com/p": p + "matt_tool=10000000&" + end,
+             p + "matt_tool=7&matt_tool=&forceInApp=": p + "matt_tool=7&matt_tool=&forceInApp=&matt_word=partner",
+             p + "matt_tool=&matt_tool=7": p + "matt_tool=10000000&" + end, p + "q=%C3%A9*~&=v": p + "q=%C3%A9%2A~&=v&matt_tool=10000000&" + end,
+             "": None, "#x": None, " ": None}
+    df = spark.createDataFrame([(u,) for u in cases], "u string")
+    assert {r["u"]: r["a"] for r in df.select("u", I.affiliate_url("u").alias("a")).collect()} == cases
+
+
+def test_paged_urls(spark):
+    cases = {("https://x.com/l?ref=a&page=2&b=", 3): "https://x.com/l?ref=a&page=3&b=", ("https://x.com/l", 2): "https://x.com/l?page=2",
+             ("https://x.com/l?a=1#f", 4): "https://x.com/l?a=1&page=4#f", ("https://x.com/l?a b", 1): "https://x.com/l?a b"}
+    df = spark.createDataFrame(list(cases), "u string, n int")
+    assert {(r["u"], r["n"]): r["p"] for r in df.select("u", "n", I.paged_url("u", "n").alias("p")).collect()} == cases
+
+
 def test_block_diagnosis_and_breaker(spark):
     log = spark.createDataFrame([
         ("ML", 1, 200, "<title>Lista</title> ok"), ("ML", 2, 403, "<html>Verify you are HUMAN captcha</html>"),

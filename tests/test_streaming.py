@@ -128,7 +128,8 @@ def test_sliding_lock_equals_a_loop_over_events(spark):
         df = spark.createDataFrame([(s, e, t, q.astimezone() if q.tzinfo else q) for s, e, t, q in part], schema)
         df.coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(schema).parquet(path)
-        St.start(L.sliding_lock(stream, delay="3 days"), spark, "lock_test", checkpoint=ckpt).awaitTermination()
+        St.start(L.sliding_lock(stream, delay="3 days"), spark, "lock_test", checkpoint=ckpt,
+                 conf=L.STATE_STORE).awaitTermination()
     got = {r["evento_id"]: (r["livre"], r["ultimo_post"]) for r in _rows(spark, ckpt).collect()}
     exp = _lock_by_loop(rows)
     assert got == exp
