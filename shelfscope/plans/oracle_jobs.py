@@ -29,7 +29,7 @@ r AS (
   SELECT n.sku, n.k, n.event_id, n.post, n.t, n.antes, NOT n.post AND (n.antes IS NULL OR n.t - n.antes >= {lock})
   FROM (SELECT e.sku, e.k, e.event_id, e.post, e.t, CASE WHEN r.post OR r.livre THEN r.t ELSE r.antes END AS antes
         FROM r JOIN e ON e.sku = r.sku AND e.k = r.k + 1) n)
-SELECT sku, event_id AS evento_id, livre, antes AS ultimo_post_us FROM r WHERE NOT post"""
+SELECT sku, event_id AS evento_id, livre, CASE WHEN NOT livre THEN antes END AS ultimo_post_us FROM r WHERE NOT post"""
     s["stream_recency"] = _with(FEED) + f"""
 , n AS (SELECT date_trunc('hour', max(publicado_em)) AS now FROM feed),
 f AS (SELECT doc_id, CASE WHEN publicado_em IS NULL OR publicado_em < now - INTERVAL {rules.NEWS_WINDOW_HOURS} HOUR THEN 'late'

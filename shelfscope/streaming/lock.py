@@ -33,14 +33,14 @@ _HOUR_US = 3_600_000_000
 
 
 def decide(rows: list[tuple], last: int | None, lock_us: int) -> tuple[list[tuple], int | None]:
-    """Decisions (id, time, free?, last post) of rows (time, kind, id) in order, and the last post after them."""
+    """Decisions (id, time, free?, post that locks it) of rows (time, kind, id) in order, and the last post after them."""
     out = []
     for quando, kind, evento in sorted(rows, key=lambda r: (r[0], r[1] != POST, r[2])):
         if kind == POST:
             last = quando
             continue
         free = last is None or quando - last >= lock_us
-        out.append((evento, quando, free, last))
+        out.append((evento, quando, free, None if free else last))
         if free:
             last = quando
     return out, last
@@ -110,7 +110,8 @@ class LockProcessor(StatefulProcessor):
 
 def sliding_lock(events: DataFrame, hours: int = rules.REPEAT_LOCK_HOURS, delay: str = "1 hour") -> DataFrame:
     """Decision for every offer of a stream ``sku, evento_id, tipo ('post' | 'oferta'), quando`` (timestamp):
-    ``sku, evento_id, quando, livre, ultimo_post``, once the watermark has passed it."""
+    ``sku, evento_id, quando, livre, ultimo_post`` (the post that locks it, null if free: an older one may be
+    forgotten by then), once the watermark has passed it."""
     rows = (events.where(F.col("sku").isNotNull() & F.col("quando").isNotNull())
             .select("sku", F.col("evento_id").cast("long").alias("evento_id"), "tipo", "quando",
                     F.unix_micros("quando").alias("quando_us"))

@@ -106,11 +106,11 @@ def test_many_runs_at_once_equal_each_run_alone(spark):
 
 def test_resolution_takes_no_action_on_the_driver(spark):
     """The whole of L5 is one lazy plan, the same columns whatever the responses hold."""
-    df = spark.createDataFrame([(0, "x")], "run_id int, texto string")
+    df = materialize(R.parse_responses(spark.createDataFrame([(0, "x")], "run_id int, texto string")))
     cands = _candidates(spark).withColumn("run_id", F.lit(0))
     before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
-    a = R.resolve_runs(R.parse_responses(df), cands)
-    b = R.resolve_runs(R.parse_responses(df.limit(0)), cands.limit(0))
+    a = R.resolve_runs(df, cands)
+    b = R.resolve_runs(df.limit(0), cands.limit(0))
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
     assert a.columns == b.columns and b.count() == 0 and a.count() == 20
 

@@ -95,7 +95,7 @@ def test_replayed_batch_is_published_once(spark):
 
 
 def _lock_by_loop(rows, hours=72):
-    """Decisions of a plain loop: {event id: (free, last post)}."""
+    """Decisions of a plain loop: {event id: (free, post that locks it)}."""
     out, last = {}, {}
     for sku, evento, tipo, quando in sorted(rows, key=lambda r: (r[3], r[2] != "post", r[1])):
         before = last.get(sku)
@@ -103,7 +103,7 @@ def _lock_by_loop(rows, hours=72):
             last[sku] = quando
             continue
         free = before is None or quando - before >= dt.timedelta(hours=hours)
-        out[evento] = (free, before)
+        out[evento] = (free, None if free else before)
         if free:
             last[sku] = quando
     return out
