@@ -3,10 +3,12 @@
 A word's features are all its three-letter subsequences within ``SPAN``
 letters, weighted ``DECAY`` to the power of the stretch they cover; the kernel
 of two words is the normalised product.  Letters are compared without case and
-accents; other characters inside a word are skipped, digits that stand for
-letters are read as these, and runs of three or more single letters of any
-script are read as one word, so
-gapped and inserted characters change a kernel value only in part.
+accents (those of other scripts than Latin keep codes of their own); other
+characters inside a word are skipped, digits that stand for letters are read as
+these, and runs of three or more single letters of any script are read as one
+word, so gapped and inserted characters change a kernel value only in part.
+Alike landmarks form groups; a word is compared with the landmarks of a group only
+if a bound on its kernel values with them reaches the floor.
 
 Landmarks are the words of the training documents that most tell toxic from
 other documents.  A sentence is described by its greatest kernel value with
@@ -17,8 +19,9 @@ sentence that the machine itself finds most toxic is taken, in rounds.  A
 document scores as its most toxic sentence, through a logistic calibration.
 
 Fitting reads at most ``SAMPLE`` labelled documents (those with the smallest
-hash of their id) and brings a few fixed-size vectors of each to the driver;
-scoring reads every whole text.
+hash of their id).  Their sentences' vectors are stored once; each Newton step of
+the machine is a pass over them whose sums (their size is set by the number of
+landmarks) meet at the driver.  Scoring reads every whole text.
 
 Defined results: null and blank texts score as a sentence without any similar
 word; labels that are null are ignored, a document labelled more than once is
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import id_remainder, text_batches, utf8
+from shelfscope.llm.common import id_remainder, stored, text_batches, utf8
 
 SAMPLE = 8000     # labelled documents used for fitting, at most
 LANDMARKS = 160
@@ -48,7 +51,8 @@ DECAY = 0.7
 FLOOR = 0.45      # kernel values up to this count as no similarity
 POWER = 3         # values enter the machine to this power, again a kernel
 LEAST_GAIN = 15.0 # evidence (likelihood ratio statistic) that a landmark must have
-WITNESSES = 4     # sentences of a training document that are kept
+GROUPS = 16       # of alike landmarks
+_FOLDS = 8        # partitions of the stored sentence vectors
 LONGEST = 32      # longer words are read through overlapping windows of this many letters
 _CACHE = 200_000  # words a task remembers
 _PIECE = 8 << 20
@@ -56,32 +60,43 @@ _SPACED = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:[ \t][^\W\d_]){2,}(?=\s|[.,!?]|$)
 _PAIRS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
 
+_BITS = 7         # of a letter code
+
+
 def _alphabet() -> np.ndarray:
-    """Code point -> letter code 1..31, 0 for what is skipped; from 0x250 on letters share the last five codes."""
+    """Code point -> letter code, 0 for what is skipped: 1..26 for Latin letters whatever their accents, 27..123 for
+    others below 0x250."""
     out = np.zeros(0x250, np.int32)
     for c in range(0x250):
         base = unicodedata.normalize("NFKD", chr(c).lower())[0]
         if "a" <= base <= "z":
             out[c] = ord(base) - 96
         elif chr(c).isalpha():
-            out[c] = 27 + c % 5
+            out[c] = 27 + c % 97
     for digit, letter in zip("013457", "oieast"):
         out[ord(digit)] = ord(letter) - 96
     return out
 
 
 _LETTERS = _alphabet()
+_EDGES = "".join(chr(c) for c in range(33, 127) if not _LETTERS[c])    # skipped characters that words often end with
 _TWO = array("I", [1, 1]).tobytes()  # lengths of two single characters in a row; every spaced word has such
 # letters as text, for showing landmarks; codes above z stand for themselves in the private-use area
-_SHOWN = [chr(96 + c) if c < 27 else chr(0xE000 + c) for c in range(32)]
+_SHOWN = [chr(96 + c) if c < 27 else chr(0xE000 + c) for c in range(1 << _BITS)]
 
 
 def letter_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of all words in a row, skipped characters left out, and where each word ends."""
+    """Letter codes of all words in a row, skipped characters left out, and where each word ends.
+
+    From 0x250 on code points that follow each other have different codes, so letters of one script do; combining
+    marks, general punctuation and zero-width characters are skipped."""
     text = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = _LETTERS[np.minimum(text, 0x24F)]
     far = np.flatnonzero(text >= 0x250)
-    codes[far] = np.where((text[far] > 0xE01A) & (text[far] < 0xE020), text[far] - 0xE000, 27 + text[far] % 5)
+    if len(far):
+        t = text[far]
+        own = np.where((t >= 0xE01B) & (t < 0xE080), t - 0xE000, 27 + t % 97)
+        codes[far] = np.where(((t >= 0x300) & (t < 0x370)) | ((t >= 0x2000) & (t < 0x2070)) | (t == 0xFEFF), 0, own)
     breaks = text == 10
     ends = np.cumsum((codes > 0) & ~breaks)[breaks]
     return codes[(codes > 0) & ~breaks], ends
@@ -103,8 +118,8 @@ def _grouped(words: list[str]):
     order = np.argsort(length, kind="stable")
     cuts = np.searchsorted(length[order], np.arange(3, LONGEST + 2))
     for n, lo, hi in zip(range(3, LONGEST + 1), cuts, cuts[1:]):
-        for k in range(lo, hi, 20_000):
-            own = order[k:min(hi, k + 20_000)]
+        for k in range(lo, hi, 4096):
+            own = order[k:min(hi, k + 4096)]
             yield index[own], codes[begins[own][:, None] + np.arange(n)]
 
 
@@ -113,15 +128,26 @@ def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = codes.shape[1]
     at = [(i, i + j, i + k, DECAY ** (k + 1)) for i in range(n) for j, k in _PAIRS if i + k < n]
     a, b, c, weight = (np.array(x) for x in zip(*at))
-    return codes[:, a] << 10 | codes[:, b] << 5 | codes[:, c], weight
+    return codes[:, a] << 2 * _BITS | codes[:, b] << _BITS | codes[:, c], weight
 
 
 def _norms(numbers: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Root of each word's kernel value with itself (equal subsequences add up first)."""
     rows = np.repeat(np.arange(len(numbers)), numbers.shape[1])
-    keys, back = np.unique(rows << 15 | numbers.ravel(), return_inverse=True)
+    keys, back = np.unique(rows << 3 * _BITS | numbers.ravel(), return_inverse=True)
     sums = np.bincount(back, np.tile(weight, len(numbers)))
-    return np.sqrt(np.bincount(keys >> 15, sums ** 2, len(numbers)))
+    return np.sqrt(np.bincount(keys >> 3 * _BITS, sums ** 2, len(numbers)))
+
+
+def _alike(table: np.ndarray, groups: int) -> np.ndarray:
+    """Group of each column: that of the most similar of ``groups`` columns that are far from each other."""
+    unit = table / np.maximum(np.linalg.norm(table, axis=0), 1e-12)
+    near = unit.T @ unit
+    chosen, best = [0], near[0].copy()
+    while len(chosen) < min(groups, len(near)):
+        chosen.append(int(np.argmin(best)))
+        best = np.maximum(best, near[chosen[-1]])
+    return np.argmax(near[:, chosen], axis=1)
 
 
 class Similarity:
@@ -129,30 +155,43 @@ class Similarity:
 
     def __init__(self, landmarks: list[str]):
         self.m = len(landmarks)
-        table = np.zeros((1 << 15, self.m))
-        for k, codes in _grouped(landmarks):
-            numbers, weight = subsequences(codes)
-            for i, row, norm in zip(k, numbers, _norms(numbers, weight)):
-                np.add.at(table[:, i], row, weight / norm)
-        self.table, self.most = table.astype(np.float32), table.max(axis=1, initial=0)
+        found = [(i, row, weight / norm) for k, codes in _grouped(landmarks) for numbers, weight in [subsequences(codes)]
+                 for i, row, norm in zip(k, numbers, _norms(numbers, weight))]
+        known = np.unique(np.concatenate([row for _, row, _ in found])) if found else np.zeros(0, np.int64)
+        self.row_of = np.zeros(1 << 3 * _BITS, np.int32)      # subsequence -> row of the table, 0 for those of no landmark
+        self.row_of[known] = np.arange(1, len(known) + 1)
+        table = np.zeros((len(known) + 1, self.m))
+        for i, row, value in found:
+            np.add.at(table[:, i], self.row_of[row], value)
+        self.table = table.astype(np.float32)
+        group = _alike(self.table, GROUPS) if self.m else np.zeros(0, int)
+        self.columns = [np.flatnonzero(group == g) for g in range(group.max(initial=-1) + 1)]
+        self.parts = [np.ascontiguousarray(self.table[:, c]) for c in self.columns]
+        self.most = np.stack([p.max(axis=1) for p in self.parts], axis=1) if self.m else np.zeros((1, 0), np.float32)
 
     def of(self, words: list[str]) -> dict[int, np.ndarray]:
         """Index -> values, only for words above the floor with some landmark."""
         found: dict[int, np.ndarray] = {}
+        if not self.m:
+            return found
         for where, codes in _grouped(words):
             numbers, weight = subsequences(codes)
-            # no value can exceed this: greatest landmark weight of each subsequence, least possible norm
-            bound = (self.most[numbers] @ weight) / math.sqrt(float((weight ** 2).sum()))
-            near = np.flatnonzero(bound > FLOOR)
+            rows, w = self.row_of[numbers], weight.astype(np.float32)
+            # no value can exceed this: greatest weight of each subsequence in the group, least possible norm
+            bound = np.einsum("wsg,s->wg", self.most[rows], w) * np.float32(1.001 / math.sqrt(float((weight ** 2).sum())))
+            near = np.flatnonzero((bound > FLOOR).any(axis=1))
             if not len(near):
                 continue
-            for at in range(0, len(near), 2048):
-                own = near[at:at + 2048]
-                values = np.einsum("wsm,s->wm", self.table[numbers[own]], weight.astype(np.float32))
-                values /= _norms(numbers[own], weight)[:, None]
-                values = np.where(values > FLOOR, values, 0) ** POWER
-                for i, v in zip(where[own][values.any(axis=1)], values[values.any(axis=1)]):
-                    found[int(i)] = np.maximum(found[int(i)], v) if int(i) in found else v
+            bound, rows, norms = bound[near], rows[near], _norms(numbers[near], weight)
+            values = np.zeros((len(near), self.m), np.float32)
+            for g, (columns, part) in enumerate(zip(self.columns, self.parts)):
+                own = np.flatnonzero(bound[:, g] > FLOOR)
+                if len(own):
+                    values[np.ix_(own, columns)] = np.einsum("wsm,s->wm", part[rows[own]], w) / norms[own][:, None]
+            values = np.where(values > FLOOR, values, 0) ** POWER
+            for k in np.flatnonzero(values.any(axis=1)):
+                i = int(where[near[k]])
+                found[i] = np.maximum(found[i], values[k]) if i in found else values[k]
         return found
 
 
@@ -160,7 +199,12 @@ class Sentences:
     """Feature vectors of the sentences of texts that have a similar word."""
 
     def __init__(self, landmarks: list[str]):
-        self.kernel, self.known, self.similar = Similarity(landmarks), set(), {}
+        self.kernel = Similarity(landmarks)
+        self._forget()
+
+    def _forget(self) -> None:
+        # words met, words without skipped characters at their edges that were compared, values of words and of these
+        self.known, self.compared, self.similar, self.values = set(), set(), {}, {}
 
     @staticmethod
     def read(text: bytes | None) -> tuple[str, set]:
@@ -175,20 +219,26 @@ class Sentences:
     def learn(self, words: list[set]) -> None:
         """Kernel values of the words not met before."""
         if len(self.known) > _CACHE:
-            self.known, self.similar = set(), {}
-        new = list(set().union(*words) - self.known)
-        self.known.update(new)
-        self.similar.update((new[i], v) for i, v in self.kernel.of(new).items())
+            self._forget()
+        new = set().union(*words) - self.known
+        self.known |= new
+        bare = {w: w.strip(_EDGES) for w in new}
+        open_ = list(set(bare.values()) - self.compared)
+        self.compared.update(open_)
+        self.values.update((open_[i], v) for i, v in self.kernel.of(open_).items())
+        self.similar.update((w, self.values[c]) for w, c in bare.items() if c in self.values)
 
     def features(self, text: str, words: set) -> np.ndarray | None:
         """Rows of features, one for each sentence with a similar word; None if there is none."""
-        similar = {w: self.similar[w] for w in words if w in self.similar}
+        similar = {w: self.similar[w] for w in words & self.similar.keys()}
         if not similar:
             return None
         rows = []
         for line in text.split("\n"):
-            near = []
-            for w in line.split():
+            line, near = line.split(), []
+            if similar.keys().isdisjoint(line):
+                continue
+            for w in line:
                 if w in similar:
                     near.append(similar[w])
                 if w[-1] in ".!?" and near:
@@ -221,13 +271,15 @@ def _unit_batches(batches):
                                          names=["word", "toxic"])
 
 
-def _witness_batches(landmarks):
+def _vector_batches(landmarks):
+    """Vectors of all sentences with a similar word, a document a row."""
     def run(batches):
         for batch, found in _texts(batches, landmarks):
-            rows = [[] if f is None else f[np.argsort(-f.sum(axis=1), kind="stable")[:WITNESSES]].ravel().tolist()
-                    for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float32()))],
-                                             names=["toxic", "rows"])
+            rows = [[] if f is None else np.unique(f, axis=0, return_counts=True) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("toxic"),
+                 pa.array([r[0].ravel() if r else [] for r in rows], pa.list_(pa.float32())),
+                 pa.array([r[1] if r else [] for r in rows], pa.list_(pa.int64()))], names=["_id", "toxic", "rows", "times"])
     return run
 
 
@@ -241,21 +293,76 @@ def _score_batches(landmarks, v: np.ndarray, b: float, slope: float, shift: floa
     return run
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, classes weighed alike, by Newton steps."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    c = cost * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) / len(y)
-    w = np.zeros(x1.shape[1])
-    keep = np.eye(len(w)) * 1e-2
+def _bags(batch, m: int):
+    """(toxic?, vectors, how often each occurs) of documents; the last vector stands for sentences without a similar word."""
+    for toxic, rows, times in zip(batch.column("toxic").to_pylist(), batch.column("rows"), batch.column("times")):
+        x = rows.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, m)
+        yield toxic > 0, np.vstack([x, np.zeros((1, m))]), np.append(times.values.to_numpy(zero_copy_only=False), 1)
+
+
+def _step_sums(m: int, root: np.ndarray, v: np.ndarray, w: np.ndarray):
+    """What a batch adds to a Newton step: for toxic and clean documents the number of sentences, and of those
+    inside the margin the vectors' sum and the sum of their products."""
+    def part(batch):
+        picked, clean, often = [np.zeros((0, m))], [np.zeros((0, m))], [np.zeros(0)]
+        for toxic, x, times in _bags(batch, m):
+            if toxic:
+                picked.append(x[[int(np.argmax(x @ v))]])
+            else:
+                clean.append(x)
+                often.append(times)
+        out = []
+        for sign, x, times in ((1, np.vstack(picked), None), (-1, np.vstack(clean), np.concatenate(often))):
+            x = np.hstack([x @ root, np.ones((len(x), 1))])
+            times = np.ones(len(x)) if times is None else times
+            inside = sign * (x @ w) < 1
+            a = x[inside] * times[inside][:, None]
+            out += [[times.sum()], a.sum(axis=0), (a.T @ x[inside]).ravel()]
+        return np.concatenate(out)
+    return part
+
+
+def _summed(table: DataFrame, part, width: int) -> np.ndarray:
+    """Sum over the partitions of ``table``, in their order, of the numbers that ``part`` makes of a batch."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        total = sum((part(b) for b in batches if b.num_rows), np.zeros(width))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
+                                          pa.array([total], pa.list_(pa.float64()))], names=["part", "sums"])
+    rows = table.mapInArrow(run, "part int, sums array<double>").toArrow()      # a row a partition
+    order = np.argsort(rows.column("part").to_numpy())
+    sums = [row.values.to_numpy() for row in rows.column("sums")]
+    return sum((sums[i] for i in order), np.zeros(width))
+
+
+def _svm(table: DataFrame, root: np.ndarray, v: np.ndarray, w: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
+    """Linear machine with squared hinge loss, classes weighed alike, by Newton steps from ``w``: weights and constant."""
+    m = len(root)
+    keep = np.eye(m + 1) * 1e-2
     keep[-1, -1] = 1e-6
+    size = 1 + (m + 1) + (m + 1) ** 2
     for _ in range(rounds):
-        inside = y * (x1 @ w) < 1
-        a, t = x1[inside], c[inside]
-        new = np.linalg.solve(keep + (a * t[:, None]).T @ a, (a * t[:, None]).T @ y[inside])
-        if np.allclose(new, w, atol=1e-10):
+        both = np.split(_summed(table, _step_sums(m, root, v, w), 2 * size), 2)
+        left, right = keep.copy(), np.zeros(m + 1)
+        for sign, one in zip((1, -1), both):
+            c = cost / (2 * max(1.0, one[0]))
+            right += sign * c * one[1:m + 2]
+            left += c * one[m + 2:].reshape(m + 1, m + 1)
+        new = np.linalg.solve(left, right)
+        if np.allclose(new, w, atol=1e-9):
             break
         w = new
-    return w[:-1], float(w[-1])
+    return w
+
+
+def _margins(m: int, v: np.ndarray, b: float):
+    def run(batches):
+        for batch in batches:
+            own = [(int(toxic), float((x @ v).max() + b)) for toxic, x, _ in _bags(batch, m)]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in own], pa.int32()), pa.array([x for _, x in own], pa.float64())],
+                                             names=["toxic", "margin"])
+    return run
 
 
 def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -278,7 +385,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2
               .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = (docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")),
-                                                F.col("doc_id") == F.col("_id")).select("text", "toxic"))
+                                                F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic"))
     n1, n = (x or 0 for x in texts.agg(F.sum("toxic"), F.count(F.lit(1))).first())
     if not 0 < n1 < n:
         share = (n1 + 1) / (n + 2)
@@ -293,26 +400,25 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2
     if not landmarks:
         share = (n1 + 1) / (n + 2)
         return {"landmarks": [], "v": np.zeros(0), "b": 0.0, "slope": 0.0, "shift": math.log(share / (1 - share))}
-    found = texts.mapInArrow(_witness_batches(landmarks), "toxic int, rows array<float>").toPandas()
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    table = stored(texts.mapInArrow(_vector_batches(landmarks), f"_id {id_type}, toxic int, rows array<float>, times array<long>")
+                   .repartition(_FOLDS, "_id").sortWithinPartitions("_id", F.size("rows"), "rows"), "toxicity-vectors")
     m = len(landmarks)
-    bags = [np.vstack([np.array(r, float).reshape(-1, m), np.zeros((1, m))]) for r in found["rows"]]
-    y = np.where(found["toxic"].to_numpy() > 0, 1.0, -1.0)
-    kernel = Similarity(landmarks).table
+    kernel = Similarity(landmarks)
     gram = np.zeros((m, m))
     for k, codes in _grouped(landmarks):
         numbers, weight = subsequences(codes)
-        gram[k] = ((kernel[numbers] * weight[None, :, None]).sum(axis=1) / _norms(numbers, weight)[:, None]) ** POWER
+        gram[k] = ((kernel.table[kernel.row_of[numbers]] * weight[None, :, None]).sum(axis=1) / _norms(numbers, weight)[:, None]) ** POWER
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
-    v, b = np.ones(m), 0.0
-    clean = np.vstack([bag for bag, t in zip(bags, y) if t < 0])
+    v, w = np.ones(m), np.zeros(m + 1)
     for _ in range(4):
-        picked = np.array([bag[int(np.argmax(bag @ v))] for bag, t in zip(bags, y) if t > 0])
-        x = np.vstack([picked, clean]) @ root
-        w, b = _svm(x, np.r_[np.ones(len(picked)), -np.ones(len(clean))])
-        v = root @ w
-    margin = np.array([float((bag @ v).max() + b) for bag in bags])
-    slope, shift = _calibrate(margin, y)
+        w = _svm(table, root, v, w)
+        v, b = root @ w[:-1], float(w[-1])
+    judged = table.mapInArrow(_margins(m, v, b), "toxic int, margin double").toPandas()    # SAMPLE rows at most
+    judged = judged.sort_values(["margin", "toxic"])      # sums depend on the order
+    y = np.where(judged["toxic"].to_numpy() > 0, 1.0, -1.0)
+    slope, shift = _calibrate(judged["margin"].to_numpy(), y)
     return {"landmarks": landmarks, "v": v, "b": b, "slope": slope, "shift": shift}
 
 

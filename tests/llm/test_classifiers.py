@@ -1,7 +1,9 @@
 """Trained operators: held-out accuracy on made-up labelled texts, and odd inputs."""
 
+import math
 import random
 import zlib
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +54,58 @@ def test_similarity_tolerates_gaps():
     assert near[0][0] == pytest.approx(1) and near[1][0] == pytest.approx(1) and near[3][0] < 1
 
 
+def _kernel(a, b):
+    """Normalised three-letter subsequence kernel of two words of a to z, by all choices of letters."""
+    def weights(w):
+        out = {}
+        for i, j, k in combinations(range(len(w)), 3):
+            if k - i < toxicity.SPAN:
+                out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def product(x, y):
+        return sum(v * y.get(t, 0) for t, v in x.items())
+    x, y = weights(a), weights(b)
+    return product(x, y) / math.sqrt(product(x, x) * product(y, y)) if x and y else 0
+
+
+def test_kernel_values_equal_all_choices_of_letters():
+    rng = random.Random(8)
+    landmarks = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 9))) for _ in range(30)]
+    landmarks = list(dict.fromkeys(landmarks + ["grobnix", "grobnax", "zwackel"]))
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(0, 12))) for _ in range(400)] + ["grobxnix", "zwakcel"]
+    got, kernel = {}, toxicity.Similarity(landmarks)
+    got = kernel.of(words)
+    for i, w in enumerate(words):
+        exp = [_kernel(w, m) for m in landmarks]
+        own = got.get(i, [0] * len(landmarks))
+        for value, have in zip(exp, own):
+            if abs(value - toxicity.FLOOR) > 1e-5:
+                assert have == pytest.approx(value ** toxicity.POWER if value > toxicity.FLOOR else 0, abs=1e-4), w
+    assert len(got) > 100
+
+
+def test_letters_of_other_scripts_are_told_apart():
+    kernel = toxicity.Similarity(["дура", "βλαξ"])
+    near = kernel.of(["дура", "йшхе", "ду\u200bра", "βλαξ", "γρκψ", "жопа"])
+    assert set(near) == {0, 2, 3} and near[0][0] == pytest.approx(1) and near[2][0] == pytest.approx(1)
+
+
+def test_all_sentences_of_training_documents_count(spark):
+    landmarks = ["grobnix", "zwackel"]
+    lines = {0: "grobnix a\ngrobnix b.\nzwackel c! grobnix grobnux d", 1: "x\ngrobnix\n" * 50, 2: "nothing", 3: "zwackel zwackol"}
+    table = spark.createDataFrame([(i, t, int(i == 3)) for i, t in lines.items()], "_id long, text string, toxic int").repartition(3)
+    rows = table.mapInArrow(toxicity._vector_batches(landmarks), "_id long, toxic int, rows array<float>, times array<long>")
+    import numpy as np
+
+    m = len(landmarks)
+    sums = toxicity._summed(rows, toxicity._step_sums(m, np.eye(m), np.ones(m), np.zeros(m + 1)), 2 * (1 + 3 + 9))
+    toxic, clean = np.split(sums, 2)
+    # of the toxic document one sentence; of the others every one with a similar word, and a vector that stands for the rest
+    assert toxic[0] == 1 and clean[0] == (4 + 1) + (50 + 1) + 1
+    assert clean[1] == pytest.approx(3 + 50, abs=0.7) and clean[3] == clean[0]
+
+
 def test_spaced_words_of_any_length_and_script():
     for spaced, joined in (("x y z", "xyz"), ("x y y x", "xyyx"), ("Д У Р А", "дура"), ("β λ α ξ", "βλαξ"),
                            ("so a b\tc. No", "so abc. no"), ("f o o, b a r!", "foo, bar!")):
