@@ -62,6 +62,17 @@ def row_key(doc_id: Column, text: Column, *more: Column) -> Column:
                       text.isNull(), *more)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The caller's columns in one struct ``row``, so that none of their names meets one of an operator's own."""
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"))
+
+
+def first_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of packed rows with equal ``keys`` the one with the smallest language, then source (nulls first)."""
+    order = [F.col(f"row.{c}") for c in ("lang", "source")]
+    return rows.groupBy(*keys).agg(F.min_by("row", F.struct(*[x for c in order for x in (c.isNotNull(), c)])).alias("row"))
+
+
 def text_batches(batches, column: str, max_bytes: int):
     """Split Arrow batches so that the texts of one piece hold about ``max_bytes`` at most
     (a single longer text stays whole)."""

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import small, stored
+from shelfscope.llm.common import first_of, packed, small, stored
 
 CAPACITY = 1 << 14  # distinct hashes a bucket holds before it splits
 MAX_DEPTH = 16      # the directory has at most 2**16 slots
@@ -106,11 +106,13 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = 64) -> Dat
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
+    """The rows of ``docs`` that stay, with all columns of ``docs`` (whatever their names); of rows that share id and
+    text the one with the smallest language, then source."""
     kept = stored(dedup(docs, **options).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "copies"), "dedup-kept")
-    keyed = docs.withColumn("_s", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    out = keyed.join(kept, F.expr("doc_id <=> _id and _s = _sha"), "left_semi")
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"), "copies"), "dedup-kept")
+    keyed = packed(docs).select("row", F.col("row.doc_id").alias("id"),
+                                F.sha2(normalised(F.col("row.text")).cast("binary"), 256).alias("sha"))
+    out = keyed.join(kept, F.expr("id <=> kept_id and sha = kept_sha"), "left_semi")
     if not kept.where("copies > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_s"])
-    return out.select(*docs.columns)
+        out = first_of(out, "id", "sha")
+    return out.select("row.*")

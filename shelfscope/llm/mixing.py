@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import n_words, row_key, small, stored
+from shelfscope.llm.common import n_words, packed, row_key, small, stored
 
 BLOCK = 4096  # documents that fly together in one task
 _EPS = 1e-9
@@ -140,11 +140,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, bl
                .withColumn("base", F.least(F.floor(rate + _EPS), F.lit(cap)).cast("int"))
                .withColumn("p", F.greatest(F.lit(0.0), rate - F.col("base"))))
     flying = (planned.where((F.col("size") > 0) & (F.col("p") > _EPS))
-              .select("source", F.col("key").alias("unit"), F.xxhash64("key", F.lit(seed)).alias("order"),
+              .select("source", F.col("doc_id").cast("string").alias("doc_id"), F.col("key").alias("unit"), F.xxhash64("key", F.lit(seed)).alias("order"),
                       (F.col("size") * F.col("copies")).cast("double").alias("weight"), "p",
                       F.pmod(F.xxhash64("key", F.lit(seed + 1)),
                              F.ceil(F.col("_n") / F.lit(block)).cast("long")).alias("group")))
-    flying = flying.select("source", "unit", "order", "weight", "p", "group")
+    flying = flying.select("source", "doc_id", "unit", "order", "weight", "p", "group")
     groups = per_source.agg(F.max(F.ceil(F.col("_n") / F.lit(block)))).first()[0] or 1
     landed, level = [], 0
     while True:
@@ -162,8 +162,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, bl
     chosen = landed[0]
     for part in landed[1:]:
         chosen = chosen.unionByName(part)
-    chosen = chosen.where(F.col("p") > 0.5).select(F.col("unit").alias("key"), F.lit(1).alias("more"))
-    return (planned.join(chosen, "key", "left")
+    # found again by id and source as well as by the text's hash
+    chosen = chosen.where(F.col("p") > 0.5).select(F.col("source").alias("_s"), F.col("doc_id").alias("_id"), "unit", F.lit(1).alias("more"))
+    return (planned.join(chosen, F.expr("cast(doc_id as string) <=> _id and source <=> _s and key = unit"), "left")
             .withColumn("taken", (F.col("size") * F.least(F.lit(cap), F.col("base") + F.coalesce("more", F.lit(0))))
                         .cast("long"))
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -171,10 +172,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, bl
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it is taken, with the columns of ``docs``."""
+    """The rows of ``docs`` that the mix takes, each as often as it is taken, with all columns of ``docs`` (whatever
+    their names)."""
     passes = (mix(docs, **options).where("taken > 0")
-              .select(F.col("key").alias("_key"), (F.col("taken") / F.col("size")).cast("int").alias("_passes"))
-              .groupBy("_key").agg(F.max("_passes").alias("_passes")))
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"), F.col("source")))
-    return (keyed.join(passes, "_key").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes"))))
-            .select(*docs.columns))
+              .groupBy("doc_id", "source", "key").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("passes")))
+    keyed = packed(docs).select("row", F.col("row.doc_id").alias("id"), F.col("row.source").alias("s"), row_key(
+        F.col("row.doc_id"), F.col("row.text"), F.col("row.source")).alias("k"))
+    return (keyed.join(passes, F.expr("id <=> doc_id and s <=> source and k = key"))
+            .withColumn("one", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("row.*"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import row_key, small, stored, words
+from shelfscope.llm.common import packed, row_key, small, stored, words
 
 SKETCH_BITS = 6
 WINDOW = 8          # words of a repeated window
@@ -151,10 +151,9 @@ def judge(docs: DataFrame, min_docs: int = 200) -> DataFrame:
 
 
 def accepted(docs: DataFrame, min_docs: int = 200) -> DataFrame:
-    """The rows of ``docs`` that every rule keeps, with the columns of ``docs``."""
-    keyed = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
-    # lang and source enter the verdict, so rows that share id and text but not these are told apart by them
-    kept = judge(docs, min_docs).where("kept").select(
-        F.col("key").alias("_key"), F.col("lang").alias("_lang"), F.col("source").alias("_source"))
-    return keyed.join(kept, F.expr("_row = _key and lang <=> _lang and source <=> _source"),
-                      "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that every rule keeps, with all columns of ``docs`` (whatever their names)."""
+    keyed = packed(docs).select("row", F.col("row.doc_id").alias("id"), F.col("row.lang").alias("l"), F.col("row.source").alias("s"),
+                                row_key(F.col("row.doc_id"), F.col("row.text")).alias("k"))
+    # a verdict is found by id, language and source as well as by the text's hash
+    kept = judge(docs, min_docs).where("kept").select("doc_id", "lang", "source", "key")
+    return keyed.join(kept, F.expr("id <=> doc_id and k = key and l <=> lang and s <=> source"), "left_semi").select("row.*")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import row_key, stored, text_batches, utf8
+from shelfscope.llm.common import first_of, packed, row_key, stored, text_batches, utf8
 from shelfscope.llm.components import components
 
 FAN = 16
@@ -224,12 +224,13 @@ def groups(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int = 42, run
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group: that with the smallest doc_id (then content key)."""
-    stay = (groups(docs, **options).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-                                                        .alias("m")).select(F.col("m.key").alias("_key")))
-    keyed = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
-    stay = stored(stay, "simhash-stay")
-    out = keyed.join(stay, keyed["_row"] == stay["_key"], "left_semi")
-    if not keyed.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        out = out.dropDuplicates(["_row"])
-    return out.select(*docs.columns)
+    """The rows of ``docs`` that stay, one of each group, with all columns of ``docs`` (whatever their names): that with
+    the smallest doc_id (then content key, language, source)."""
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")
+    stay = stored(groups(docs, **options).groupBy("root").agg(least).select(F.col("m.doc_id").alias("doc_id"), F.col("m.key").alias("key")),
+                  "simhash-stay")
+    keyed = packed(docs).select("row", F.col("row.doc_id").alias("id"), row_key(F.col("row.doc_id"), F.col("row.text")).alias("k"))
+    out = keyed.join(stay, F.expr("id <=> doc_id and k = key"), "left_semi")
+    if not keyed.groupBy("id", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        out = first_of(out, "id", "k")
+    return out.select("row.*")
