@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from shelfscope.llm.common import first_of, packed, small, stored
 
 CAPACITY = 1 << 14  # distinct hashes a bucket holds before it splits
-MAX_DEPTH = 16      # the directory has at most 2**16 slots
 
 # a run that is not a single space: what replacing changes
 _CHANGED = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -47,11 +46,16 @@ def text_hash(norm: Column, hash_bits: int = 64) -> Column:
 def directory(hashes: DataFrame, n_distinct: int, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
     """``hashes`` (distinct ``h``) -> (slot, bucket, local_depth) for every slot in use, and the global depth.
 
-    A bucket of depth d holds the hashes that share d leading bits; the least d
-    that fits the capacity is taken, which is where splitting would have ended.
+    The directory starts at the depth that the number of hashes suggests and doubles while a slot holds more than
+    the capacity.  A bucket of depth d holds the hashes that share d leading bits; the least d that fits the
+    capacity is taken, which is where splitting ends.
     """
-    depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(2, 8 * n_distinct / capacity)))))
-    slots = hashes.groupBy(slot_of(F.col("h"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    depth = max(1, math.ceil(math.log2(max(2, 8 * n_distinct / capacity))))
+    while True:
+        slots = stored(hashes.groupBy(slot_of(F.col("h"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n")), "dedup-slots")
+        if depth == 63 or slots.where(F.col("n") > capacity).isEmpty():
+            break
+        depth += 1
     local = F.lit(depth)
     for d in reversed(range(depth)):
         shared = Window.partitionBy(F.shiftright(F.col("slot"), depth - d))
@@ -63,7 +67,7 @@ def directory(hashes: DataFrame, n_distinct: int, capacity: int = CAPACITY) -> t
 
 
 def slot_of(h: Column, depth: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - depth).cast("int")
+    return F.shiftrightunsigned(h, 64 - depth)
 
 
 def dedup(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
@@ -81,12 +85,12 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = 64) -> Dat
     slots, depth = directory(distinct, distinct.count(), capacity)
     slots = stored(slots, "dedup-directory")
     index = (entries.withColumn("slot", slot_of(F.col("h"), depth))
-             .join(F.broadcast(slots), "slot")  # at most 2**MAX_DEPTH rows
+             .join(small(slots), "slot")
              .repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"))
     index = stored(index.select("bucket", "h", "keep_id", "group_size", "text_sha256", "chain"), "dedup-index")
     # 4. rows look up their bucket; equal (id, hash) rows travel as one
     probes = (texts.select("doc_id", "h").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
-              .withColumn("slot", slot_of(F.col("h"), depth)).join(F.broadcast(slots), "slot")
+              .withColumn("slot", slot_of(F.col("h"), depth)).join(small(slots), "slot")
               .select("bucket", "h", "doc_id", "copies"))
     found = probes.join(index.where("chain = 1").drop("chain"), ["bucket", "h"])
     collided = index.where("chain > 1").select("bucket", "h").distinct()

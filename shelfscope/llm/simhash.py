@@ -4,10 +4,11 @@ Fingerprints are read as Gray codewords and sorted by their rank, so that
 neighbours differ in few bits.  The 64 bits are rotated three times to bring
 each of three blocks to the front: two fingerprints that differ in at most two
 bits agree on a whole block, lie in one run of equal leading bits of that
-order, and a run is one entry of the index's top level.  Inside a run, groups
-of 16 neighbours are factored into upper nodes that hold the bits all members
-share (mask and pattern); a pair of nodes whose shared bits already differ in
-more than the allowed number is pruned with all its members.
+order, and a run is one entry of the index's top level.  Neighbouring short runs
+form segments; inside a segment, groups of 16 neighbours are factored into upper
+nodes that hold the bits all members share (mask and pattern); a pair of nodes
+whose shared bits already differ in more than the allowed number is pruned with
+all its members.  Every link comes from walking such a tree.
 
 A run above ``run_limit`` is split before any task holds it: the bits that
 vary in it are dealt into three parts again, and its members go to one bucket
@@ -34,6 +35,7 @@ from shelfscope.llm.common import first_of, packed, row_key, stored, text_batche
 from shelfscope.llm.components import components
 
 FAN = 16
+SEGMENT = 256     # members of short runs that share a tree
 RUN_LIMIT = 2048
 _PIECE = 8 << 20
 
@@ -124,26 +126,14 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _run_links(bits: int):
     def edges(bucket, prints):
-        """Spanning forest of each run; runs lie together, members in Gray order."""
+        """Spanning forest of each segment of whole runs; runs lie together, members in Gray order."""
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        sizes = np.diff(np.r_[starts, len(bucket)])
+        starts = starts[np.r_[True, np.diff(starts // SEGMENT) > 0]]
         out = []
-        short = np.repeat(sizes <= FAN, sizes)
-        first, second = [], []
-        for k in range(1, FAN):  # short runs: a single leaf each, compared all at once
-            i = np.flatnonzero(short[:-k] & (bucket[k:] == bucket[:-k])) if len(bucket) > k else []
-            if not len(i):
-                break
-            near = np.bitwise_count((prints[i] ^ prints[i + k]).view(np.uint64)) <= bits
-            first.append(i[near])
-            second.append(i[near] + k)
-        if first:
-            a, b = np.concatenate(first), np.concatenate(second)
-            out.append((prints[a], prints[b]))
-        for at, n in zip(starts[sizes > FAN], sizes[sizes > FAN]):
-            own = prints[at:at + n]
-            root = forest(n, *links(build_index(own), bits))
-            away = np.flatnonzero(root != np.arange(n))
+        for at, end in zip(starts, np.r_[starts[1:], len(bucket)]):
+            own = prints[at:end]
+            root = forest(len(own), *links(build_index(own), bits))
+            away = np.flatnonzero(root != np.arange(len(own)))
             out.append((own[away], own[root[away]]))
         return out
 

@@ -128,6 +128,10 @@ def test_directory_splits_overfull_buckets(spark):
     hashes = spark.range(5000).select(F.xxhash64("id").alias("h"))
     slots, depth = exact_dedup.directory(hashes, 5000, 100)
     sizes = hashes.withColumn("slot", exact_dedup.slot_of(F.col("h"), depth)).join(slots, "slot").groupBy("bucket").count()
+    crowded = spark.range(40).select((F.col("id") + F.lit(5 << 40)).alias("h"))      # 35 leading bits in common and more
+    deep, far = exact_dedup.directory(crowded, 40, 8)
+    held = crowded.withColumn("slot", exact_dedup.slot_of(F.col("h"), far)).join(deep, "slot").groupBy("bucket").count()
+    assert far > 50 and max(r["count"] for r in held.collect()) <= 8
     assert sizes.agg(F.max("count")).first()[0] <= 100 and sizes.agg(F.sum("count")).first()[0] == 5000
 
 
@@ -234,6 +238,19 @@ def test_links_with_a_tiny_run_limit(spark):
     assert {r.node: r.root for r in components.components(links).collect()} == dict.fromkeys(prints, prints[0])
 
 
+def test_links_of_short_runs_come_from_the_tree(monkeypatch):
+    import pyarrow as pa
+
+    prints = np.array(sorted([0b1011, 0b1010, 1 << 40, 1 << 41, 7 << 50]), np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(5, np.int64)), pa.array(prints)], names=["bucket", "fp"])
+
+    def found():
+        return {(int(a), int(b)) for out in simhash._run_links(2)(iter([batch])) for a, b in zip(*out.to_pydict().values())}
+    assert {frozenset(p) for p in found()} == {frozenset({0b1010, 0b1011}), frozenset({1 << 40, 1 << 41})}
+    monkeypatch.setattr(simhash, "links", lambda levels, bits: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert found() == set()
+
+
 def test_near_copies_odd(odd, none):
     assert simhash.groups(odd).count() == odd.count()
     stay = simhash.representatives(odd)
