@@ -341,8 +341,11 @@ def rehydrate(ops: DataFrame, catalog: DataFrame) -> DataFrame:
     by_sku = _lookup(catalog, F.col("sku").cast("string"), "k_sku", fields)
     by_url = _lookup(catalog, F.coalesce(F.col("url_afiliado"), F.lit("")), "k_url", fields)
     by_name = _lookup(catalog, name_key(F.col("nome_produto")), "k_name", fields)
+    # blank URLs match nothing; a key of their own row each spreads them over the tasks
+    nowhere = F.concat(F.lit("\0"), F.xxhash64(ops["sku_selecionado"], ops["nome_produto"]).cast("string"))
+    url = F.coalesce(F.nullif(ops["url_afiliado"], F.lit("")), nowhere)
     j = (ops.join(by_sku, ops["sku_selecionado"] == by_sku["k_sku"], "left")
-         .join(by_url, F.coalesce(ops["url_afiliado"], F.lit("")) == by_url["k_url"], "left")
+         .join(by_url, url == by_url["k_url"], "left")
          .join(by_name, name_key(ops["nome_produto"]) == by_name["k_name"], "left"))
     info = F.coalesce("info_k_sku", "info_k_url", "info_k_name")
     out = j.withColumn("_info", info).withColumn("matched", F.col("_info").isNotNull())

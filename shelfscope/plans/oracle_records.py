@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from shelfscope.functions import rules
 from shelfscope.plans.oracle_metrics import LEDGER, POSTS, RUNS
-from shelfscope.plans.oracle_offers import offers_ctes
-from shelfscope.plans.oracle_sql import HIST_CTE, _with, any_sub, obs_cte, one_tier_sql, q, rn, two_tier_sql
+from shelfscope.plans.oracle_offers import balance_ctes, channel_sql, fallback_ctes, modelkey_sql, offers_ctes
+from shelfscope.plans.oracle_sql import HIST_CTE, _with, any_sub, niche_sql, obs_cte, one_tier_sql, q, rn, two_tier_sql
 
 PAGE_PARTS = 12
 K = "CAST(p_partkey AS VARCHAR)"
@@ -118,7 +118,11 @@ SELECT route, page, n_itens, n_novos FROM s WHERE NOT parou"""
     one = _with(*offers_ctes()) + f"""
 SELECT ord, sku, loja, score_qualidade FROM offers_e WHERE loja = {q(rules.STORE_B)}
 ORDER BY score_qualidade DESC, ord LIMIT {rules.CANDIDATE_CAP_TOTAL}"""
-    return {"card_texts": cards, "publication_window": window, "social_image_pages": image, "run_status_hourly": status, "page_stop": stop,
+    text = "lower(nome_produto || ' ' || coalesce(categoria, '') || ' ' || coalesce(copy_titulo, ''))"
+    picks = _with(*offers_ctes(), *balance_ctes(), *fallback_ctes()) + f""",
+offers_p AS (SELECT *, CAST(pos AS BIGINT) AS ord, sku_selecionado AS sku, {niche_sql(text, 'categoria')} AS bonus_nicho,
+                    {modelkey_sql('nome_produto')} AS modelo FROM picks_c)""" + channel_sql().replace("FROM offers_e", "FROM offers_p")
+    return {"card_texts": cards, "channel_top_picks": picks, "publication_window": window, "social_image_pages": image, "run_status_hourly": status, "page_stop": stop,
             "candidate_balance_one_store": one,
             "stream_first_url": "SELECT DISTINCT sha256('https://x.example.com/' || CAST(CAST(floor(doc_id / 4) AS BIGINT) AS VARCHAR)) AS url_hash FROM documents"}
 

@@ -208,6 +208,14 @@ def q_card_texts(spark, sf):
     return offers.select("sku", *[c.alias(n) for n, c in Pl.card_texts(offers).items()])
 
 
+def q_channel_top_picks(spark, sf):
+    """P14 over name, category and copy title, P19 and K2 on the run's picks."""
+    p = C._picks(spark, sf).withColumnsRenamed({"sku_selecionado": "sku"}).withColumn("ord", F.col("pos").cast("long"))
+    rows = S.add_niche_and_model(p, off=rules.TEST_OFF_NICHE_TERMS, strong=rules.TEST_STRONG_NICHE_TERMS,
+                                 cat_terms=rules.TEST_CATEGORY_NICHE_TERMS, title_col="copy_titulo")
+    return S.channel_top(materialize(rows.drop("pos")))
+
+
 def q_publication_window(spark, sf):
     """P39 with zone and P40, over the times of all events."""
     local = C.N.local_time_zone(F.col("ts"))
@@ -267,7 +275,7 @@ def q_stream_first_url(spark, sf):
 
 QUERIES = {f.__name__[2:]: f for f in (
     q_listing_json_offers, q_listing_card_offers, q_offers_union, q_social_documents, q_insight_documents, q_run_files, q_ledger_files,
-    q_candidate_records, q_history_scan, q_card_texts, q_publication_window, q_social_image_pages, q_run_status_hourly, q_page_stop,
+    q_candidate_records, q_history_scan, q_card_texts, q_channel_top_picks, q_publication_window, q_social_image_pages, q_run_status_hourly, q_page_stop,
     q_candidate_balance_one_store, q_stream_first_url)}
 
 
