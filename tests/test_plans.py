@@ -19,8 +19,8 @@ from shelfscope.plans import catalog, jobs, records
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-# queries whose only Python stage is the documented HTML card scan or the recovery of truncated JSON
-PYTHON_ALLOWED = {"page_card_offers", "response_parse", "response_picks"}
+# queries whose only Python stage is the documented HTML card scan, the pull parser of feeds or the recovery of truncated JSON
+PYTHON_ALLOWED = {"page_card_offers", "response_parse", "response_picks", "feed_xml_items"}
 
 
 def _plan(spark, name):
@@ -94,12 +94,12 @@ def test_top_up_and_purge_lookup_join_by_key(spark):
 
 def test_topic_candidates_grow_with_the_items(spark):
     """Index rows and candidates of twice the items (disjoint texts a day later) are about twice as many."""
-    feed = catalog._feed(spark, SF).select("doc_id", "publicado_em", "tema_normalizado")
-    later = feed.select("doc_id", (F.col("publicado_em") + F.make_dt_interval(F.lit(1))).alias("publicado_em"),
-                        F.regexp_replace("tema_normalizado", "([a-z0-9]+)", "$1x").alias("tema_normalizado"))
+    feed = catalog._feed(spark, SF).select("publicado_em", significant_tokens("tema_normalizado").alias("toks"))
+    later = feed.select((F.col("publicado_em") + F.make_dt_interval(F.lit(1))).alias("publicado_em"),
+                        F.transform("toks", lambda t: F.concat(t, F.lit("_"))).alias("toks"))
 
     def sizes(items):
-        _, probes, index = N.topic_postings(items.withColumn("toks", significant_tokens("tema_normalizado")))
+        _, probes, index = N.topic_postings(items)
         pairs = N.topic_candidates(probes, index)
         _before_checkpoint(pairs)
         return probes.count(), index.count(), pairs.count()
