@@ -334,6 +334,12 @@ def pick_image(cands) -> F.Column:
     return F.when(F.size(ok) > 0, F.try_element_at(ok, F.lit(1)))
 
 
+def _once(c, f) -> F.Column:
+    """``f`` of a column that is evaluated once a row, however often ``f`` names it: a lambda binds its value, where a
+    plain expression would be copied into every place (and each step of a chain would multiply the copies)."""
+    return F.transform(F.array(c), f).getItem(0)
+
+
 def query_pairs(query) -> F.Column:
     """Decoded (key, value) pairs of a query string in order; a key without ``=`` has a blank value, as
     ``parse_qs`` reads it with blanks kept."""
@@ -348,25 +354,29 @@ def query_pairs(query) -> F.Column:
 
 def grouped_pairs(pairs) -> F.Column:
     """(key, values) in the order in which keys first appear, as a mapping of lists keeps them."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.transform(
-        F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]).alias("vs")))
+    def grouped(ps):
+        keys = F.array_distinct(F.transform(ps, lambda p: p["k"]))
+        return F.transform(keys, lambda k: F.struct(k.alias("k"), F.transform(
+            F.filter(ps, lambda p: p["k"] == k), lambda p: p["v"]).alias("vs")))
+    return _once(pairs, grouped)
 
 
 def upserted(groups, key: str, value, only_if: str = "always") -> F.Column:
     """Set a key: in its place if it is there, else at the end.  ``only_if``: ``blank`` (absent, or its first
     value is blank), ``absent`` or ``always``."""
     new = F.array(col_(value) if not isinstance(value, str) else F.lit(value))
-    there = F.exists(groups, lambda g: g["k"] == F.lit(key))
 
     def replaced(g):
         hit = g["k"] == F.lit(key)
         if only_if == "blank":
             hit &= F.coalesce(g["vs"][0], F.lit("")) == ""
         return F.struct(g["k"].alias("k"), F.when(hit, new).otherwise(g["vs"]).alias("vs"))
-    kept = groups if only_if == "absent" else F.transform(groups, replaced)
-    added = F.concat(groups, F.array(F.struct(F.lit(key).alias("k"), new.alias("vs"))))
-    return F.when(there, kept).otherwise(added)
+
+    def put(gs):
+        kept = gs if only_if == "absent" else F.transform(gs, replaced)
+        added = F.concat(gs, F.array(F.struct(F.lit(key).alias("k"), new.alias("vs"))))
+        return F.when(F.exists(gs, lambda g: g["k"] == F.lit(key)), kept).otherwise(added)
+    return _once(groups, put)
 
 
 def _quoted(c) -> F.Column:
@@ -383,15 +393,20 @@ def affiliate_url(url, params=None, host: str = rules.AFFILIATE_HOST) -> F.Colum
     """Trim, drop the fragment, resolve '//' and '/' prefixes, reject non-http, then set each tracking
     parameter that is absent or blank (in its place or at the end) and forceInApp if absent; the query is
     parsed in order and encoded anew, so blanks and bare keys come out well formed."""
-    u = F.split(py_strip(F.coalesce(col_(url), F.lit(""))), "#", 2).getItem(0)
-    u = (F.when(u.startswith("//"), F.concat(F.lit("https:"), u))
-         .when(u.startswith("/"), F.concat(F.lit(host), u)).otherwise(u))
-    ok = u.startswith("http://") | u.startswith("https://")
-    groups = grouped_pairs(query_pairs(F.get(F.split(u, r"\?", 2), 1)))
-    for k, v in params or rules.AFFILIATE_PARAMS:
-        groups = upserted(groups, k, v, only_if="blank")
-    groups = upserted(groups, "forceInApp", "true", only_if="absent")
-    return F.when(ok & (u != ""), F.concat(F.split(u, r"\?", 2).getItem(0), F.lit("?"), query_text(groups)))
+    def resolved(u):
+        return (F.when(u.startswith("//"), F.concat(F.lit("https:"), u))
+                .when(u.startswith("/"), F.concat(F.lit(host), u)).otherwise(u))
+
+    def tracked(u):
+        parts = F.split(u, r"\?", 2)
+        groups = grouped_pairs(query_pairs(F.get(parts, 1)))
+        for k, v in params or rules.AFFILIATE_PARAMS:
+            groups = upserted(groups, k, v, only_if="blank")
+        groups = upserted(groups, "forceInApp", "true", only_if="absent")
+        ok = u.startswith("http://") | u.startswith("https://")
+        return F.when(ok, F.concat(parts.getItem(0), F.lit("?"), query_text(groups)))
+    whole = F.split(py_strip(F.coalesce(col_(url), F.lit(""))), "#", 2).getItem(0)
+    return _once(_once(whole, resolved), tracked)
 
 
 def paged_url(url, page) -> F.Column:

@@ -107,6 +107,14 @@ def test_affiliate_parameters_keep_their_place(spark):
     assert {r["u"]: r["a"] for r in df.select("u", I.affiliate_url("u").alias("a")).collect()} == cases
 
 
+def test_url_steps_are_evaluated_once_a_row(spark):
+    """Each step names its input several times; the plan holds the query's parsing once and not a copy per mention."""
+    df = spark.createDataFrame([], "u string, n int")
+    for column in (I.affiliate_url("u"), I.paged_url("u", "n")):
+        plan = df.select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert 0 < plan.count("url_decode") <= 4, plan.count("url_decode")
+
+
 def test_paged_urls(spark):
     cases = {("https://x.com/l?ref=a&page=2&b=", 3): "https://x.com/l?ref=a&page=3&b=", ("https://x.com/l", 2): "https://x.com/l?page=2",
              ("https://x.com/l?a=1#f", 4): "https://x.com/l?a=1&page=4#f", ("https://x.com/l?a b", 1): "https://x.com/l?a b"}
