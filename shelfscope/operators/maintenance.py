@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from shelfscope.functions import rules
 from shelfscope.functions.pricing import store_from_sku
-from shelfscope.functions.text import py_strip, round_n
+from shelfscope.functions.text import py_strip, round_n, wall_micros
 from shelfscope.operators.keylog import KeyLog
 from shelfscope.operators.radar import admit_observations, daily_compaction
 from shelfscope.session import materialize
@@ -235,26 +235,38 @@ def row_loss_guard(baseline, current, justified, max_loss: float = rules.MAX_ROW
                     (F.floor(pct * 10000.0 + 0.5) / 100.0).alias("queda_injustificada_pct"))
 
 
+def _hour_slot(df: DataFrame, c: str) -> F.Column:
+    return F.floor(wall_micros(df, c) / 3_600_000_000).cast("long")
+
+
 def justified_removals(checks: DataFrame, purges: DataFrame, hours: int = rules.PURGE_VALID_HOURS) -> DataFrame:
     """M6 lookup: rows removed by the last purge at most ``hours`` before each check (``justificados``; none: 0).
 
-    An as-of join split by day: a purge is listed under every day its ``hours`` reach into, a check looks at its
-    own day only, so both sides meet by (base, day) and a day's few purges.  ``checks``: base, conferido_em, ...;
-    ``purges``: base, limpo_em, removidos.  A ``justificados`` that a check brings along comes first."""
-    valid = F.make_dt_interval(F.lit(0), F.lit(hours))
-    p = purges.select(F.col("base").alias("_base"), "limpo_em", "removidos", F.explode(F.sequence(
-        F.to_date("limpo_em"), F.to_date(F.col("limpo_em") + valid))).alias("_day"))
-    c = checks.withColumn("_id", F.monotonically_increasing_id())
-    c = materialize(c)     # the row number must not change between its two uses
-    hits = (c.select("_id", "base", "conferido_em").join(p, (F.col("base") == F.col("_base"))
-                                                         & (F.to_date("conferido_em") == F.col("_day"))
-                                                         & (F.col("limpo_em") <= F.col("conferido_em"))
-                                                         & (F.col("conferido_em") <= F.col("limpo_em") + valid))
-            .groupBy(F.col("_id").alias("_hit")).agg(F.max(F.struct("limpo_em", "removidos")).getField("removidos").alias("_r")))
-    given = F.col("justificados") if "justificados" in checks.columns else F.lit(None).cast("long")
-    return (c.join(hits, F.col("_id") == F.col("_hit"), "left")
-            .withColumn("justificados", F.coalesce(given, F.greatest(F.lit(0), F.col("_r")), F.lit(0)).cast("long"))
-            .drop("_id", "_hit", "_r"))
+    An as-of lookup split by hour: purges of one moment are one row, and an hour's last purge is listed under the
+    following hours it reaches into.  Inside an hour of a base, purges and checks stand in one order, and each check
+    sees the newest purge up to its moment; only that one can count, as all are valid equally long.  No check meets
+    more than one purge, however many an hour holds.  ``checks``: base, conferido_em, ...; ``purges``: base,
+    limpo_em, removidos.  A ``justificados`` that a check brings along comes first."""
+    valid, removed = F.make_dt_interval(F.lit(0), F.lit(hours)), dict(purges.dtypes)["removidos"]
+    p = (purges.filter(F.col("base").isNotNull() & F.col("limpo_em").isNotNull())
+         .groupBy("base", "limpo_em").agg(F.max("removidos").alias("removidos")))
+    p = p.withColumn("_until", F.col("limpo_em") + valid)
+    p = p.select("base", _hour_slot(p, "limpo_em").alias("_slot"), F.struct("limpo_em", "_until", "removidos").alias("_p"),
+                 _hour_slot(p, "_until").alias("_last"))
+    later = (p.groupBy("base", "_slot").agg(F.max("_p").alias("_p"), F.max("_last").alias("_last"))
+             .select("base", F.explode(F.filter(F.sequence("_slot", "_last"), lambda x: x > F.col("_slot"))).alias("_slot"), "_p"))
+    no_check = F.lit(None).cast(checks.schema)
+    at = F.col("_p.limpo_em")
+    rows = p.drop("_last").unionByName(later).select("base", "_slot", at.alias("_at"), "_p", no_check.alias("_c"))
+    c = checks.select("base", _hour_slot(checks, "conferido_em").alias("_slot"), F.col("conferido_em").alias("_at"),
+                      F.lit(None).cast(rows.schema["_p"].dataType).alias("_p"), F.struct(*checks.columns).alias("_c"))
+    # the default frame reaches to the last row of the same moment
+    newest = F.max("_p").over(Window.partitionBy("base", "_slot").orderBy("_at"))
+    seen = rows.unionByName(c).withColumn("_p", newest).filter(F.col("_c").isNotNull())
+    hit = F.when(F.col("_c.conferido_em") <= F.col("_p._until"), F.greatest(F.lit(0).cast(removed), F.col("_p.removidos")))
+    given = F.col("_c.justificados") if "justificados" in checks.columns else F.lit(None).cast("long")
+    return seen.select(*[F.col("_c")[x].alias(x) for x in checks.columns if x != "justificados"],
+                       F.coalesce(given, hit, F.lit(0)).cast("long").alias("justificados"))
 
 
 def guarded_checks(checks: DataFrame, purges: DataFrame, max_loss: float = rules.MAX_ROW_LOSS) -> DataFrame:

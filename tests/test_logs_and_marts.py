@@ -89,6 +89,31 @@ def test_purge_counts_for_six_hours_and_no_longer(spark):
     assert own["justificados"] == 95      # what a check brings along comes first
 
 
+def test_purge_lookup_equals_a_loop(spark):
+    rnd, t = random.Random(3), dt.datetime(2026, 11, 24)
+    when = [t + dt.timedelta(minutes=20 * rnd.randrange(150), microseconds=rnd.choice([0, 0, 1])) for _ in range(240)]
+    purges = [(rnd.choice(["a", "b", None]), rnd.choice([w, w, w, None]), rnd.choice([5, 9, None, -4])) for w in when[:60]]
+    checks = [(i, rnd.choice(["a", "b", None]), rnd.choice([w] * 9 + [None]), 100, 50) for i, w in enumerate(when[60:])]
+    df = spark.createDataFrame(checks, "i int, base string, conferido_em timestamp_ntz, baseline long, atuais long")
+    out = Mt.justified_removals(df, spark.createDataFrame(purges, "base string, limpo_em timestamp_ntz, removidos long"))
+
+    def last(base, at):
+        hits = [(p[1], -99 if p[2] is None else p[2]) for p in purges if None not in (base, at, p[1]) and p[0] == base
+                and p[1] <= at <= p[1] + dt.timedelta(hours=6)]
+        return max(0, max(hits)[1]) if hits else 0
+    assert {r["i"]: r["justificados"] for r in out.collect()} == {c[0]: last(c[1], c[2]) for c in checks}
+
+
+def test_purge_lookup_reads_an_hour_once_however_full(spark):
+    t = F.lit("2026-11-24 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id") / 100)
+    purges = spark.range(3000).select(F.lit("a").alias("base"), t.alias("limpo_em"), F.col("id").alias("removidos"))
+    checks = spark.range(3000).select(F.lit("a").alias("base"), t.alias("conferido_em"), F.lit(9000).cast("long").alias("baseline"),
+                                      F.lit(9000).cast("long").alias("atuais"), "id")
+    out = Mt.justified_removals(checks, purges)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()      # 4.5 million pairs by a join
+    assert out.where("justificados = id").count() == 3000
+
+
 def test_breaker_scan_equals_a_loop(spark):
     rnd = random.Random(5)
     rows = [(rnd.choice("AB"), rnd.choice(["lista", "www", None]), s, rnd.random() < 0.08, rnd.random() < 0.05, rnd.choice([1, 1, 2]))
