@@ -9,12 +9,13 @@ malformed feed yields no items and never fails the others.  The session time zon
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from shelfscope.functions.text import clean_summary, col_, py_strip, topic_key, unescape_html, url_key
 from shelfscope.operators.news import recent_window
@@ -27,6 +28,7 @@ IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".webp")
 
 _FIELDS = ("title", "link", "summary", "published", "media", "thumbnail", "enclosure", "enclosure_type")
 ENTRIES = ArrayType(StructType([StructField("atom", BooleanType())] + [StructField(f, StringType()) for f in _FIELDS]))
+_ENTRY = pa.struct([("atom", pa.bool_())] + [(f, pa.string()) for f in _FIELDS])
 
 # Date patterns tried in order (fixed values: RFC-822 with numeric or named
 # zone after the weekday is stripped, then ISO-8601 with or without zone).
@@ -87,41 +89,96 @@ def _entry(element) -> dict | None:
     return None
 
 
+class _Document:
+    """A feed document that is read piece by piece.  An element is let go when no item or entry around it needs it any
+    more."""
+
+    def __init__(self):
+        self.parser, self.around, self.out = ElementTree.XMLPullParser(["start", "end"]), [], []
+
+    def _events(self) -> None:
+        for event, element in self.parser.read_events():
+            if event == "start":
+                if element.tag in ("item", "entry", ATOM + "entry"):
+                    self.around.append(len(self.out))
+                    self.out.append(None)
+            else:
+                entry = _entry(element)
+                if entry is not None:
+                    self.out[self.around.pop()] = entry
+                if not self.around:
+                    element.clear()
+
+    def feed(self, text: str) -> None:
+        if self.out is not None:
+            try:
+                self.parser.feed(text)
+                self._events()
+            except ElementTree.ParseError:
+                self.out = None
+
+    def entries(self) -> list[dict]:
+        """Entries in the order in which they begin, wherever they stand; none if the document is malformed."""
+        if self.out is not None:
+            try:
+                self.parser.close()
+            except ElementTree.ParseError:
+                self.out = None
+        return self.out or []
+
+
 def document_entries(xml: str) -> list[dict]:
-    """Entries of a feed document in the order in which they begin, wherever they stand; none if it is malformed.
-    An element is let go when no item or entry around it needs it any more."""
-    parser, around, out = ElementTree.XMLPullParser(["start", "end"]), [], []
-    try:
-        for at in range(0, len(xml), 1 << 16):
-            parser.feed(xml[at:at + (1 << 16)])
-            for event, element in parser.read_events():
-                if event == "start":
-                    if element.tag in ("item", "entry", ATOM + "entry"):
-                        around.append(len(out))
-                        out.append(None)
-                else:
-                    entry = _entry(element)
-                    if entry is not None:
-                        out[around.pop()] = entry
-                    if not around:
-                        element.clear()
-        parser.close()
-    except ElementTree.ParseError:
-        return []
-    return out
-
-
-@F.pandas_udf(ENTRIES)
-def _entries(xml: pd.Series) -> pd.Series:
-    return xml.map(document_entries, na_action="ignore")
+    """Entries of a whole feed document."""
+    document = _Document()
+    for at in range(0, len(xml), 1 << 16):
+        document.feed(xml[at:at + (1 << 16)])
+    return document.entries()
+
+
+#: Characters of a piece (a row handed to Python), and of the entries that are handed back at once.
+PIECE, BATCH = 2_048, 1 << 20
+
+
+def _read_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of documents whose pieces follow each other; RSS items, or Atom entries if a document has no RSS item."""
+    document, rows, held, names = None, [], 0, ["fonte", "feed_ord", "pos", "e"]
+
+    def packed(schema):
+        types = [schema.field("fonte").type, schema.field("feed_ord").type, pa.int32(), _ENTRY]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+    for batch in batches:
+        fonte, feed_ord, at, left, text = (batch.column(c) for c in ("fonte", "feed_ord", "at", "left", "piece"))
+        for i in range(batch.num_rows):
+            if at[i].as_py() == 0:
+                document = _Document()
+            document.feed(text[i].as_py())
+            if left[i].as_py() == 0:
+                found = document.entries()
+                found = [e for e in found if not e["atom"]] or found
+                for pos, e in enumerate(found):
+                    rows.append((fonte[i].as_py(), feed_ord[i].as_py(), pos, e))
+                    held += sum(len(v) for v in e.values() if isinstance(v, str))
+                    if held >= BATCH:
+                        yield packed(batch.schema)
+                        rows, held = [], 0
+        if rows:
+            yield packed(batch.schema)
+            rows, held = [], 0
 
 
 def feed_entries(feeds: DataFrame) -> DataFrame:
     """S3: one row per entry (fonte, feed_ord, pos, title, link, summary, published,
-    image_url); RSS items, or Atom entries when a document has no RSS item."""
-    x = feeds.select("fonte", "feed_ord", _entries("xml").alias("all"))
-    rss = F.filter("all", lambda e: ~e["atom"])
-    x = x.select("fonte", "feed_ord", F.posexplode(F.when(F.size(rss) > 0, rss).otherwise(F.col("all"))).alias("pos", "e"))
+    image_url); RSS items, or Atom entries when a document has no RSS item.
+
+    Documents go to Python in pieces that follow each other, so that an Arrow batch, which counts rows, holds a
+    bounded number of characters however long the documents are."""
+    pieces = F.regexp_extract_all(F.col("xml"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    x = (feeds.select("fonte", "feed_ord", pieces.alias("pieces")).withColumn("n", F.size("pieces"))
+         .select("fonte", "feed_ord", "n", F.posexplode("pieces").alias("at", "piece"))
+         .select("fonte", "feed_ord", "at", (F.col("n") - 1 - F.col("at")).alias("left"), "piece"))
+    out = StructType([feeds.schema["fonte"], feeds.schema["feed_ord"], StructField("pos", IntegerType()),
+                      StructField("e", ENTRIES.elementType)])
+    x = x.mapInArrow(_read_pieces, out)
 
     def text(name):
         return py_strip(F.coalesce(F.col(f"e.{name}"), F.lit("")))

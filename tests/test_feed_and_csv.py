@@ -96,3 +96,32 @@ def test_a_task_that_runs_twice_leaves_one_file():
     broken.write(iter([Row("never")]))
     broken.abort([None])
     assert len(_files(path)) == 1 and not os.path.exists(f"{path}/_temporary/{broken.job}")
+
+
+def test_arrow_batches_of_long_feeds_are_bounded(spark, monkeypatch):
+    """Documents of 300,000 characters reach Python in rows of bounded length, and their entries leave in small batches."""
+    from pyspark.sql import functions as F
+
+    item = F.concat(F.lit("<item><title>t"), F.col("i").cast("string"), F.lit("</title><link>https://x.com/"), F.col("id").cast("string"),
+                    F.lit("/"), F.col("i").cast("string"), F.lit("</link><description>"), F.repeat(F.lit("\u00e9\U0001f600x "), 750),
+                    F.lit("</description></item>"))
+    docs = spark.range(20).select("id", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("i")).select("id", "i", item.alias("x"))
+    xml = F.concat(F.lit("<rss>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]), ""), F.when(
+        F.col("id") % 5 == 4, F.lit("<")).otherwise(F.lit("</rss>")))
+    feeds = docs.groupBy("id").agg(xml.alias("xml")).select(F.lit("f").alias("fonte"), F.col("id").alias("feed_ord"), "xml")
+    seen = spark.sparkContext.accumulator(0)
+    inner, piece = Fd._read_pieces, Fd.PIECE
+
+    def watched(batches):
+        def checked():
+            for b in batches:
+                assert max(len(t) for t in b.column("piece").to_pylist()) <= piece
+                yield b
+        for out in inner(checked()):
+            assert out.nbytes < 8 << 20
+            seen.add(out.num_rows)
+            yield out
+    monkeypatch.setattr(Fd, "_read_pieces", watched)
+    rows = Fd.feed_entries(feeds).select("feed_ord", "pos", "title", F.length("summary").alias("n")).collect()
+    assert sorted((r[0], r[1], r[2]) for r in rows) == sorted((d, i, f"t{i}") for d in range(20) if d % 5 != 4 for i in range(100))
+    assert {r["n"] for r in rows} == {4 * 750 - 1} and seen.value == 1600
