@@ -122,6 +122,7 @@ def q_listing_card_offers(spark, sf):
 def q_offers_union(spark, sf):
     """Offers of both stores' pages in one table (columns that one lacks are null), first row of a sku."""
     both = S.union_routes(_json_offers(spark, sf).withColumn("rota", F.lit("json")), _card_offers(spark, sf).withColumn("rota", F.lit("cards")))
+    both = materialize(both)      # read twice: the pages are parsed once
     again = S.union_routes(both, both.withColumn("rota", F.lit("outra")))
     first = S.keep_first(again, "sku", ["rota", "idx"])
     return first.select("sku", "rota", "idx", "seq", "page_key", "total_paginas", "preco_atual")

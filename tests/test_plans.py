@@ -105,3 +105,8 @@ def test_topic_candidates_grow_with_the_items(spark):
         return probes.count(), index.count(), pairs.count()
     one, two = sizes(feed), sizes(feed.unionByName(later))
     assert all(b <= 2.2 * a + 10 for a, b in zip(one, two)) and one[2] > 0
+
+
+def test_offers_union_parses_its_pages_once(spark):
+    plan = E.queries()["offers_union"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(n in plan for n in PYTHON_NODES)     # the union is read twice, behind the checkpoint
