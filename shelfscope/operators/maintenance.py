@@ -4,8 +4,9 @@ metadata, retention, row-loss guard, legacy JSON migration.
 Tables live as parquet folders.  The price history is partitioned by month
 of ``data_coleta`` so an upsert rewrites only the touched months (dynamic
 partition overwrite) and a retention run drops whole months plus one
-filtered month.  Every rewrite of a path that the same plan reads is cut by a
-reliable checkpoint first (read phase strictly before write phase).
+filtered month.  The upsert reads the months that it replaces: a dynamic overwrite
+removes nothing before all is written.  Every other rewrite of a path that the same
+plan reads is cut by a reliable checkpoint first (read phase strictly before write phase).
 """
 
 from __future__ import annotations
@@ -64,16 +65,20 @@ def merge_price_days(history: DataFrame, new_obs: DataFrame) -> DataFrame:
 
 def upsert_price_days(spark: SparkSession, path: str, new_obs: DataFrame) -> DataFrame:
     """M1 on a parquet table partitioned by month: only touched months are read
-    (literal partition filter) and rewritten (dynamic overwrite)."""
+    (literal partition filter) and rewritten (dynamic overwrite); returns them.
+
+    They are rewritten while they are read: a dynamic overwrite writes beside the table and
+    replaces its folders once every task is done.  Rows are dealt out by month first, so a
+    month has a few files of the advisory size rather than one of every task."""
     month = F.date_format("data_coleta", "yyyy-MM")
     new_obs = new_obs.withColumn("data_coleta", F.col("data_coleta").cast("date"))
     touched = materialize(new_obs.select(month.alias("mes")).filter("mes IS NOT NULL").distinct())
-    existing = read_or_empty(spark, path, HISTORY_SCHEMA + ", mes string")
-    old = in_months(existing, touched).drop("mes")
-    merged = materialize(merge_price_days(old, new_obs).withColumn("mes", month))
+    schema = HISTORY_SCHEMA + ", mes string"
+    old = in_months(read_or_empty(spark, path, schema), touched).drop("mes")
+    merged = merge_price_days(old, new_obs).withColumn("mes", month).hint("rebalance", "mes")
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("mes").parquet(path))
-    return merged
+    return in_months(read_or_empty(spark, path, schema), touched)
 
 
 def in_months(history: DataFrame, touched: DataFrame) -> DataFrame:

@@ -50,14 +50,15 @@ def daily_compaction(obs: DataFrame) -> DataFrame:
     # "last" regardless of its timestamps, as in an upsert-on-conflict table
     order = ([F.col("batch")] if "batch" in obs.columns else []) + [F.col("ts"), F.col("seq1"), F.col("seq2")]
     t, c = F.coalesce(F.col("titulo"), F.lit("")), F.coalesce(F.col("categoria"), F.lit(""))
+    last = F.max(F.struct(*order, F.col("preco").alias("v")))
     return (obs.groupBy("sku", "loja", "data_coleta")
             .agg(F.min(pmin).alias("preco_min_dia"),
-                 F.max(F.struct(*order, F.col("preco").alias("v"))).getField("v").alias("preco_ultimo"),
+                 last.getField("v").alias("preco_ultimo"),
                  F.coalesce(F.max(F.when(t != "", F.struct(*order, t.alias("v")))).getField("v"),
                             F.lit("")).alias("titulo"),
                  F.coalesce(F.max(F.when(c != "", F.struct(*order, c.alias("v")))).getField("v"),
                             F.lit("")).alias("categoria"),
-                 F.max(F.struct(*order)).getField("ts").alias("atualizado_em")))
+                 last.getField("ts").alias("atualizado_em")))
 
 
 def offers_on_or_after(history: DataFrame, ref_dates: list[str]) -> DataFrame:

@@ -67,11 +67,12 @@ def _rows(folder: JobFolder, df: DataFrame) -> DataFrame:
 def q_stream_daily_prices(spark, sf):
     """T1 + M1: observations arrive in three parts, the last one a marker that closes every day."""
     folder, obs = JobFolder(spark, "t1"), T.price_observations(T.table(spark, sf, "lineitem"))
-    ts = F.col("ts").cast("timestamp_ntz")
-    obs = obs.withColumn("ts", ts)
-    split = obs.select(F.to_timestamp_ntz(F.date_trunc("month", F.min("ts") + (F.max("ts") - F.min("ts")) / 2))).scalar()
-    marker = obs.select(*[(F.max(c) + F.make_dt_interval(F.lit(400)) if c == "ts" else F.lit("~fim") if c == "sku"
-                           else F.first(c)).alias(c) for c in obs.columns])
+    obs = obs.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    lo, hi = F.min("ts"), F.max("ts")
+    split, end = (F.lit(x).cast("timestamp_ntz") for x in obs.agg(
+        F.date_trunc("month", lo + (hi - lo) / 2).cast("timestamp_ntz").cast("string"),
+        (hi + F.make_dt_interval(F.lit(400))).cast("string")).first())
+    marker = obs.limit(1).withColumn("sku", F.lit("~fim")).withColumn("ts", end)
     sink = St.upsert_daily_batches(spark, folder / "hist")
     arriving(folder, [obs.where(F.col("ts") < split), obs.where(F.col("ts") >= split), marker], lambda df, ckpt: St.start(
         St.daily_price_stream(df), spark, "precos_diarios", sink=sink, checkpoint=ckpt).awaitTermination())

@@ -7,9 +7,9 @@ the same results continuously.  Common rules:
   TIMESTAMP under the UTC session zone before any watermark;
 * stream state and progress live under the shared ``spark.checkpoint.dir``
   (``stream_checkpoint``), so a restarted driver or lost executor resumes;
-* sinks give the same rows when a batch is run again: the daily upsert merges
-  (M1), the others publish a batch by a manifest (``sources/batches.py``) or use
-  Spark's file sink.
+* sinks give the same rows when a batch is run again: the daily upsert publishes
+  its rows by a manifest (``sources/batches.py``) and merges closed days (M1), the
+  others publish a batch by a manifest or use Spark's file sink.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfscope.functions import rules
 from shelfscope.operators import maintenance as Mt
 from shelfscope.operators import radar
-from shelfscope.session import checkpoint_dir
+from shelfscope.session import checkpoint_dir, settings
 from shelfscope.sources.batches import BatchManifest
 
 
+#: Columns of an arriving observation.
+OBSERVATION = ["sku", "loja", "data_coleta", "preco", "titulo", "categoria", "ts", "seq1", "seq2"]
+
+
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
@@ -35,21 +39,19 @@ def event_time(c) -> F.Column:
 
 # ------------------------------------------------------------------------- T1
 def daily_price_stream(obs: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Per (sku, store, day) minimum and last price, last non-blank title and
-    category of arriving observations, emitted once the day closes under the
-    watermark (append mode)."""
-    o = obs.withColumn("_et", event_time("ts")).withWatermark("_et", lateness)
-
-    def last(c, where=None):
-        v = F.struct("ts", "seq1", "seq2", F.col(c).alias("v"))
-        return F.max(v if where is None else F.when(where, v)).getField("v")
-    return (o.groupBy(F.window("_et", "1 day").alias("w"), "sku", "loja")
-            .agg(F.min("preco").alias("preco_min_dia"), last("preco").alias("preco_ultimo"),
-                 F.coalesce(last("titulo", F.col("titulo") != ""), F.lit("")).alias("titulo"),
-                 F.coalesce(last("categoria", F.col("categoria") != ""), F.lit("")).alias("categoria"),
-                 F.max("ts").alias("atualizado_em"))
-            .select("sku", "loja", F.to_date(F.col("w.start")).alias("data_coleta"), "preco_min_dia",
-                    "preco_ultimo", "titulo", "categoria", "atualizado_em"))
+    """Arriving observations under their day, and a row (``dia_fechado``) for each day that
+    closes under the watermark (append mode).
+
+    Spark's state holds a row per open day, however many products there are: it decides which
+    days close and which rows come too late.  The rows of open days stand in a table
+    (``upsert_daily_batches``), where their number does not weigh on any executor's memory."""
+    o = obs.withColumn("_et", event_time("ts")).select("*", F.window("_et", "1 day").alias("w"))
+    o = o.withColumn("data_coleta", F.to_date(F.col("w.start")))
+    closed = (obs.select(event_time("ts").alias("_et")).withWatermark("_et", lateness)
+              .groupBy(F.window("_et", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+              .select(F.to_date(F.col("w.start")).alias("dia_fechado")))
+    return (o.select(*OBSERVATION, F.lit(None).cast("date").alias("dia_fechado"))
+            .unionByName(closed, allowMissingColumns=True))
 
 
 def day_observations(batch: DataFrame) -> DataFrame:
@@ -60,12 +62,37 @@ def day_observations(batch: DataFrame) -> DataFrame:
                         F.lit(0).cast("bigint").alias("seq2"))
 
 
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def upsert_daily_batches(spark: SparkSession, history_path: str):
-    """foreachBatch sink for T1: merge each micro-batch into the month-partitioned
-    history (M1).  A batch that runs again merges the same days to the same rows."""
+    """foreachBatch sink for T1: per (sku, store, day) minimum and last price, last non-blank
+    title and category of the days that closed, merged into the month-partitioned history (M1).
+
+    Beside the history, each stream has its own tables: ``linhas``, the rows of open days, and
+    ``dias``, the days that closed last.  A batch is run once and published in ``linhas``; its
+    closed days are published together with the rows that remain, in place of all earlier ones.
+    A batch that runs again goes on where it broke off, and merges the same days to the same rows."""
     def _sink(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            Mt.upsert_price_days(spark, history_path, day_observations(batch))
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        tables = BatchManifest(spark, f"{history_path.rstrip('/')}.abertos/{stream}")
+        arrived, closed = 2 * batch_id, 2 * batch_id + 1
+        with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            if not tables.publish(arrived, {"linhas": batch}):
+                batch.write.format("noop").mode("overwrite").save()     # Spark's state keeps only what has run
+            rows = tables.read("linhas", _columns(batch)).drop("batch")
+            signals = rows.select(F.col("dia_fechado").alias("data_coleta")).filter("data_coleta IS NOT NULL")
+            rows = rows.filter("dia_fechado IS NULL")
+            days = radar.daily_compaction(rows.select(*OBSERVATION).join(F.broadcast(signals), "data_coleta", "left_semi"))
+            if not tables.is_published(closed):
+                last = signals.agg(F.max("data_coleta")).first()[0]
+                if last is None:
+                    return
+                tables.publish(closed, {"dias": days, "linhas": rows.filter(F.col("data_coleta") > F.lit(last))},
+                               replaces=(*tables.folders("dias"), *tables.folders("linhas")))
+            tables.vacuum()
+            Mt.upsert_price_days(spark, history_path, day_observations(tables.read("dias", _columns(days))))
     return _sink
 
 
@@ -133,11 +160,5 @@ def start(df: DataFrame, spark: SparkSession, name: str, sink=None, path: str |
     if available_now:
         w = w.trigger(availableNow=True)
     w = w.foreachBatch(sink) if sink is not None else w.format("parquet").option("path", path or f"{checkpoint}/rows")
-    before = {k: spark.conf.get(k, None) for k in conf or {}}
-    try:
-        for k, v in (conf or {}).items():
-            spark.conf.set(k, v)
+    with settings(spark, conf or {}):
         return w.start()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -2,11 +2,13 @@
 
 import datetime as dt
 import os
+import random
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from shelfscope.operators import maintenance as Mt
 from shelfscope.operators import metrics as Mx
 from shelfscope.operators import radar
 from shelfscope.sources import tables as T
@@ -77,6 +79,90 @@ def test_daily_stream_keeps_titles_and_survives_replays(spark):
     assert any(r[5] for r in got) and len(exp) - len(got) <= 0.1 * len(exp)
 
 
+DAYS = ["sku", "loja", "data_coleta", "preco_min_dia", "preco_ultimo", "titulo", "categoria", "atualizado_em"]
+OBS = "sku string, loja string, data_coleta date, preco double, titulo string, categoria string, " \
+      "ts timestamp_ntz, seq1 long, seq2 long"
+
+
+def _arrivals(spark, files, name):
+    """A stream that reads one file a batch, in order."""
+    path = tempfile.mkdtemp(prefix=f"shelfscope-test-{name}-")
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, OBS).coalesce(1).write.parquet(f"{path}/w{i}")
+        [part] = [f for f in os.listdir(f"{path}/w{i}") if f.startswith("part-")]
+        os.makedirs(f"{path}/src", exist_ok=True)
+        os.rename(f"{path}/w{i}/{part}", f"{path}/src/{i}.parquet")
+        os.utime(f"{path}/src/{i}.parquet", (1_700_000_000 + 60 * i,) * 2)
+    return spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).parquet(f"{path}/src")
+
+
+def _obs_row(sku, day, hour, price, seq, title="", category=""):
+    ts = dt.datetime(2026, 1, 1, hour) + dt.timedelta(days=day)
+    return (sku, "Magalu", ts.date(), price, title, category, ts, seq, 0)
+
+
+def _history(spark, path):
+    return {tuple(r) for r in spark.read.schema(Mt.HISTORY_SCHEMA).parquet(path).select(DAYS).collect()}
+
+
+def test_daily_stream_state_does_not_grow_with_products(spark):
+    """Spark's state holds a row per open day, not one per product and day."""
+    days, skus = 6, 200
+    rows = [_obs_row(f"MAGALU_{k}", d, 10, 10.0 + k, k) for d in range(days) for k in range(skus)]
+    path = tempfile.mkdtemp(prefix="shelfscope-test-t1s-") + "/hist"
+    q = St.start(St.daily_price_stream(_arrivals(spark, [rows], "t1s")), spark, "t1s_test",
+                 sink=St.upsert_daily_batches(spark, path), checkpoint=_ckpt("t1s"))
+    q.awaitTermination()
+    held = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    assert held and max(held) <= days
+    assert len(_history(spark, path)) == skus * (days - 2)      # the last two days are open
+
+
+def test_daily_stream_equals_windows_in_spark_state(spark):
+    """Late rows, open days and days that meet rows of several batches, against a window aggregate kept as Spark's state."""
+    rng, files = random.Random(5), []
+    for i in range(6):
+        files.append([_obs_row(f"MAGALU_{rng.randrange(5)}", rng.randrange(max(0, 3 * i - 6), 3 * i + 4), rng.randrange(24),
+                               rng.randrange(1, 900) / 10, 1000 * i + k, rng.choice(["", "a", "b"]), rng.choice(["", "c"]))
+                      for k in range(60)])
+    kept = (_arrivals(spark, files, "t1w").withColumn("_et", St.event_time("ts")).withWatermark("_et", "1 day")
+            .groupBy(F.window("_et", "1 day").alias("w"), "sku", "loja")
+            .agg(F.collect_list(F.struct("preco", "titulo", "categoria", "ts", "seq1", "seq2")).alias("x")))
+    St.start(kept, spark, "t1w_state", checkpoint=(c := _ckpt("t1w"))).awaitTermination()
+    rows = _rows(spark, c, kept.schema).select("sku", "loja", F.to_date("w.start").alias("data_coleta"), F.inline("x"))
+    exp = {tuple(r) for r in radar.daily_compaction(rows).select(DAYS).collect()}
+    path, sent = tempfile.mkdtemp(prefix="shelfscope-test-t1w-") + "/hist", sum(map(len, files))
+    St.start(St.daily_price_stream(_arrivals(spark, files, "t1x")), spark, "t1w_test",
+             sink=St.upsert_daily_batches(spark, path), checkpoint=_ckpt("t1x")).awaitTermination()
+    assert _history(spark, path) == exp and 0 < rows.count() < sent
+    newest = max(r[2] for r in exp)
+    assert rows.where(F.col("data_coleta") <= newest).count() < sum(r[2] <= newest for f in files for r in f)   # some came too late
+
+
+def test_daily_stream_goes_on_after_a_broken_merge(spark, monkeypatch):
+    """A job that dies between its closed days and their merge goes on there; another job starts from its own rows."""
+    files = [[_obs_row("MAGALU_1", d, 9, 50.0 - d, d, "t") for d in range(5)], [_obs_row("MAGALU_1", 9, 9, 7.0, 9)]]
+    path, ckpt, upsert = tempfile.mkdtemp(prefix="shelfscope-test-t1b-") + "/hist", _ckpt("t1b"), Mt.upsert_price_days
+    stream = _arrivals(spark, files, "t1b")
+
+    def run(df, checkpoint):
+        St.start(St.daily_price_stream(df), spark, "t1b_test", sink=St.upsert_daily_batches(spark, path),
+                 checkpoint=checkpoint).awaitTermination()
+
+    def broken(*args):
+        raise RuntimeError("lost")
+    monkeypatch.setattr(Mt, "upsert_price_days", broken)
+    with pytest.raises(Exception, match="lost"):
+        run(stream, ckpt)
+    assert not os.path.exists(path)
+    monkeypatch.setattr(Mt, "upsert_price_days", upsert)
+    run(stream, ckpt)
+    assert sorted((r[2].day, r[3], r[5]) for r in _history(spark, path)) == [(d + 1, 50.0 - d, "t") for d in range(5)]
+    run(_arrivals(spark, [[_obs_row("MAGALU_1", 0, 8, 3.0, 1), _obs_row("MAGALU_2", 7, 8, 4.0, 1)]], "t1c"), _ckpt("t1c"))
+    got = {(r[0], r[2].day): (r[3], r[4]) for r in _history(spark, path)}
+    assert len(got) == 5 and got["MAGALU_1", 1] == (3.0, 3.0) and got["MAGALU_1", 2] == (49.0, 49.0)
+
+
 def test_replayed_batch_is_published_once(spark):
     manifest = BatchManifest(spark, tempfile.mkdtemp(prefix="shelfscope-test-man-") + "/out")
     schema = "id long"
